@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from docbasin.llm.bpe import op10_bpe
+from docbasin.llm.langid import op6_langid
+from docbasin.llm.mpeg import op9_mpeg
+from docbasin.llm.neardup import OP7_SQL, op7_neardup
+from docbasin.llm.pii import op8_pii
+from docbasin.llm.toxicity import op1_toxicity
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_langid": op6_langid, "op7_neardup": op7_neardup, "op8_pii": op8_pii, "op9_mpeg": op9_mpeg, "op10_bpe": op10_bpe}
+ORACLE = {"op7_neardup": OP7_SQL}
