@@ -35,21 +35,33 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
         yield batch.slice(begin)
 
 
-def ascii_lower(texts: pa.Array) -> pa.Array:
-    """A-Z lower-cased, every other character left alone; nulls become empty."""
-    return pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-
-
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words `[^\\x20\\x09-\\x0D]+` of lower-cased texts: words per text, each word's index in the dictionary, the dictionary."""
-    split = pc.ascii_split_whitespace(ascii_lower(texts))
+#: Bytes as they are, but for white space (9 to 13), which becomes a blank; and with A-Z lower-cased too.
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+_BLANKS_LOWER = bytes(b + 32 if 65 <= b <= 90 else _BLANKS[b] for b in range(256))
+
+
+def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words `[^\x20\x09-\x0D]+` of texts, with A-Z lower-cased if `lower`: words per text, each word's index in the dictionary, the dictionary.
+
+    None of these bytes is part of a longer character in UTF-8, so the bytes of all texts are translated at once.
+    """
+    whole = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.large_string())
+    _, offsets, data = whole.buffers()
+    data = (data.to_pybytes() if data else b"").translate(_BLANKS_LOWER if lower else _BLANKS)
+    split = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(whole), [None, offsets, pa.py_buffer(data)], offset=whole.offset), " ")
     flat, offsets = split.flatten(), split.offsets.to_numpy()
     offsets = offsets - offsets[0]
     keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(keep)])
-    per_text = before[offsets[1:]] - before[offsets[:-1]]
     coded = flat.filter(pa.array(keep)).dictionary_encode()
-    return per_text.astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    return (before[offsets[1:]] - before[offsets[:-1]]).astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """split_words, lower-cased."""
+    return split_words(texts, True)
 
 
 def hash_words(dictionary: pa.Array) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import hash_words, mix, pieces, read, stored
+from docbasin.llm.common import hash_words, mix, pieces, read, split_words, stored
 
 #: Bounds of the fit: labelled documents whose words are counted, and labelled documents (half of them toxic) that the
 #: chain is fitted to. Both are drawn by a hash of doc_id.
@@ -47,13 +47,8 @@ class Chain:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Tokens per text, each token's index in the dictionary, the dictionary of lower-cased words without outer punctuation."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    flat, offsets = split.flatten(), split.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(keep)])
-    coded = flat.filter(pa.array(keep)).dictionary_encode()
-    return before[offsets[1:]] - before[offsets[:-1]], coded.indices.to_numpy().astype(np.int64), pc.utf8_trim(pc.utf8_lower(coded.dictionary), TRIM)
+    per, index, dictionary = split_words(texts, False)
+    return per, index, pc.utf8_trim(pc.utf8_lower(dictionary), TRIM)
 
 
 def features(dictionary: pa.Array) -> np.ndarray:
