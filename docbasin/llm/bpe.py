@@ -314,6 +314,23 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`docs` with its text encoded: all other columns, n_tokens and token_ids. Null texts have no tokens."""
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes), "n_tokens long", "token_ids array<int>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path, pattern)
+        for piece in pieces(batches):
+            found = [tok.encode(t or "") for t in piece["text"].to_pylist()]
+            for text, ids in zip(piece["text"].to_pylist(), found, strict=True):
+                if tok.decode(ids) != (text or "").encode():
+                    raise ValueError("a text doesn't come back from its tokens")
+            yield pa.RecordBatch.from_arrays([*(piece[c] for c in rest), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=[*rest, "n_tokens", "token_ids"])
+
+    return docs.select("text", *rest).mapInArrow(run, schema)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

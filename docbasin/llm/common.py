@@ -41,7 +41,7 @@ _BLANKS_LOWER = bytes(b + 32 if 65 <= b <= 90 else _BLANKS[b] for b in range(256
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words `[^\x20\x09-\x0D]+` of texts, with A-Z lower-cased if `lower`: words per text, each word's index in the dictionary, the dictionary.
+    r"""Words `[^\x20\x09-\x0D]+` of texts, with A-Z lower-cased if `lower`: words per text, each word's index in the dictionary, the dictionary.
 
     None of these bytes is part of a longer character in UTF-8, so the bytes of all texts are translated at once.
     """

@@ -232,35 +232,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, *, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """`docs` -> doc_id, score, predicted, spans (start and end of offending tokens in code points), and the columns `keep`.
+def _judge(texts: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of texts, tokens per text, every token's marginal."""
+    per, index, dictionary = tokens(texts)
+    doc = np.repeat(np.arange(len(per)), per)
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    p, _, _ = forward_backward(chain.weights[features(dictionary)].sum(1)[index] if len(index) else np.zeros(0), first, chain)
+    return 1 / (1 + np.exp(-np.clip(evidence(p, per) @ chain.logistic, -30, 30))), per, p
+
+
+def score(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame:
+    """`docs` (doc_id, text) -> doc_id, score, predicted, spans (begin and end of offending tokens in code points).
 
     Null and empty texts have no tokens and so the score of a document without toxic tokens. Each row is scored by
     itself: repeated rows get repeated results. Other columns never reach the scorer.
     """
-    keep = keep or []
-    schema = "score double, predicted int, spans array<struct<begin:int,end:int>>"
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select("doc_id", *keep).dtypes)
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    inputs = list(dict.fromkeys(["doc_id", "text", *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            per, index, dictionary = tokens(piece["text"])
+            value, per, p = _judge(piece["text"], chain)
             doc = np.repeat(np.arange(len(per)), per)
-            emission = chain.weights[features(dictionary)].sum(1)
-            first = np.ones(len(doc), bool)
-            first[1:] = doc[1:] != doc[:-1]
-            p, _, _ = forward_backward(emission[index] if len(index) else np.zeros(0), first, chain)
-            value = 1 / (1 + np.exp(-np.clip(evidence(p, per) @ chain.logistic, -30, 30)))
             spans: list[list[dict]] = [[] for _ in per]
             begin = np.cumsum(per) - per
             for d in np.unique(doc[p >= 0.5]):
                 hits = set(np.flatnonzero(p[begin[d] : begin[d] + per[d]] >= 0.5).tolist())
                 spans[d] = [{"begin": m.start(), "end": m.end()} for i, m in enumerate(WORD.finditer(piece["text"][int(d)].as_py())) if i in hits]
-            yield pa.RecordBatch.from_arrays([piece["doc_id"], *[piece[c] for c in keep], pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(spans, span)], names=["doc_id", *keep, "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(spans, span)], names=["doc_id", "score", "predicted", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<begin:int,end:int>>")
+
+
+def clean(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` scored below the threshold, as they are, whatever their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            yield piece.filter(pa.array(_judge(piece["text"], chain)[0] < threshold))
 
-    return docs.select(*inputs).mapInArrow(run, f"{fields}, {schema}")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
