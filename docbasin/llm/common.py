@@ -20,15 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` again, in batches of at most `limit` bytes of the column `text`."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` again, in batches of at most `limit` bytes of the column `text` and at most `rows` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.nan_to_num(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
         begin, total = 0, 0
         for i, n in enumerate(size):
-            if total and total + n > limit:
+            if total and total + n > limit or i - begin >= rows:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += int(n)
