@@ -42,8 +42,8 @@ def bm25_sql(question: str = QUESTION) -> str:
     terms = ", ".join(f"('{t}', {wanted.count(t)})" for t in sorted(set(wanted)))
     return f"""
 w as (select doc_id, {TOKENS_SQL} as ws from documents), d as (select doc_id, ws, len(ws) as dl from w where len(ws) > 0),
-st as (select count(*) as n, avg(dl) as mean from d), q(term, times) as (values {terms}),
-tf as (select doc_id, dl, term, times, len(list_filter(ws, lambda x: x = term)) as tf from d cross join q),
+st as (select count(*) as n, avg(dl) as mean from d), qt(term, times) as (values {terms}),
+tf as (select doc_id, dl, term, times, len(list_filter(ws, lambda x: x = term)) as tf from d cross join qt),
 df as (select term, count(*) as df from tf where tf > 0 group by 1),
 bm as (select doc_id, sum(times * (case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score
   from tf join df using (term) cross join st where tf > 0 group by 1)"""
