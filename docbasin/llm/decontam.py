@@ -27,6 +27,15 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def worded(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, text) -> key, words, for texts with words.
+
+    The words pass through a generator, which the optimiser doesn't fold into what reads them: else a lambda over
+    positions would split the text anew for each of them.
+    """
+    return rows.select(key, F.explode(F.array(normal_words(F.col("text")))).alias("words")).where(F.size("words") > 0)
+
+
 def _starts(words: Column, size: int) -> Column:
     """Positions of shingles in a list of words; a list shorter than `size` has one, an empty one none."""
     n = F.size(words)
@@ -61,15 +70,14 @@ def contained(docs: DataFrame, items: DataFrame, *, size: int = 5, percent: int
     in no result. Repeated rows change nothing; of several texts with one id the best match counts. Other columns are
     ignored.
     """
-    known = stored(items.where("item_id is not null").select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct(), "items")
+    known = stored(worded(items.where("item_id is not null"), "item_id").distinct(), "items")
     sketch = sketches(known, size, percent).select("item_id", "least_part", "hash").distinct()
-    worded = docs.where("doc_id is not null").select("doc_id", normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    probes = worded.select("doc_id", F.floor(F.log2(F.greatest(F.size("words") - (size - 1), F.lit(1)))).cast("int").alias("part"), F.explode(shingle_hashes(F.col("words"), size)).alias("hash"))
+    probes = worded(docs.where("doc_id is not null"), "doc_id").select("doc_id", F.floor(F.log2(F.greatest(F.size("words") - (size - 1), F.lit(1)))).cast("int").alias("part"), F.explode(shingle_hashes(F.col("words"), size)).alias("hash"))
     near = F.broadcast(sketch) if _few(sketch) else sketch
     candidates = stored(probes.join(near, (probes.hash == near.hash) & (probes.part >= near.least_part)).select("doc_id", "item_id").distinct(), "candidates")
     ids = candidates.select("doc_id").distinct()
     again = docs.select("doc_id", "text").join(F.broadcast(ids) if _few(candidates) else ids, "doc_id", "left_semi")
-    shingled = again.select("doc_id", shingle_texts(normal_words(F.col("text")), size).alias("there"))
+    shingled = worded(again, "doc_id").select("doc_id", shingle_texts(F.col("words"), size).alias("there"))
     wanted = known.select("item_id", shingle_texts(F.col("words"), size).alias("all"))
     checked = shingled.join(candidates, "doc_id").join(F.broadcast(wanted) if _few(wanted) else wanted, "item_id").select("doc_id", "item_id", F.size("all").cast("long").alias("n_shingles"), F.size(F.array_intersect("all", "there")).cast("long").alias("n_shared"))
     return checked.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id").agg(F.max_by("n_shingles", F.col("n_shared") / F.col("n_shingles")).alias("n_shingles"), F.max_by("n_shared", F.col("n_shared") / F.col("n_shingles")).alias("n_shared"))
