@@ -18,9 +18,9 @@ PAGED = {"md": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, extension, content_hash, text: UTF-8, else Latin-1; searched in all folders below."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    text = F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1"))
-    valid = F.hex(F.encode(F.decode("content", "UTF-8"), "UTF-8")) == F.hex("content")
-    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), F.sha2("content", 256).alias("content_hash"), F.when(valid, text).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
+    as_is = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(as_is), as_is).otherwise(F.decode("content", "ISO-8859-1"))
+    return raw.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 
 
 def file_pages(files: DataFrame) -> DataFrame:

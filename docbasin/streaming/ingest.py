@@ -14,7 +14,7 @@ def documents(spark: SparkSession, path: str, schema, files_per_batch: int = 16)
 
 def usage_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour", time: str = "ts") -> DataFrame:
     """Turns and sums by window of event time; rows later than the watermark are left out once a window is closed."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size)).agg(F.count("*").alias("turns"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "turns", "total")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size)).agg(F.count("*").alias("turns"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "turns", "total")
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, size: int = 600, overlap: int = 100):
