@@ -67,9 +67,14 @@ def folding() -> dict[int, str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def hint_character() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in folding()) + "]")
+#: Characters that may have an ASCII look-alike: plain ranges, which are fast to look for.
+FOREIGN = re.compile("[­ɐ-\U0010ffff]")
+
+
+def spells(text: str) -> bool:
+    """Whether two digits beside each other are spelled out, or one beside a digit."""
+    words = text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
+    return not SPELLED.keys().isdisjoint(words) and HINT_WORD.search(text) is not None
 
 
 def luhn(digits: str) -> bool:
@@ -174,7 +179,7 @@ class Tape:
 
 def fold(tape: Tape) -> Tape:
     table = folding()
-    return tape.rewrite([(m.start(), m.end(), table[ord(m.group())]) for m in hint_character().finditer(tape.text)])
+    return tape.rewrite([(m.start(), m.end(), table[ord(m.group())]) for m in FOREIGN.finditer(tape.text) if ord(m.group()) in table])
 
 
 def marks(tape: Tape) -> Tape:
@@ -209,13 +214,13 @@ def disguised(text: str) -> dict[str, Spans]:
     out: dict[str, Spans] = {k: [] for k in KINDS}
     tapes = []
     tape = Tape(text)
-    if not text.isascii() and hint_character().search(text):
+    if not text.isascii() and any(ord(c) in folding() for c in set(FOREIGN.findall(text))):
         tape = fold(tape)
         tapes.append(tape)
     if HINT_AT.search(tape.text):
         tape = marks(tape)
         tapes.append(tape)
-    if HINT_WORD.search(tape.text) or LEET.search(tape.text):
+    if spells(tape.text) or LEET.search(tape.text):
         tape = numbers(tape)
         tapes.append(tape)
     for t in tapes:
