@@ -9,9 +9,12 @@
    signatures that reach the count share a member of both prefixes. The long lists of values that many texts share
    (boilerplate) come last in the order and are skipped.
 3. Lists are not expanded into pairs. In rounds, each signature on a list is compared with the list's hub only: the most
-   typical one first, then ones chosen by a hash. Coordinates that agree are counted, pairs with enough are
-   confirmed on the full sets, and confirmed links are merged into components. A list whose members are all in one
-   component is done. What is still open after these rounds is compared in full, so no link between components is lost.
+   typical one first, then one chosen by a hash. Coordinates that agree are counted, pairs with enough are confirmed
+   on the full sets, and confirmed links are merged into components. A list whose members are all in one component is
+   done. The members of lists that are still open are put together by the lists' most typical hub, so that lists of
+   one family count once, and the full sets of those outside a family's largest component are compared with all of
+   the family's, in cells of bounded size; out of a cell come at most as many links as join its components. So no
+   link between components is lost.
 
 Components come from label propagation with pointer jumping over tables; links and components stay distributed.
 """
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from docbasin.llm.common import hash_words, mix, pieces, read, stored, words
 
 COORDINATES = 64
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Bytes of sets on either side of a cell, and up to which a family is small: small ones share a task.
+CELL_BYTES, SMALL_BYTES = 4 << 20, 256 << 10
 #: Ids up to which a table of them is broadcast (16 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes kept of each shingle's hash when sets are compared.
@@ -167,49 +172,108 @@ def prefixes(postings: DataFrame, needed: int) -> DataFrame:
     return grouped.where(F.size("all") >= needed).select("id", "weight", F.slice("all", F.lit(1), F.size("all") - (needed - 1)).getField("token").alias("prefix"))
 
 
+def agreeing(pairs: DataFrame, sigs: DataFrame, needed: int) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures agree in at least `needed` coordinates."""
+    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sigs.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return both.where(F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda same: same)) >= needed).select("a", "b")
+
+
+def _cell(ids: np.ndarray, component: np.ndarray, outside: np.ndarray, packed: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between the sets marked `outside` and the others that join components: of each two components one at most."""
+    sets = [_unpacked(p) for p in packed]
+    size = np.array([len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    end = np.cumsum(size)
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    if not len(left) or not len(right):
+        return []
+    chosen = np.concatenate([element[end[r] - size[r] : end[r]] for r in right])
+    begin = np.cumsum(size[right]) - size[right]
+    mark, up, out = np.zeros(int(element.max()) + 1, np.int32), {}, []
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    for x in left:
+        mine = element[end[x] - size[x] : end[x]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[chosen], begin)
+        mark[mine] = 0
+        for y in right[(100 * both >= percent * (size[x] + size[right] - both)) & (component[right] != component[x])]:
+            a, b = root(int(component[x])), root(int(component[y]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    return out
+
+
+def family_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """members (family, id, component), distinct -> links (a, b) enough to join all components that a family's links join."""
+    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighed = members.join(full.select("id", F.octet_length("shingle_set").alias("bytes")), "id")
+    sizes = weighed.groupBy("family", "component").agg(F.sum("bytes").alias("bytes")).groupBy("family").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("inside"), F.max_by("component", F.struct("bytes", "component")).alias("largest"))
+    cut = sizes.select("family", "largest", (F.col("all") <= SMALL_BYTES).alias("small"), F.greatest(F.ceil(F.col("all") / CELL_BYTES), F.lit(1)).cast("int").alias("all_blocks"), F.greatest(F.ceil((F.col("all") - F.col("inside")) / CELL_BYTES), F.lit(1)).cast("int").alias("out_blocks"))
+    placed = weighed.drop("bytes").join(cut, "family")
+    at = F.xxhash64("id", F.lit(99))
+    everyone = placed.select("family", "id", "component", "small", F.lit(False).alias("outside"), F.pmod(at, "all_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("j"))
+    outside = placed.where("component <> largest").select("family", "id", "component", "small", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(at, "out_blocks").cast("int").alias("j"))
+    cell = F.when(F.col("small"), F.pmod(F.xxhash64("family"), F.lit(parts))).otherwise(F.xxhash64("family", "i", "j"))
+    dealt = everyone.union(outside).withColumn("cell", cell).join(full, "id").select("cell", "family", "i", "j", "id", "component", "outside", "shingle_set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+        key = np.stack([table[c].to_numpy() for c in ("family", "i", "j")])
+        ids, component, outer = table["id"].to_numpy(), table["component"].to_numpy(), table["outside"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(ids)]
+        found = [p for b, e in zip(cuts, cuts[1:], strict=False) for p in _cell(ids[b:e], component[b:e], outer[b:e], table["shingle_set"].slice(b, e - b).to_pylist(), percent)]
+        return pa.table([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
+
+
+def with_components(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    if component is None:
+        return members.withColumn("component", F.col("id"))
+    return members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def merged(component: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components (id, component) once the links `found` are added."""
+    if component is None:
+        return components(found)
+    ends = found.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    over = components(ends)
+    fresh = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(component, "id", "left_anti").withColumn("component", F.col("id"))
+    return stored(component.unionByName(fresh).join(over.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
+
+
 def links(members: DataFrame, sigs: DataFrame, full: DataFrame, needed: int, percent: int) -> DataFrame:
     """members (token, id, weight) -> id, component of all that have a link; the rounds of step 3 above."""
-    spark = members.sparkSession
-    component = None
-    tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        current = members
-        if component is not None:
-            at = component.select("id", "component")
-            current = members.join(at, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            current = members.withColumn("component", F.col("id"))
-        open_lists = current.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", F.struct("weight", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("hub"), F.max_by("component", F.struct("weight", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("hub_component")).where("low < high")
-        if turn < HUB_ROUNDS:
-            pairs = current.join(open_lists, "token").where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            left = current.join(open_lists.select("token"), "token", "left_semi").select("token", "id", "component")
-            other = left.select("token", F.col("id").alias("b"), F.col("component").alias("component_b"))
-            pairs = left.withColumnRenamed("id", "a").join(other, "token").where("a < b and component <> component_b").select("a", "b")
-        pairs = pairs.distinct()
+    component, tried = None, None
+    for turn in range(HUB_ROUNDS):
+        current = with_components(members, component)
+        first = F.struct("weight", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        lists = current.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", first).alias("hub"), F.max_by("component", first).alias("hub_component")).where("low < high")
+        pairs = current.join(lists, "token").where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < HUB_ROUNDS and not open_lists.isEmpty():
-                continue
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        compared = pairs.join(sigs.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sigs.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-        agreeing = F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda same: same))
-        found = stored(confirmed(compared.where(agreeing >= needed).select("a", "b"), full, percent), "links")
-        if found.isEmpty():
             continue
-        if component is None:
-            component = components(found)
-        else:
-            # Links between components: the components of components.
-            at = component
-            ends = found.join(at.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-            over = components(ends)
-            everyone = at.unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(at, "id", "left_anti").withColumn("component", F.col("id")))
-            component = stored(everyone.join(over.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
-    return component if component is not None else spark.createDataFrame([], "id long, component long")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = stored(confirmed(agreeing(pairs, sigs, needed), full, percent), "links")
+        if not found.isEmpty():
+            component = merged(component, found)
+    current = with_components(members, component)
+    lists = current.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", F.struct("weight", "id")).alias("family")).where("low < high").select("token", "family")
+    rest = stored(current.join(lists, "token").select("family", "id", "component").distinct(), "families")
+    if not rest.isEmpty():
+        found = stored(family_links(rest, full, percent), "links")
+        if not found.isEmpty():
+            component = merged(component, found)
+    return component if component is not None else members.sparkSession.createDataFrame([], "id long, component long")
 
 
 def classes(docs: DataFrame, *, size: int = 3, percent: int = 85, coordinates: int = COORDINATES) -> DataFrame:

@@ -71,7 +71,7 @@ def components(ids, edges):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("settings", [{}, {"HUB_ROUNDS": 0, "SHORT_LIST": 2, "BLOCK": 3}, {"HUB_ROUNDS": 1, "SHORT_LIST": 0, "BLOCK": 5, "BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"HUB_ROUNDS": 0, "CELL_BYTES": 2000, "SMALL_BYTES": 1000}, {"HUB_ROUNDS": 1, "SMALL_BYTES": 0, "CELL_BYTES": 5000, "BROADCAST_IDS": 0}])
 def test_near_copies_equal_all_pairs(spark, monkeypatch, settings):
     import random
 
