@@ -164,6 +164,15 @@ def looked_up(table: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(known[at] == table, counts[at], 0).astype(np.int64)
 
 
+def sorted_counts(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of a vocabulary that has been found to be small."""
+    local = counts.toArrow()
+    known, n = local["word"].to_numpy().view(np.uint64), local["n"].to_numpy().astype(np.uint32 if total < 1 << 32 else np.int64)
+    del local
+    order = np.argsort(known)
+    return known[order], n[order]
+
+
 PAYLOAD = "shard int, piece long, kind int, doc_ids binary, body binary, other binary"
 
 
@@ -278,10 +287,7 @@ def score(docs: DataFrame, train: Column, *, broadcast_words: int = BROADCAST_WO
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     flagged = docs.select("doc_id", "text", train.alias("train"))
     if row.v <= broadcast_words:
-        local = counts.toArrow()
-        known = local["word"].to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        shared = spark.sparkContext.broadcast((known[order], local["n"].to_numpy()[order].astype(np.uint32 if total < 1 << 32 else np.int64)))
+        shared = spark.sparkContext.broadcast(sorted_counts(counts, total))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = TaskContext.get().partitionId() << 32
