@@ -16,8 +16,8 @@ def tokens(text: Column) -> Column:
 
     A word with any other letter in it gives none: it is split off whole, then left out.
     """
-    parts = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda w: w.rlike("^[a-z0-9]{2,}$") & ~w.isin(STOPWORDS))
+    whole = r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}(?![\p{L}\p{N}_])"
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
 
 
 def query_tokens(text: str) -> list[str]:

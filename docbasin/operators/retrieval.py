@@ -14,10 +14,14 @@ K1, B = 1.2, 0.75
 MAX_QUERIES = 10_000
 
 
+def worded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, words of documents with tokens. The generator keeps the optimiser from tokenising once for each use of `words`."""
+    return docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("words")).where(F.size("words") > 0)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, tf, length. A document without tokens is not indexed. Write it partitioned or bucketed by term to keep it."""
-    worded = docs.select(key, tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
-    return worded.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return worded(docs, key, text).select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -43,8 +47,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     terms = sorted(set(wanted))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    worded = docs.select(key, tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
-    counted = worded.select(key, F.size("words").alias("length"), *(F.size(F.filter("words", _equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = worded(docs, key, text).select(key, F.size("words").alias("length"), *(F.size(F.filter("words", _equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
     figures = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     parts = [F.lit(float(wanted.count(t))) * _idf(F.col("n"), F.col(f"df{i}")) * _term_score(F.col(f"tf{i}"), F.col("length"), F.col("mean")) for i, t in enumerate(terms)]
     total = parts[0]

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docbasin.functions.text import STOPWORDS, extension, query_tokens, tokens
+from docbasin.functions.text import STOPWORDS, extension, query_tokens
 from docbasin.operators import content, governance, retrieval, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"""with w as (select doc_id, {TOKENS_SQL} as ws from documents), d as (select * from w where len(ws) > 0)
 select count(*) as documents, round(avg(len(ws)), 6) as mean_length, (select count(distinct t) from (select unnest(ws) as t from d)) as vocabulary from d""")
 def bm25_stats(spark, sf_dir):
-    index = read(spark, sf_dir, "documents").select(tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    index = retrieval.worded(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("words", "ws")
     words = index.select(F.explode("ws").alias("t")).agg(F.count_distinct("t").alias("vocabulary"))
     return index.agg(F.count("*").alias("documents"), F.round(F.avg(F.size("ws")), 6).alias("mean_length")).crossJoin(F.broadcast(words))
 
