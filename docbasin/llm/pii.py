@@ -110,7 +110,7 @@ def plain(text: str) -> dict[str, Spans]:
     """The plain patterns' matches that pass their checks."""
     out: dict[str, Spans] = {"email": emails(text), "ip": [], "card": [], "phone": []}
     if DIGITS.search(text):
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.group().split("."))]
         out["card"] = [m.span() for m in CARD.finditer(text) if m.end() - m.start() <= 37 and _card(re.sub("[ -]", "", m.group()))]
         out["phone"] = [m.span() for m in PHONE.finditer(text) if 9 <= len(DIGITS.findall(m.group())) <= 15]
     return out

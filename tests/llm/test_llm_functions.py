@@ -146,8 +146,8 @@ def test_plain_patterns_equal_their_definition():
 
 
 def test_long_runs_take_linear_time():
-    for unit in ("1", "1.", "a", "@", "+1", "1 ", "a@"):
-        pii.find(unit * 100_000)
+    for unit in ("1", "0", "1.", "a", "@", "+1", "1 ", "a@", "0" * 5000 + "."):
+        pii.find(unit * (100_000 // len(unit)))
 
 
 @pytest.mark.parametrize(
