@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docbasin.llm.common import hash_words, mix, pieces, read, split_words, stored
@@ -220,10 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     candidates = {r.word for r in strong.orderBy(F.desc("in_toxic"), "word").limit(2000).collect()}
     varied = contexts(sample.where("toxic = 1"), candidates).groupBy("word").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= least)
     lexicon = {r.word for r in varied.collect()}  # at most the candidates
-    drawn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")) <= chain_docs // 2
-    brief = sample.where(F.length("text") <= CHAIN_CHARS // 100)
-    few = brief.select("doc_id", "toxic").distinct().withColumn("drawn", drawn).where("drawn").select("doc_id")
-    rows = brief.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    brief = sample.where(F.length("text") <= CHAIN_CHARS // 100).dropDuplicates(["doc_id"])
+    halves = [brief.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(chain_docs // 2) for t in (0, 1)]
+    rows = halves[0].union(halves[1]).toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
     rows = rows[rows.text.str.len().cumsum() <= CHAIN_CHARS]
     chain = fit_chain(rows.text.tolist(), rows.toxic.to_numpy(), lexicon)
     # The two classes were drawn evenly: back to their true odds.
