@@ -31,7 +31,8 @@ LEXICON_DOCS = 16_000
 CHAIN_DOCS = 1_200
 #: Characters of all chain-fitting documents together.
 CHAIN_CHARS = 6_000_000
-FEATURES = 1 << 16
+#: Slots of hashed features: far more than there are words, as a word that shares a toxic word's slot would be taken for it.
+FEATURES = 1 << 21
 COLUMNS = 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -148,6 +149,7 @@ def fit_chain(texts: list[str], toxic: np.ndarray, lexicon: set[str], rounds: in
         chain.moves -= np.log(np.exp(chain.moves).sum(1, keepdims=True))
     p, _, _ = forward_backward(chain.weights[feats].sum(1)[index], first, chain)
     chain.logistic = fit_logistic(evidence(p, per), toxic)
+    chain.weights = chain.weights.astype(np.float32)
     return chain
 
 
