@@ -78,6 +78,10 @@ class Dom(HTMLParser):
         self.root = self.at = Node("#root", None)
         self.silent, self.in_link, self.run, self.marks = [], 0, [], {}
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines and columns aren't needed."""
+        return j
+
     def flush(self) -> None:
         """A run of text ends: it becomes a node if it has any words."""
         if self.run:
@@ -199,35 +203,30 @@ def parse(html: str) -> list[Node]:
 N_FEATURES = len(TAGS) * 2 + len(TOKENS) * 2 + 15
 
 
+GROUP_OF = {tag: g for g, tags in enumerate(TAGS) for tag in tags}
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node but the root."""
+    """A row for each node but the root: tag groups and attribute tokens of the node and of its ancestors, then sizes."""
     whole, size = max(nodes[0].words, 1), len(nodes)
-    out = np.zeros((size - 1, N_FEATURES), np.float32)
-    below: dict[int, tuple[int, int]] = {id(nodes[0]): (0, 0)}  # of each node: its ancestors' flags and tag groups
-    order: dict[int, int] = {id(n): i for i, n in enumerate(nodes)}
-    for i, n in enumerate(nodes[1:]):
-        p = n.parent
-        up_flags, up_tags = below[id(p)]
-        group = next((g for g, t in enumerate(TAGS) if n.tag in t), -1)
-        below[id(n)] = (up_flags | n.flags, up_tags | (1 << group if group >= 0 else 0))
-        row = [0.0] * N_FEATURES
-        if group >= 0:
-            row[group] = 1.0
-        k = len(TAGS)
-        for g in range(len(TAGS)):
-            row[k + g] = float(up_tags >> g & 1)
-        k += len(TAGS)
-        for g in range(len(TOKENS)):
-            row[k + g] = float(n.flags >> g & 1)
-            row[k + len(TOKENS) + g] = float(up_flags >> g & 1)
-        k += 2 * len(TOKENS)
-        siblings = p.kids
-        before = siblings[n.place - 1].words if n.place else 0
-        after = siblings[n.place + 1].words if n.place + 1 < len(siblings) else 0
-        words = n.words
-        row[k:] = [n.depth, words, n.link / max(words, 1), words / n.tags, len(n.kids), words / whole, n.place, len(siblings), p.words / len(siblings), before, after, p.link / max(p.words, 1), words / max(p.words, 1), order[id(n)] / size, p.words / whole]
-        out[i] = row
-    return out
+    above: dict[int, tuple[int, int]] = {id(nodes[0]): (0, 0)}  # of each node: flags and tag groups from the root to it
+    bits, sizes = [], []
+    for i, n in enumerate(nodes[1:], 1):
+        p, words = n.parent, n.words
+        up_flags, up_tags = above[id(p)]
+        group = GROUP_OF.get(n.tag)
+        own = 0 if group is None else 1 << group
+        above[id(n)] = (up_flags | n.flags, up_tags | own)
+        bits.append((own, up_tags, n.flags, up_flags))
+        siblings, place = p.kids, n.place
+        before = siblings[place - 1].words if place else 0
+        after = siblings[place + 1].words if place + 1 < len(siblings) else 0
+        sizes.append((n.depth, words, n.link / (words or 1), words / n.tags, len(n.kids), words / whole, place, len(siblings), p.words / len(siblings), before, after, p.link / (p.words or 1), words / (p.words or 1), i / size, p.words / whole))
+    if not bits:
+        return np.zeros((0, N_FEATURES), np.float32)
+    b = np.array(bits)
+    tags, tokens = np.arange(len(TAGS)), np.arange(len(TOKENS))
+    return np.concatenate([b[:, :1] >> tags & 1, b[:, 1:2] >> tags & 1, b[:, 2:3] >> tokens & 1, b[:, 3:4] >> tokens & 1, np.array(sizes)], 1).astype(np.float32)
 
 
 class Trees:
