@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docbasin.llm.common import pieces, read
+from docbasin.llm.common import arrow, pieces, read
 
 #: Bounds of a worker's tables: states of the transducer, and words in each of two generations of kept encodings.
 MAX_STATES = 300_000
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> Da
             columns = [pa.array(out[c], t) for c, t in zip(out, types, strict=True)][: 4 + ids]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *columns], names=["doc_id", *out][: 5 + ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -328,7 +328,7 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     raise ValueError("a text doesn't come back from its tokens")
             yield pa.RecordBatch.from_arrays([*(piece[c] for c in rest), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=[*rest, "n_tokens", "token_ids"])
 
-    return docs.select("text", *rest).mapInArrow(run, schema)
+    return arrow(docs.select("text", *rest)).mapInArrow(run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one piece of a batch may hold; a single longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Rows of an Arrow batch between the JVM and Python: its buffers stay allocated on both sides, so few rows of long texts.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def arrow(df: DataFrame) -> DataFrame:
+    """`df`, about to go to Python: from here on its session's Arrow batches have at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` again, in batches of at most `limit` bytes of the column `text` and at most `rows` rows."""
     for batch in batches:
@@ -33,6 +43,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
                 begin, total = i, 0
             total += int(n)
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # workers wait idle between tasks
 
 
 #: Bytes as they are, but for white space (9 to 13), which becomes a blank; and with A-Z lower-cased too.

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import mix, pieces, read
+from docbasin.llm.common import arrow, mix, pieces, read
 
 DIMENSIONS = 512
 #: Symbols: 0 for anything between words, 1-26 for a-z, the rest by a hash of the code point.
@@ -95,7 +95,7 @@ def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "code", "n"])
 
-    found = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang").mapInArrow(run, "lang string, code long, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow(docs).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang").mapInArrow(run, "lang string, code long, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     sums = {name: g.n.to_numpy().astype(np.float32) @ vectors(g.code.to_numpy()) for name, g in found.sort_values(["lang", "code"]).groupby("lang")}
     if not sums:
         return {}
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                         score[begin + i] = min(1.0, max(0.0, (1 + float(cosine[i, best])) / 2)) if some[i] else 0.0
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docbasin.llm.common import pieces, read
+from docbasin.llm.common import arrow, pieces, read
 
 #: Pages made for fitting; rounds, depth and learning rate of the trees; bins of a feature.
 SPECIMENS, ROUNDS, DEPTH, RATE, BINS = 400, 40, 4, 0.25, 32
@@ -395,7 +395,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(" ".join(decode(nodes)))
             yield pa.RecordBatch.from_arrays([piece["page_id"].cast(pa.int64()), piece["url"].cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:

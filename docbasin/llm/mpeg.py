@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docbasin.llm.common import pieces, read
+from docbasin.llm.common import arrow, pieces, read
 
 # Fixed values of the MPEG audio standards (ISO 11172-3, 13818-3): kbit/s by bitrate index, Hz by rate index.
 KBPS = {
@@ -289,7 +289,7 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[f.split()[0] for f in re.split(r", (?=\w+ )", schema)])
 
-    return media.select("doc_id", column).mapInArrow(run, schema)
+    return arrow(media.select("doc_id", column)).mapInArrow(run, schema)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def store(docs: DataFrame) -> DataFrame:
             media = write([(t or "").encode() for t in piece["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, media binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def digest(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import hash_words, mix, pieces, read, stored, words
+from docbasin.llm.common import arrow, hash_words, mix, pieces, read, stored, words
 
 COORDINATES = 64
 HUB_ROUNDS = 2
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
             lists = pa.ListArray.from_arrays(pa.array(rows), pa.array(tokens.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(per.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names=["doc_id", "n_shingles", "key1", "key2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, tokens array<long>")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, tokens array<long>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -112,7 +112,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
             ends = np.cumsum(per) * HASH_BYTES
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array([packed[b:e] for b, e in zip(ends - per * HASH_BYTES, ends, strict=True)], pa.binary())], names=["id", "shingle_set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingle_set binary")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "id long, shingle_set binary")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import pieces, read
+from docbasin.llm.common import arrow, pieces, read
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -283,7 +283,7 @@ def detect(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 4
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string, redacted string")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string, redacted string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             text = pa.array([t and redact(t, find(t)[1]) for t in piece["text"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else piece[c] for c in piece.schema.names], names=piece.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = arrow(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

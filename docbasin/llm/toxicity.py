@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import hash_words, mix, pieces, read, split_words, stored
+from docbasin.llm.common import arrow, hash_words, mix, pieces, read, split_words, stored
 
 #: Bounds of the fit: labelled documents whose words are counted, and labelled documents (half of them toxic) that the
 #: chain is fitted to. Both are drawn by a hash of doc_id.
@@ -185,7 +185,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             counts = [np.bincount(pair[m] % size, minlength=len(folded.dictionary)) for m in (label, ~label)]
             yield pa.RecordBatch.from_arrays([folded.dictionary.cast(pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["word", "in_toxic", "in_clean"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "word string, in_toxic long, in_clean long").groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
+    return arrow(docs.select("text", "toxic")).mapInArrow(run, "word string, in_toxic long, in_clean long").groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
 
 
 def contexts(docs: DataFrame, candidates: set[str]) -> DataFrame:
@@ -200,7 +200,7 @@ def contexts(docs: DataFrame, candidates: set[str]) -> DataFrame:
             around = mix(padded[wanted] + mix(padded[wanted + 2]))
             yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(index[wanted])).cast(pa.string()), pa.array(around.view(np.int64))], names=["word", "around"])
 
-    return docs.select("text").mapInArrow(run, "word string, around long")
+    return arrow(docs.select("text")).mapInArrow(run, "word string, around long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int = LEXICON_DOCS, chain_docs: int = CHAIN_DOCS) -> Chain:
@@ -262,7 +262,7 @@ def score(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame
                 spans[d] = [{"begin": m.start(), "end": m.end()} for i, m in enumerate(WORD.finditer(piece["text"][int(d)].as_py())) if i in hits]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(spans, span)], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<begin:int,end:int>>")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<begin:int,end:int>>")
 
 
 def clean(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame:
@@ -272,7 +272,7 @@ def clean(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame
         for piece in pieces(batches):
             yield piece.filter(pa.array(_judge(piece["text"], chain)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs).mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
