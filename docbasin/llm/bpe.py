@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docbasin.llm.common import arrow, pieces, read
 
-#: Bounds of a worker's tables: states of the transducer, and words in each of two generations of kept encodings.
-MAX_STATES = 300_000
+#: Bounds of a task's tables: states of the transducer, and words in each of two generations of kept encodings.
+MAX_STATES = 200_000
 MAX_WORDS = 200_000
 #: Input bytes between two looks for settled tokens.
 STRIDE = 256
@@ -276,6 +276,11 @@ class Tokenizer:
             self.kept[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drops what the texts so far have filled; the compiled ranks stay. Workers outlive tasks and serve other stages too."""
+        self.kept, self.older = {}, {}
+        self.fst._clear()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.fst.bytes_of.__getitem__, ids))
 
@@ -288,7 +293,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, well_formed; with `ids`, the array token_ids too.
 
-    One pass over the scan, no shuffle: memory is a bounded piece of a batch plus the bounded tables of a worker.
+    One pass over the scan, no shuffle: memory is a bounded piece of a batch plus the bounded tables of a task.
     A null text counts as empty: no tokens. Rows are independent, so repeated rows give repeated results; other columns
     of `docs` are ignored, whatever their names.
     """
@@ -310,6 +315,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> Da
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
             columns = [pa.array(out[c], t) for c, t in zip(out, types, strict=True)][: 4 + ids]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *columns], names=["doc_id", *out][: 5 + ids])
+        tok.forget()
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
@@ -327,6 +333,7 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 if tok.decode(ids) != (text or "").encode():
                     raise ValueError("a text doesn't come back from its tokens")
             yield pa.RecordBatch.from_arrays([*(piece[c] for c in rest), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=[*rest, "n_tokens", "token_ids"])
+        tok.forget()
 
     return arrow(docs.select("text", *rest)).mapInArrow(run, schema)
 
