@@ -68,6 +68,11 @@ def token_df(spark, sf_dir):
     return retrieval.postings(read(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
+@query(f"with w as (select doc_id, {TOKENS_SQL} as ws from documents), t as (select distinct doc_id, unnest(ws) as term from w) select term, count(*) as df from t group by 1")
+def token_df_all(spark, sf_dir):
+    return retrieval.postings(read(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 @query(f"with {bm25_sql('pathetic moron clown')} select 1::bigint as query_id, doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id)::int as position from (select * from bm order by score desc, doc_id limit 5)")
 def bm25_batch(spark, sf_dir):
     index = retrieval.postings(read(spark, sf_dir, "documents"))
@@ -271,7 +276,7 @@ def aggregate_global(spark, sf_dir):
 
 def _user_sql(name: str, sql: str, *names: str):
     def run(spark, sf_dir):
-        return tables.query(spark, sql, {n: read(spark, sf_dir, n) for n in names}, 2000)
+        return tables.query(spark, sql, {n: read(spark, sf_dir, n) for n in names}, None)
 
     run.__name__ = name
     query(sql)(run)
@@ -279,6 +284,7 @@ def _user_sql(name: str, sql: str, *names: str):
 
 _user_sql("user_sql_join", "select r_name, n_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name, n_name", "customer", "nation", "region")
 _user_sql("user_sql_window", "select o_custkey, o_orderkey, o_totalprice, k from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders where o_custkey <= 200) t where k <= 2", "orders")
+_user_sql("user_sql_window_all", "select o_custkey, o_orderkey, o_totalprice, k from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders) t where k <= 2", "orders")
 _user_sql("user_sql_cte", "with big as (select l_orderkey, sum(l_quantity) as q from lineitem group by l_orderkey having sum(l_quantity) > 280) select o_orderpriority, count(*) as n from big join orders on l_orderkey = o_orderkey group by o_orderpriority", "lineitem", "orders")
 _user_sql("user_sql_setops", "select c_nationkey as k from customer where c_acctbal > 9000 intersect select s_nationkey as k from supplier union select n_nationkey as k from nation where n_regionkey = 1 except select 3 as k", "customer", "supplier", "nation")
 _user_sql("user_sql_subquery", "select c_custkey, c_name from customer c where c_acctbal > (select avg(c_acctbal) + 4000 from customer) and exists (select 1 from orders o where o.o_custkey = c.c_custkey)", "customer", "orders")

@@ -95,6 +95,17 @@ def test_guarded_sql(spark):
         tables.query(spark, "select * from parquet.`/root`", view)
 
 
+def test_registered_sql_returns_every_row(spark):
+    large = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{large}/{t}.parquet')")
+    for name in ("user_sql_subquery", "user_sql_outer", "user_sql_window_all"):
+        got = queries.QUERIES[name](spark, large).toPandas()
+        assert rows(got) == rows(con.execute(queries.ORACLE[name]).df())
+    assert tables.query(spark, "select id from t", {"t": spark.range(3000)}, 5000).count() == 2001
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\nx\n# B\ny")
     (tmp_path / "b.txt").write_bytes("caf\xe9".encode("latin-1"))
