@@ -39,14 +39,15 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {w: str(d) for d, ws in enumerate(["zero null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf"]) for w in ws.split()}
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|punto|point)"
+# A plain "at" needs a domain behind it that ends in a spelled dot's label or in one of letters, so times ("at 9.30pm") are none.
 BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
 BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
-PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9])[_-]{_AT}[_-](?=[A-Za-z0-9]+[_-]{_DOT}[_-])", re.I)
+PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*(?:\s+{_DOT}\s+[A-Za-z0-9-]|\.[A-Za-z][A-Za-z0-9-]))|(?<=[A-Za-z0-9])[_-]{_AT}[_-](?=[A-Za-z0-9]+[_-]{_DOT}[_-])", re.I)
 PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+{_DOT}\s+|[_-]{_DOT}[_-])(?=[A-Za-z0-9])", re.I)
 NUMBER_RUN = re.compile(rf"(?<!\w)(?:plus\s+)?(?:{_WORD}|[0-9]+)(?:[\s,.()-]{{1,3}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,3}})?(?:{_WORD}|[0-9]+))+(?!\w)", re.I)
 RUN_PART = re.compile(rf"(?P<word>{_WORD})(?!\w)|(?P<plus>plus\s+)|(?P<dot>[\s,.-]*(?:dot|point|punkt|punto)[\s,.-]*)|(?P<num>[0-9]+)|(?P<gap>[\s,.()-]+)", re.I)
-#: What makes it worth while to run the transducers over a text.
-HINT_AT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]|[\s_-]{_DOT}[\s_-]", re.I)
+#: What makes it worth while to run the transducers over a text: HINT_AT holds for all that the four patterns of marks need.
+HINT_AT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]|[\s_-]{_DOT}[\s_-]|\s{_AT}\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 HINT_WORD = re.compile(rf"(?<!\w)(?:(?:{_WORD})[\s,.-]{{1,3}}){{2}}|(?<!\w)(?:{_WORD})[\s,.-]{{1,3}}[0-9]|[0-9][\s,.-]{{1,3}}(?:{_WORD})(?!\w)", re.I)
 LEET = re.compile(r"(?<![A-Za-z0-9])[0-9OolI](?:[ -]?[0-9OolI]){12,18}(?![A-Za-z0-9])")
 Spans = list[tuple[int, int]]

@@ -171,6 +171,14 @@ def test_disguises_are_undone_in_place(text, kind, hit):
     assert hit in [text[b:e] for b, e in every[kind]]
 
 
+@pytest.mark.parametrize("hit", ["jane at example.com", "jane at mail1.example.co.uk", "jane arroba example.com", "jane [at] example.com", "jane at example dot com", "jane_at_example_dot_com", "jane at mail dot example.com", "jane (at) example [.] com", "jane@example point com"])
+def test_a_disguise_is_found_with_and_without_other_hints(hit):
+    for text in (f"write to {hit}, now", f"a moot point here; write to {hit}, now", f"write to {hit}, now or [at] noon"):
+        assert hit in [text[b:e] for b, e in pii.find(text)[1]["email"]], text
+    for text in ("it fell at 3.5 percent", "met at 9.30pm", "a moot point met at 9.30 then"):
+        assert not pii.find(text)[1]["email"], text
+
+
 def test_clean_prose_has_no_spans_and_base_ones_stay():
     for text in ("The at of, one two or three dots at the end.", "Ménage à trois, Über 12 points", "", "I met five at one point"):
         assert not any(pii.find(text)[1].values()), text
