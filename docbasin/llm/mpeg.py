@@ -142,6 +142,13 @@ def _size(data: bytes) -> int:
     return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
 
 
+def _framed(data: bytes, at: int) -> bool:
+    """Whether whole frames, one behind the other, fill the data from `at` to their end."""
+    while at + 4 <= len(data) and (h := header(int.from_bytes(data[at : at + 4], "big"))):
+        at += h.length
+    return at == len(data)
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """Tags, and where the frames begin and end. Damaged tags end the reading of tags, not of the stream."""
     tags, begin, end = {}, 0, len(data)
@@ -169,10 +176,13 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
 def parse(data: bytes) -> Audio:
     audio = Audio()
     audio.tags, at, end = _tags(data)
-    synced = False
+    begin, synced = at, False
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
         after = at + h.length if h else 0
+        if h and after > end and end < len(data) and (synced or at == begin) and _framed(data, at):
+            # What looks like an ID3v1 tag is the inside of the last frames.
+            end, audio.tags = len(data), {k: v for k, v in audio.tags.items() if not k.startswith("id3v1:")}
         if h and after <= end and (synced or after + 4 > end or header(int.from_bytes(data[after : after + 4], "big"))):
             body = at + 4 + 2 * h.protected
             if h.protected and h.layer == 3 and frame_crc_cached(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):

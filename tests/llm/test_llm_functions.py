@@ -82,6 +82,16 @@ def test_payload_comes_back(text):
     assert audio.seconds * 48000 == 1152 * len(audio.offsets)
 
 
+@pytest.mark.parametrize("text", ["x" * 506 + "TAG", "x" * 506 + "TAG" + "y" * 67, "y" * 576 * 3 + "x" * 506 + "TAGged", "é" * 253 + "TAG"])
+def test_letters_of_a_tag_inside_the_payload_are_payload(text):
+    data = mpeg.write([text.encode()])[0]
+    audio = mpeg.parse(data)
+    assert mpeg.payload(data, audio) == mpeg.padded(text.encode()) and audio.skipped == 0
+    assert len(audio.offsets) == audio.table["frames"] and not any(k.startswith("id3v1") for k in audio.tags)
+    tagged = mpeg.parse(data + b"TAG" + b"Song".ljust(125, b"\0"))
+    assert tagged.offsets == audio.offsets and tagged.tags["id3v1:title"] == "Song" and tagged.skipped == 0
+
+
 def _frame(rate_index: int, protected: bool = False) -> bytes:
     head = bytes([0xFF, 0xFA if protected else 0xFB, rate_index << 4, 0])
     h = mpeg.header(int.from_bytes(head, "big"))
