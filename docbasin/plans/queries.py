@@ -408,6 +408,13 @@ def chunk_window(spark, sf_dir):
     return content.chunk(read(spark, sf_dir, "documents"))
 
 
+@query()
+def chunk_structured(spark, sf_dir):
+    """Documents as blocks: their sentences apart by blank lines, under a heading of their source."""
+    blocks = F.concat(F.lit("Section "), "source", F.lit("\n\n"), F.regexp_replace("text", r"([.!?])\s+", "$1\n\n"))
+    return content.chunk(read(spark, sf_dir, "documents").select("doc_id", blocks.alias("text")))
+
+
 @query()
 def html_sections(spark, sf_dir):
     return content.sections(read(spark, sf_dir, "pages"), "html")

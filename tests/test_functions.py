@@ -20,6 +20,17 @@ def test_chunks_cover_the_text_and_stay_short():
         scan.chunks(text, 100, 80)
 
 
+def test_chunks_keep_blocks_headings_and_steps():
+    para, other = "alpha " * 20 + "end.", "beta " * 50 + "end."
+    text = f"1. Setup\n\n{para}\n\n{other}\n\n\nintro line\n1) open it\n2) close it\nwell\n\nUSAGE NOTES:\n\n{other}"
+    assert scan.segments(text) == [f"1. Setup\n{para}", f"1. Setup\n{other}", "1. Setup\nintro line", "1. Setup\n1) open it", "1. Setup\n2) close it\nwell", f"USAGE NOTES:\n{other}"]
+    s = scan.segments(text)
+    assert scan.chunks(text, 300, 60) == [s[0], s[0][-60:].strip(), f"{s[1]}\n\n{s[2]}", "\n\n".join(s[2:5]), f"{s[4]}\n\n{s[5]}"]
+    assert all(len(c) <= 300 for c in scan.chunks(f"{para * 5}\n\n{para}", 300, 60))
+    assert [scan.heading(h) for h in ("# a b", "Chapter one", "2.1 Parts", "IV. Parts", "Two Words", "Two Words.", "A, B And C", "abc", "plain text here")] == [True] * 5 + [False] * 4
+    assert scan.chunks("HEADING ONLY\n\n" + "word " * 100, 300, 60) == scan.windows("HEADING ONLY\n\n" + "word " * 100, 300, 60)
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Parks", "park"), ("Alice's", "alice"), ("—Em-Dash—", "em-dash"), ("NASA", "nasa")])
 def test_entity_names(raw, want):
     assert scan.normal_entity(raw) == want
