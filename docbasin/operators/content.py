@@ -42,6 +42,22 @@ def usable_entities(found: DataFrame, documents: int, share: float = 0.3, key: s
     return counts.crossJoin(F.broadcast(most)).where((F.col("df") >= 2) & (F.col("df") <= max(2, int(share * documents)))).select("entity", "df", (1 - F.col("df") / F.col("most")).alias("rarity"))
 
 
+def asked_entities(usable: DataFrame, query: str, cap: int = 10) -> DataFrame:
+    """The usable entities that the query's own (at most `cap`) stand for, each once.
+
+    An entity stands for itself, else for the one that shares a content word with it and is rarest (by df, then name).
+    """
+    asked = scan.entities(query, cap)
+    words = [(a, w) for a in asked for w in sorted(scan.entity_words(a))]
+    spark = usable.sparkSession
+    names = spark.createDataFrame([(a,) for a in asked], "asked string")
+    exact = usable.join(F.broadcast(names), F.col("entity") == F.col("asked"))  # at most `cap` rows
+    parts = usable.select("entity", "df", "rarity", F.explode(F.array_distinct(F.regexp_extract_all("entity", F.lit("[a-z0-9'-]+"), F.lit(0)))).alias("word"))
+    alike = parts.join(F.broadcast(spark.createDataFrame(words, "asked string, word string")), "word").groupBy("asked").agg(F.min_by(F.struct("entity", "df", "rarity"), F.struct("df", "entity")).alias("best"))
+    others = alike.join(exact.select("asked"), "asked", "left_anti").select("best.*")
+    return exact.select("entity", "df", "rarity").unionByName(others).distinct()
+
+
 def policy(docs: DataFrame, action: str = "flag", rules: list[tuple] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, flagged, status, suggested. action: off, flag, quarantine or reject; critical findings quarantine even under flag."""
     chosen = rules or scan.POLICY

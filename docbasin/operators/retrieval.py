@@ -176,7 +176,12 @@ def within_budget(rows: DataFrame, document: str, position: str, text: str, max_
     return rows.withColumn("used", total).withColumn("place", F.row_number().over(w)).where((F.col("used") <= max_chars) | (F.col("place") == 1))
 
 
-def entity_boost(scores: DataFrame, shared: DataFrame, weight: float = 0.2, key: str = "doc_id") -> DataFrame:
-    """shared (key, entity, rarity) -> scores raised by weight * S / (1 + S), S the rarities of two or more shared entities."""
-    lift = shared.groupBy(key).agg(F.sum("rarity").alias("s"), F.count("*").alias("n")).where("n >= 2").select(key, (F.lit(weight) * F.col("s") / (1 + F.col("s"))).alias("lift"))
-    return scores.join(lift, key, "left").select(key, (F.col("score") + F.coalesce("lift", F.lit(0.0))).alias("score"))
+def entity_boost(scores: DataFrame, shared: DataFrame, weight: float = 0.2, key: str = "doc_id", most: int = 25) -> DataFrame:
+    """shared (key, entity, rarity) holds the query's entities in documents -> scores raised by weight * S / (1 + S), S the
+    rarities of two or more of them; and at most `most` documents without a score, those of most entities first, from 0.
+    """
+    s = F.coalesce(F.sum("rarity"), F.lit(0.0))
+    hits = shared.distinct().groupBy(key).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.lit(weight) * s / (1 + s)).otherwise(0.0).alias("lift"))
+    raised = scores.join(hits, key, "left").select(key, (F.col("score") + F.coalesce("lift", F.lit(0.0))).alias("score"))
+    added = hits.join(scores, key, "left_anti").orderBy(F.desc("n"), key).limit(most).select(key, F.col("lift").alias("score"))
+    return raised.unionByName(added)

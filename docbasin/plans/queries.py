@@ -14,6 +14,8 @@ from docbasin.operators import content, governance, retrieval, tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 QUESTION = "worthless reation erand the erand trash"
+#: Names entities: gnu, mit license and, by one word, apache license.
+NAMING = "worthless trash under the GNU terms, the MIT License or what Apache says"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = rf"list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{{2,}}') and x not in ({STOP}))"
 
@@ -429,8 +431,9 @@ def entities_df(spark, sf_dir):
 def entity_boost(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     found = content.entities(docs)
-    shared = found.join(content.usable_entities(found, docs.count()), "entity").select("doc_id", "entity", "rarity")
-    return retrieval.entity_boost(retrieval.bm25_scores(docs, QUESTION), shared)
+    asked = content.asked_entities(content.usable_entities(found, docs.count()), NAMING)
+    shared = found.join(F.broadcast(asked), "entity").select("doc_id", "entity", "rarity")  # asked: at most ten rows
+    return retrieval.entity_boost(retrieval.bm25_scores(docs, NAMING), shared)
 
 
 @query()

@@ -95,6 +95,27 @@ def test_guarded_sql(spark):
         tables.query(spark, "select * from parquet.`/root`", view)
 
 
+def test_entities_of_the_query_are_resolved_boosted_and_add_documents(spark):
+    texts = ["met Alice Johnson about Titan Renewal", "for Alice Johnson and Titan Renewal", "of Zeta and Omega", "with Zeta and Omega", "plain budget words", "budget of Titan Renewal", *["filler"] * 14]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = content.entities(docs)
+    usable = content.usable_entities(found, docs.count())
+
+    def boosted(query):
+        asked = content.asked_entities(usable, query)
+        shared = found.join(asked, "entity").select("doc_id", "entity", "rarity")
+        scores = spark.createDataFrame([(0, 1.0), (2, 2.0), (4, 3.0)], "doc_id long, score double")
+        return {r.entity for r in asked.collect()}, {r.doc_id: round(r.score, 6) for r in retrieval.entity_boost(scores, shared).collect()}
+
+    assert boosted("what is the budget") == (set(), {0: 1.0, 2: 2.0, 4: 3.0})
+    # rarity: alice johnson 1 - 2/3, titan renewal 1 - 3/3
+    lift = round(0.2 * (1 / 3) / (4 / 3), 6)
+    assert boosted("did Alice know Project Titan") == ({"alice johnson", "titan renewal"}, {0: 1.0 + lift, 1: lift, 2: 2.0, 4: 3.0, 5: 0.0})
+    assert boosted("about Zeta then")[1] == {0: 1.0, 2: 2.0, 3: 0.0, 4: 3.0}
+    few = retrieval.entity_boost(spark.createDataFrame([], "doc_id long, score double"), spark.range(40).selectExpr("id as doc_id", "'e' as entity", "0.5 as rarity"))
+    assert sorted(r.doc_id for r in few.collect()) == list(range(25))
+
+
 def test_registered_sql_returns_every_row(spark):
     large = "/root/testdata/sf0.1"
     con = duckdb.connect()
