@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docbasin.functions.text import nearest_rank
-
 # Cell texts that mean no value; words a query must not hold; shapes of dates.
 NULL_MARKERS = ["", "--", "-", "n/a", "na", "nan", "null", "none", "nil", "—", "–", "n.a.", "n.a", "#n/a", "#na", "#null", "#value!", "#ref!", "#div/0!", "provide", "missing", "unknown", "tbd", "tba", "undefined"]
 FORBIDDEN = "insert update delete drop alter create attach detach pragma vacuum reindex truncate grant revoke merge set call use".split()
@@ -16,6 +14,8 @@ DATE = r"^\d{4}-\d{1,2}-\d{1,2}(\s+\d{1,2}:\d{2}(:\d{2})?)?$|^\d{1,2}/\d{1,2}/\d
 DATE_FORMATS = ["yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "M/d/yyyy", "M/d/yy", "d-MMM-yyyy", "d-MMM-yy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy"]
 FUNCTIONS = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
 MAX_ROWS = 2000
+#: Ranges of values that a column's profile is dealt by.
+RANGES = 200
 
 
 def known(cell: Column) -> Column:
@@ -92,23 +92,33 @@ def aggregate(table: DataFrame, column: str, fn: str, by: str | None = None, sor
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """column, nulls, distinct, min, max, mean, total, p25, p50, p75 (nearest rank, ties to even) of numeric columns.
 
-    Exact percentiles of a column are order statistics of its distinct values with counts, which are bounded by what
-    one group holds; for columns of very many distinct values use percentile_approx instead.
+    Percentiles are exact. The distinct values with their counts stay rows, dealt by ranges of values; a value's place is
+    its running count in its range plus the counts of the ranges before. The cut points come to the driver (at most
+    RANGES a column); they need only be about even, but the same for all who deal by them.
     """
     cells = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
     counted = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
-    runs = counted.groupBy("column").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n")))).alias("mean"), F.sum(F.col("v") * F.col("n")).alias("total"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("n"), F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))).alias("runs"))
+    total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
+    figures = counted.groupBy("column").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / total).alias("mean"), F.sum(F.col("v") * F.col("n")).alias("total"), total.alias("all"))
+    known_values = counted.where("v is not null")
+    cuts = known_values.groupBy("column").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)]).alias("cuts")).collect()
+    cut = table.sparkSession.createDataFrame([(r["column"], sorted(set(r.cuts))) for r in cuts], "column string, cuts array<double>")
+    dealt = known_values.join(F.broadcast(cut), "column").select("column", "v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))
+    sums = dealt.groupBy("column", "part").agg(F.sum("n").alias("held"))
+    before = sums.withColumn("before", F.sum("held").over(Window.partitionBy("column").orderBy("part")) - F.col("held")).select("column", "part", "before")
+    running = F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
+    ends = dealt.withColumn("running", running).join(F.broadcast(before), ["column", "part"]).join(F.broadcast(figures.select("column", "all")), "column").withColumn("end", F.col("running") + F.col("before"))  # a row for each part and column, and for each column
 
     def at(percent: int) -> Column:
-        rank = F.bround(F.lit(percent / 100.0) * (F.col("n") - 1), 0)
-        walked = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v")), lambda a, r: F.struct((a.seen + r.n).alias("seen"), F.when(a.v.isNotNull(), a.v).when(a.seen + r.n > rank, r.v).alias("v")))
-        return walked.getField("v")
+        rank = F.bround(F.lit(percent / 100.0) * (F.col("all") - 1), 0)
+        return F.max(F.when((F.col("end") > rank) & (F.col("end") - F.col("n") <= rank), F.col("v")))
 
-    return runs.select("column", "nulls", "distinct", "min", "max", "mean", "total", *(at(p).alias(f"p{p}") for p in (25, 50, 75)))
+    ranks = ends.groupBy("column").agg(*(at(p).alias(f"p{p}") for p in (25, 50, 75)))
+    return figures.join(F.broadcast(ranks), "column", "left").select("column", "nulls", "distinct", "min", "max", "mean", "total", "p25", "p50", "p75")
 
 
 def small_profile(table: DataFrame, column: str) -> DataFrame:
-    return table.agg(*(nearest_rank(F.collect_list(column), p).alias(f"p{p}") for p in (25, 50, 75)))
+    return profile(table, [column]).select("p25", "p50", "p75")
 
 
 def roll_up(lots: DataFrame, keys: list[str], sums: list[str], labels: list[str]) -> DataFrame:

@@ -127,6 +127,19 @@ def test_registered_sql_returns_every_row(spark):
     assert tables.query(spark, "select id from t", {"t": spark.range(3000)}, 5000).count() == 2001
 
 
+def test_profile_of_many_distinct_values_is_exact_and_gathers_none(spark):
+    table = spark.range(5000).selectExpr("(id * 7919 % 5000) * 0.5 - 100 as a", "case when id % 3 > 0 then cast(id % 11 as double) end as b", "cast(null as double) as c")
+    out = tables.profile(table, ["a", "b", "c"])
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, values = {r.column: r for r in out.collect()}, table.toPandas()
+    for c in "ab":
+        v = sorted(values[c].dropna())
+        assert [got[c].p25, got[c].p50, got[c].p75] == [v[round(p * (len(v) - 1))] for p in (0.25, 0.5, 0.75)]
+        assert (got[c].nulls, got[c].distinct, got[c].min, got[c].max) == (5000 - len(v), len(set(v)), v[0], v[-1])
+    assert (got["c"].nulls, got["c"].distinct, got["c"].p50) == (5000, 0, None)
+    assert tuple(tables.small_profile(table, "a").first()) == (got["a"].p25, got["a"].p50, got["a"].p75)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\nx\n# B\ny")
     (tmp_path / "b.txt").write_bytes("caf\xe9".encode("latin-1"))
