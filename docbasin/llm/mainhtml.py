@@ -14,7 +14,7 @@ menus, headers, notices, adverts, sidebars, forms, comments and footers in many
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -63,7 +63,7 @@ def attribute_flags(attrs: list[tuple[str, str | None]]) -> int:
     out = 0
     for name, value in attrs:
         if name in ("class", "id", "role", "itemprop", "aria-label") and value:
-            found = {p.lower() for p in PART.findall(value[:400])}
+            found = {p.lower() for p in PART.findall(value)}
             for i, group in enumerate(TOKENS):
                 if found & group:
                     out |= 1 << i
@@ -73,10 +73,28 @@ def attribute_flags(attrs: list[tuple[str, str | None]]) -> int:
 class Dom(HTMLParser):
     """Block nodes of a page. Unclosed and misnested tags are put right as browsers do, roughly."""
 
-    def __init__(self):
+    def __init__(self, heard: frozenset[str] = frozenset()):
+        """heard: elements without a visible text of their own that are read nevertheless, as they are never closed."""
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
-        self.silent, self.in_link, self.run, self.marks = [], 0, [], {}
+        self.silent, self.in_link, self.run = [], 0, []
+        self.heard, self.unclosed = heard, set()
+        #: By tag, the open nodes from the root down: an end tag finds its element, or that there is none, at once.
+        self.open: dict[str, list[Node]] = {}
+
+    def rise(self, to: Node) -> None:
+        """Closes all open nodes below `to`."""
+        while self.at is not to:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def deepest(self, tags: Iterable[str]) -> Node | None:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda n: n.depth, default=None)
+
+    def speak(self) -> None:
+        """Ends a silence that its own end tag did not end."""
+        self.unclosed.update(self.silent[:1])
+        self.silent = []
 
     def updatepos(self, i: int, j: int) -> int:
         """Lines and columns aren't needed."""
@@ -98,9 +116,7 @@ class Dom(HTMLParser):
             if tag in SILENT and tag not in VOID and tag == self.silent[-1]:
                 self.silent.append(tag)
             return
-        if tag == "body" and self.at.tag != "#root" and self.at.tag == "html":
-            self.silent = []
-        if tag in SILENT:
+        if tag in SILENT and tag not in self.heard:
             if tag == "head" or tag not in VOID:
                 self.silent.append(tag)
             return
@@ -120,20 +136,19 @@ class Dom(HTMLParser):
         label = next((v for k, v in attrs if k == "data-label"), None)
         node = Node(tag, self.at, attribute_flags(attrs))
         node.label = label
+        self.open.setdefault(tag, []).append(node)
         self.at = node
 
     def close_before(self, tag: str) -> None:
-        node = self.at
         if tag in CLOSES:
-            while node.parent and node.tag not in KEEPS_OPEN.get(tag, ()):
-                if node.tag in CLOSES[tag]:
-                    self.at = node.parent
-                    return
-                node = node.parent
+            before, fence = self.deepest(CLOSES[tag]), self.deepest(KEEPS_OPEN.get(tag, ()))
+            if before and (fence is None or before.depth > fence.depth):
+                self.rise(before.parent)
         else:
+            node = self.at
             while node.parent and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 node = node.parent
-            self.at = node
+            self.rise(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -145,7 +160,7 @@ class Dom(HTMLParser):
             if tag == self.silent[-1]:
                 self.silent.pop()
             elif tag in ("head", "body", "html"):
-                self.silent = []
+                self.speak()
             return
         if tag in INLINE:
             if tag == "a":
@@ -154,13 +169,10 @@ class Dom(HTMLParser):
         if tag in VOID:
             self.flush()
             return
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
+        if self.open.get(tag):
             self.flush()
             self.in_link = 0
-            self.at = node.parent
+            self.rise(self.open[tag][-1].parent)
 
     def handle_data(self, data):
         if not self.silent:
@@ -176,17 +188,29 @@ class Bodyward(Dom):
         super().handle_starttag(tag, attrs)
 
 
-def parse(html: str) -> list[Node]:
-    """Nodes of a page in page order, the root first, with their subtrees' sums."""
-    dom = Bodyward()
+def _read(html: str, heard: frozenset[str]) -> Dom:
+    dom = Bodyward(heard)
     try:
         dom.feed(html)
         dom.close()
     except AssertionError:  # a marked section that the parser refuses: as text
-        dom = Bodyward()
+        dom = Bodyward(heard)
         dom.feed(html.replace("<![", "&lt;!["))
         dom.close()
+    dom.speak()
     dom.flush()
+    return dom
+
+
+def parse(html: str) -> list[Node]:
+    """Nodes of a page in page order, the root first, with their subtrees' sums.
+
+    Where a silent element other than the head is never closed, it would silence the rest of the page; the page is then
+    read again with such elements as blocks, at most once for each kind of them.
+    """
+    heard: frozenset[str] = frozenset()
+    while (unclosed := (dom := _read(html, heard)).unclosed - {"head", "script", "style"} - heard):
+        heard |= unclosed
     out, todo = [], [dom.root]
     while todo:
         node = todo.pop()
