@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one piece of a batch may hold; a single longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -94,9 +95,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: the cluster's spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """A new path in the folder that driver and executors share: the cluster's spark.checkpoint.dir. Only a local master does without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -106,3 +109,8 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     path = shared_folder(df.sparkSession, name)
     (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name`, a number for each row. The table is written once, so a row keeps its number however often it is read."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -12,9 +12,9 @@
    typical one first, then one chosen by a hash. Coordinates that agree are counted, pairs with enough are confirmed
    on the full sets, and confirmed links are merged into components. A list whose members are all in one component is
    done. The members of lists that are still open are put together by the lists' most typical hub, so that lists of
-   one family count once, and the full sets of those outside a family's largest component are compared with all of
-   the family's, in cells of bounded size; out of a cell come at most as many links as join its components. So no
-   link between components is lost.
+   one family count once, and those outside a family's largest component meet all of the family's in cells of bounded
+   size. There too, collisions of signatures are counted, with the same prefix and skipping, and pairs with enough are
+   confirmed; out of a cell come at most as many links as join its components. So no link between components is lost.
 
 Components come from label propagation with pointer jumping over tables; links and components stay distributed.
 """
@@ -37,8 +37,8 @@ HUB_ROUNDS = 2
 CELL_BYTES, SMALL_BYTES = 4 << 20, 256 << 10
 #: Ids up to which a table of them is broadcast (16 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Bytes kept of each shingle's hash when sets are compared.
-HASH_BYTES = 5
+#: Parts that the members of one family are dealt by before they meet its figures.
+SALTS = 64
 
 
 def matches_needed(threshold: float, coordinates: int = COORDINATES, miss: float = 1e-9) -> int:
@@ -103,22 +103,20 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, text) -> id, shingle_set (sorted hashes, HASH_BYTES each)."""
+    """docs (doc_id, text) -> id, shingle_set (the shingles' sorted 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             per, value = shingles(piece["text"], size)
-            packed = np.ascontiguousarray((value >> np.uint64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
-            ends = np.cumsum(per) * HASH_BYTES
-            yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array([packed[b:e] for b, e in zip(ends - per * HASH_BYTES, ends, strict=True)], pa.binary())], names=["id", "shingle_set"])
+            packed, ends = value.tobytes(), np.cumsum(per) * 8
+            own = [packed[b:e] for b, e in zip(ends - per * 8, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(own, pa.binary())], names=["id", "shingle_set"])
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(run, "id long, shingle_set binary")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
-    return out.reshape(-1).view(np.uint64)
+    return np.frombuffer(packed, np.uint64)
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -178,18 +176,27 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, needed: int) -> DataFrame:
     return both.where(F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda same: same)) >= needed).select("a", "b")
 
 
-def _cell(ids: np.ndarray, component: np.ndarray, outside: np.ndarray, packed: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links between the sets marked `outside` and the others that join components: of each two components one at most."""
-    sets = [_unpacked(p) for p in packed]
-    size = np.array([len(x) for x in sets])
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    end = np.cumsum(size)
+def collisions(one: np.ndarray, others: np.ndarray, needed: int) -> np.ndarray:
+    """Rows of `others` (signatures, a coordinate a column) that agree with `one` in at least `needed` coordinates.
+
+    A signature that agrees nowhere in the first coordinates, all but needed - 1 of them, can't reach the count: the
+    rest of its coordinates is skipped.
+    """
+    first = others.shape[1] - needed + 1
+    met = np.flatnonzero((others[:, :first] == one[:first]).any(1))
+    return met[(others[met] == one).sum(1) >= needed]
+
+
+def _cell(ids: np.ndarray, component: np.ndarray, outside: np.ndarray, tokens: np.ndarray, packed: list[bytes], needed: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets marked `outside` and the others that join components: of each two components one at most.
+
+    Pairs come from collisions of signatures and are confirmed on the full sets.
+    """
     left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
     if not len(left) or not len(right):
         return []
-    chosen = np.concatenate([element[end[r] - size[r] : end[r]] for r in right])
-    begin = np.cumsum(size[right]) - size[right]
-    mark, up, out = np.zeros(int(element.max()) + 1, np.int32), {}, []
+    others = np.ascontiguousarray(tokens[right])
+    up, out = {}, []
 
     def root(c: int) -> int:
         while up.get(c, c) != c:
@@ -197,37 +204,47 @@ def _cell(ids: np.ndarray, component: np.ndarray, outside: np.ndarray, packed: l
         return c
 
     for x in left:
-        mine = element[end[x] - size[x] : end[x]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[chosen], begin)
-        mark[mine] = 0
-        for y in right[(100 * both >= percent * (size[x] + size[right] - both)) & (component[right] != component[x])]:
+        mine = _unpacked(packed[x])
+        for y in right[collisions(tokens[x], others, needed)]:
             a, b = root(int(component[x])), root(int(component[y]))
-            if a != b:
+            if a == b:
+                continue
+            theirs = _unpacked(packed[y])
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if 100 * both >= percent * (len(mine) + len(theirs) - both):
                 up[max(a, b)] = min(a, b)
                 out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
     return out
 
 
-def family_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """members (family, id, component), distinct -> links (a, b) enough to join all components that a family's links join."""
+def family_links(members: DataFrame, sigs: DataFrame, full: DataFrame, needed: int, percent: int) -> DataFrame:
+    """members (family, id, component), distinct -> links (a, b) enough to join all components that a family's links join.
+
+    A family's figures are few rows, but its members may be a third of all: they meet by family and salt.
+    """
     parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighed = members.join(full.select("id", F.octet_length("shingle_set").alias("bytes")), "id")
+    weighed = stored(members.join(full.select("id", F.octet_length("shingle_set").alias("bytes")), "id"), "weighed")
     sizes = weighed.groupBy("family", "component").agg(F.sum("bytes").alias("bytes")).groupBy("family").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("inside"), F.max_by("component", F.struct("bytes", "component")).alias("largest"))
-    cut = sizes.select("family", "largest", (F.col("all") <= SMALL_BYTES).alias("small"), F.greatest(F.ceil(F.col("all") / CELL_BYTES), F.lit(1)).cast("int").alias("all_blocks"), F.greatest(F.ceil((F.col("all") - F.col("inside")) / CELL_BYTES), F.lit(1)).cast("int").alias("out_blocks"))
-    placed = weighed.drop("bytes").join(cut, "family")
+    blocks = {"all_blocks": F.col("all"), "out_blocks": F.col("all") - F.col("inside")}
+    cut = sizes.select("family", "largest", (F.col("all") <= SMALL_BYTES).alias("small"), *(F.greatest(F.ceil(b / CELL_BYTES), F.lit(1)).cast("int").alias(n) for n, b in blocks.items()))
+    salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = weighed.select("family", "id", "component", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["family", "salt"]).drop("salt")
     at = F.xxhash64("id", F.lit(99))
     everyone = placed.select("family", "id", "component", "small", F.lit(False).alias("outside"), F.pmod(at, "all_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("j"))
     outside = placed.where("component <> largest").select("family", "id", "component", "small", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(at, "out_blocks").cast("int").alias("j"))
     cell = F.when(F.col("small"), F.pmod(F.xxhash64("family"), F.lit(parts))).otherwise(F.xxhash64("family", "i", "j"))
-    dealt = everyone.union(outside).withColumn("cell", cell).join(full, "id").select("cell", "family", "i", "j", "id", "component", "outside", "shingle_set")
+    known = full.join(sigs, "id")
+    dealt = everyone.union(outside).withColumn("cell", cell).join(known, "id").select("cell", "family", "i", "j", "id", "component", "outside", "tokens", "shingle_set")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
         key = np.stack([table[c].to_numpy() for c in ("family", "i", "j")])
         ids, component, outer = table["id"].to_numpy(), table["component"].to_numpy(), table["outside"].to_numpy()
+        tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(ids)]
-        found = [p for b, e in zip(cuts, cuts[1:], strict=False) for p in _cell(ids[b:e], component[b:e], outer[b:e], table["shingle_set"].slice(b, e - b).to_pylist(), percent)]
+        found = []
+        for b, e in zip(cuts, cuts[1:], strict=False):
+            found += _cell(ids[b:e], component[b:e], outer[b:e], tokens[b:e], table["shingle_set"].slice(b, e - b).to_pylist(), needed, percent)
         return pa.table([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
@@ -270,7 +287,7 @@ def links(members: DataFrame, sigs: DataFrame, full: DataFrame, needed: int, per
     lists = current.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", F.struct("weight", "id")).alias("family")).where("low < high").select("token", "family")
     rest = stored(current.join(lists, "token").select("family", "id", "component").distinct(), "families")
     if not rest.isEmpty():
-        found = stored(family_links(rest, full, percent), "links")
+        found = stored(family_links(rest, sigs, full, needed, percent), "links")
         if not found.isEmpty():
             component = merged(component, found)
     return component if component is not None else members.sparkSession.createDataFrame([], "id long, component long")
