@@ -8,8 +8,9 @@ before each. That is a state of the transducer; a move reads a byte and writes t
 A token is settled once it lies on the paths of all these places, so the lookahead is bounded by the longest token.
 States and moves are made when first needed and kept, up to a bound; past the bound the table starts afresh.
 
-Decoding. Tokens drive an automaton over UTF-8 well-formedness (the table of the Unicode standard, 3-7); the moves of
-whole tokens are composed when first needed. It gives out complete characters only, and U+FFFD for ill-formed bytes.
+Decoding. Tokens drive an automaton over UTF-8 well-formedness (the table of the Unicode standard, 3-7); its states are
+the bytes that wait, and the moves of whole tokens are composed when first needed. It gives out complete characters
+only, and U+FFFD for ill-formed bytes. What op10 hashes as decoded is what this decoder gives out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,6 +29,8 @@ from docbasin.llm.common import arrow, pieces, read
 #: Bounds of a task's tables: states of the transducer, and words in each of two generations of kept encodings.
 MAX_STATES = 200_000
 MAX_WORDS = 200_000
+#: Moves of the decoder that are kept: a state and a token each.
+MAX_MOVES = 200_000
 #: Input bytes between two looks for settled tokens.
 STRIDE = 256
 
@@ -197,54 +199,63 @@ def utf8_automaton() -> dict[tuple, list]:
     return table
 
 
+class Waiting(dict):
+    """The decoder's moves while `held`, the bytes of an unfinished character, wait: id -> the text given out, the moves from then on.
+
+    A move runs the token's bytes through the automaton when it is first needed. An ill-formed sequence gives one U+FFFD
+    for its longest beginning that could have been well-formed.
+    """
+
+    def __init__(self, held: bytes, bytes_of: list[bytes], rows: dict[bytes, Waiting]):
+        super().__init__()
+        self.held, self.bytes_of, self.rows = held, bytes_of, rows
+        rows[held] = self
+
+    def __missing__(self, i: int) -> tuple[str, Waiting]:
+        table, state, held, out = utf8_automaton(), (), b"", []
+        for byte in self.held:
+            state = table[state][byte]
+        held = self.held
+        for byte in self.bytes_of[i]:
+            to = table[state][byte]
+            if to is None and held:
+                out.append("\ufffd")
+                held, state = b"", ()
+                to = table[state][byte]
+            if to is None:
+                out.append("\ufffd")
+                continue
+            held, state = held + bytes([byte]), to
+            if not to:
+                out.append(held.decode())
+                held = b""
+        row = self.rows.get(held)
+        step = self[i] = ("".join(out), Waiting(held, self.bytes_of, self.rows) if row is None else row)
+        return step
+
+
 class StreamingDecoder:
     """Ids in, complete characters out; bytes of an unfinished character wait for the next ids."""
 
-    def __init__(self, bytes_of: list[bytes]):
-        self.bytes_of, self.waiting, self.state = bytes_of, b"", ()
-        self.composed: dict[tuple, dict[int, tuple | None]] = {}
-
-    def through(self, ids: Iterable[int], state: tuple | None = ()) -> tuple | None:
-        """The state after whole tokens, None once a byte can't follow; moves of tokens are composed when first needed."""
-        composed = self.composed
-        for i in ids:
-            row = composed.get(state)
-            if row is None:
-                row = composed[state] = {}
-            if i in row:
-                state = row[i]
-            else:
-                to, table = state, utf8_automaton()
-                for byte in self.bytes_of[i]:
-                    to = table[to][byte]
-                    if to is None:
-                        break
-                state = row[i] = to
-            if state is None:
-                return None
-        return state
+    def __init__(self, bytes_of: list[bytes], max_moves: int = MAX_MOVES):
+        self.bytes_of, self.max_moves = bytes_of, max_moves
+        self.rows: dict[bytes, Waiting] = {}
+        self.row = Waiting(b"", bytes_of, self.rows)
 
     def feed(self, ids: Iterable[int]) -> str:
-        table, out = utf8_automaton(), []
-        for byte in chain.from_iterable(self.bytes_of[i] for i in ids):
-            to = table[self.state][byte]
-            if to is None:
-                if self.waiting:
-                    out.append("�")
-                    self.waiting, self.state = b"", ()
-                    to = table[()][byte]
-                if to is None:
-                    out.append("�")
-                    continue
-            self.waiting += bytes([byte])
-            self.state = to
-            if not to:
-                out.append(self.waiting.decode())
-                self.waiting = b""
+        if sum(map(len, self.rows.values())) > self.max_moves:
+            self.rows = {}
+            self.row = Waiting(self.row.held, self.bytes_of, self.rows)
+            self.rows.get(b"") or Waiting(b"", self.bytes_of, self.rows)
+        row, out = self.row, []
+        for i in ids:
+            text, row = row[i]
+            out.append(text)
+        self.row = row
         return "".join(out)
 
     def finish(self) -> str:
-        rest, self.waiting, self.state = "�" * bool(self.waiting), b"", ()
+        rest, self.row = "\ufffd" * bool(self.row.held), self.rows[b""]
         return rest
 
 
@@ -282,7 +293,8 @@ class Tokenizer:
         self.fst._clear()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.fst.bytes_of.__getitem__, ids))
+        """The bytes of a whole sequence, by the streaming decoder."""
+        return (self.decoder.feed(ids) + self.decoder.finish()).encode()
 
 
 @lru_cache(maxsize=2)
@@ -291,25 +303,26 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
-    """`docs` (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, well_formed; with `ids`, the array token_ids too.
+    """`docs` (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, exact (whether the decoded bytes are the text's); with `ids`, the array token_ids too.
 
     One pass over the scan, no shuffle: memory is a bounded piece of a batch plus the bounded tables of a task.
     A null text counts as empty: no tokens. Rows are independent, so repeated rows give repeated results; other columns
     of `docs` are ignored, whatever their names.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean" + ", token_ids array<int>" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", token_ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         name = tok.names.__getitem__
         for piece in pieces(batches):
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "well_formed", "token_ids")}
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "exact", "token_ids")}
             for text in piece["text"].to_pylist():
                 found = tok.encode(text or "")
                 out["n_tokens"].append(len(found))
                 out["ids_sha256"].append(hashlib.sha256(" ".join(map(name, found)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(tok.decode(found)).hexdigest())
-                out["well_formed"].append(tok.decoder.through(found) == ())
+                back = tok.decode(found)
+                out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                out["exact"].append(back == (text or "").encode())
                 if ids:
                     out["token_ids"].append(found)
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
@@ -342,4 +355,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "well_formed")
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact")
