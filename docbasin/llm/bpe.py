@@ -246,7 +246,8 @@ class StreamingDecoder:
         if sum(map(len, self.rows.values())) > self.max_moves:
             self.rows = {}
             self.row = Waiting(self.row.held, self.bytes_of, self.rows)
-            self.rows.get(b"") or Waiting(b"", self.bytes_of, self.rows)
+            if b"" not in self.rows:
+                Waiting(b"", self.bytes_of, self.rows)
         row, out = self.row, []
         for i in ids:
             text, row = row[i]

@@ -1,10 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram is the product of its letters' vectors, the first rolled
-by two places and the second by one (binding with order); a text is the sum of its trigrams' vectors (bundling); a
-language's prototype is the sum over its training texts, less what all languages have in common. A text gets the language of the prototype with
-the largest cosine. Trigrams are counted as numbers first, so that only counts are shuffled, at most one row for each
-language and trigram; documents are scored in one pass over the scan.
+Every letter has a random vector of +1 and -1, drawn by a hash of its code point. A letter trigram is the product of its
+letters' vectors, the first rolled by two places and the second by one (binding with order); a text is the sum of its
+trigrams' vectors (bundling); a language's prototype is the sum over its training texts, less what all languages have in
+common. A text gets the language of the prototype with the largest cosine.
+
+Bundling is linear, so a task sums its texts' vectors by language and only these sums are shuffled; documents are scored
+in one pass over the scan. A task holds DIMENSIONS numbers a language and the vectors of BLOCK trigrams.
 """
 
 from __future__ import annotations
@@ -20,53 +22,87 @@ from pyspark.sql import functions as F
 
 from docbasin.llm.common import arrow, mix, pieces, read
 
-DIMENSIONS = 512
-#: Symbols: 0 for anything between words, 1-26 for a-z, the rest by a hash of the code point.
-SYMBOLS = 128
+DIMENSIONS = 1024
+#: Trigrams whose vectors are made at once.
+BLOCK = 4096
+#: Texts that are compared at once.
+ROWS = 1000
 UNDETERMINED = "und"
 
 
 @lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """Code point -> symbol."""
-    out = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-    out[letters] = 27 + mix(letters) % np.uint64(SYMBOLS - 27)
-    for i in range(26):
-        out[97 + i] = out[65 + i] = i + 1
-    return out
+def alphabetic() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    return np.random.default_rng(20).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+def letters(points: np.ndarray) -> np.ndarray:
+    """A vector of +1 and -1 for each code point (0 stands for the gap between words)."""
+    seeds = points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    bits = np.unpackbits(mix(mix(seeds + np.uint64(1))).view(np.uint8).reshape(len(points), -1), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
-def vectors(codes: np.ndarray) -> np.ndarray:
-    """Trigram vectors by binding."""
-    v = letters()
-    a, b, c = codes // (SYMBOLS * SYMBOLS), codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
-    return (np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]).astype(np.float32)
+def vectors(grams: np.ndarray) -> np.ndarray:
+    """Trigram vectors by binding; grams: three code points a row."""
+    points, at = np.unique(grams, return_inverse=True)
+    v, at = letters(points), at.reshape(grams.shape)
+    return (np.roll(v, 2, 1)[at[:, 0]] * np.roll(v, 1, 1)[at[:, 1]] * v[at[:, 2]]).astype(np.float32)
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and code of each trigram of letters; words are cased down and set apart by one gap."""
+def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and trigram number of each trigram of letters, and the distinct trigrams; words are cased down and set apart by one gap."""
     lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     size = pc.utf8_length(lowered).to_numpy(zero_copy_only=False)
     points = np.frombuffer("".join(lowered.to_pylist()).encode("utf-32-le"), np.uint32)
-    s = symbols()[points]
+    s = np.where(alphabetic()[points], points, np.uint32(0))
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
     first = np.ones(len(s), bool)
     first[1:] = doc[1:] != doc[:-1]
     keep = (s > 0) | first
     keep[1:] |= s[:-1] > 0
-    s, doc = s[keep].astype(np.int32), doc[keep]
+    s, doc = s[keep], doc[keep]
     if len(s) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    ok = (doc[:-2] == doc[2:]) & (s[1:-1] > 0)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 3), np.uint32)
+    place = np.zeros(0x110000, np.int64)
+    place[s] = 1
+    known = np.flatnonzero(place)
+    place[known] = np.arange(len(known))
+    at, k = place[s], len(known)
+    code = (at[:-2] * k + at[1:-1]) * k + at[2:]
     # A one-letter word at a text's edge has no neighbour there; texts of fewer than three symbols give none.
-    return doc[:-2][ok], code[ok]
+    ok = (doc[:-2] == doc[2:]) & (s[1:-1] > 0)
+    code, doc = code[ok], doc[:-2][ok]
+    if k**3 <= 1 << 24:  # few letters: by counting instead of sorting
+        there = np.zeros(k**3, bool)
+        there[code] = True
+        used = np.flatnonzero(there)
+        slot = np.zeros(k**3, np.int64)
+        slot[used] = np.arange(len(used))
+        gram = slot[code]
+    else:
+        used, gram = np.unique(code, return_inverse=True)
+    return doc, gram, known[np.stack([used // (k * k), used // k % k, used % k], 1)].astype(np.uint32)
+
+
+def bundles(row: np.ndarray, gram: np.ndarray, weight: np.ndarray | None, grams: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of trigram vectors by row, a block of trigrams at a time."""
+    out = np.zeros((rows, DIMENSIONS), np.float32)
+    key = row.astype(np.int64) * max(len(grams), 1) + gram
+    if weight is None:
+        key, total = np.unique(key, return_counts=True)
+    else:
+        key, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, weight, len(key))
+    row, gram = key // max(len(grams), 1), key % max(len(grams), 1)
+    order = np.argsort(gram // BLOCK, kind="stable")
+    row, gram, total = row[order], gram[order], total[order]
+    for begin in range(0, len(grams), BLOCK):
+        lo, hi = np.searchsorted(gram // BLOCK, [begin // BLOCK, begin // BLOCK + 1])
+        part = np.zeros((rows, min(BLOCK, len(grams) - begin)), np.float32)
+        part[row[lo:hi], gram[lo:hi] - begin] = total[lo:hi]
+        out += part @ vectors(grams[begin : begin + BLOCK])
+    return out
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -74,29 +110,27 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
-    """docs (text, lang) -> unit prototypes. What comes to the driver is bounded by languages x SYMBOLS^3 counts.
+    """docs (text, lang) -> unit prototypes; "" has what they have in common. To the driver come DIMENSIONS sums a language: the model.
 
-    Each text counts with weight 1 / its number of trigrams, so long texts don't outweigh short ones.
+    Each text counts with weight 1 / its number of trigrams, so long texts don't outweigh short ones. Rows without lang
+    or text, and texts without trigrams, teach nothing; repeated rows count as often as they occur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for piece in pieces(batches):
-            doc, code = trigrams(piece["text"])
+            doc, gram, grams = trigrams(piece["text"])
             langs = piece["lang"].dictionary_encode()
             names, which = langs.dictionary.to_pylist(), langs.indices.to_numpy()
             weight = 1 / np.maximum(np.bincount(doc, minlength=piece.num_rows), 1)
-            for k, name in enumerate(names):
-                m = which[doc] == k
-                if name not in total:
-                    total[name] = np.zeros(SYMBOLS**3)
-                total[name] += np.bincount(code[m], weights=weight[doc[m]], minlength=SYMBOLS**3)
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "code", "n"])
-
-    found = arrow(docs).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang").mapInArrow(run, "lang string, code long, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    sums = {name: g.n.to_numpy().astype(np.float32) @ vectors(g.code.to_numpy()) for name, g in found.sort_values(["lang", "code"]).groupby("lang")}
+            for name, own in zip(names, bundles(which[doc], gram, weight[doc], grams, len(names)), strict=True):
+                total[name] = total.get(name, 0.0) + own.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["lang", "sums"])
+
+    known = arrow(docs).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
+    found = known.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).toPandas()
+    sums = {name: g.x.to_numpy().astype(np.float32) for name, g in found.sort_values(["lang", "at"]).groupby("lang")}
+    sums = {k: v for k, v in sums.items() if v.any()}
     if not sums:
         return {}
     units = {k: v / (np.linalg.norm(v) + 1e-9) for k, v in sums.items()}
@@ -116,30 +150,19 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     common = np.asarray(prototypes.get("", np.zeros(DIMENSIONS)), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=1 << 20):
+        for piece in pieces(batches, rows=ROWS):
             n = piece.num_rows
             pred, score = [UNDETERMINED] * n, np.zeros(n)
-            doc, code = trigrams(piece["text"])
-            there = np.bincount(code, minlength=1)
-            used = np.flatnonzero(there)
-            slot = np.zeros(len(there), np.int32)
-            slot[used] = np.arange(len(used))
-            bound = vectors(used)
+            doc, gram, grams = trigrams(piece["text"])
             lettered = has_letter(piece["text"])
-            block = max(1, (1 << 20) // max(len(used), 1))
-            for begin in range(0, n, block):
-                lo, hi = np.searchsorted(doc, [begin, begin + block])
-                rows = min(block, n - begin)
-                counts = np.bincount((doc[lo:hi] - begin).astype(np.int64) * len(used) + slot[code[lo:hi]], minlength=rows * len(used)).reshape(rows, -1).astype(np.float32)
-                bundle = counts @ bound
-                bundle = bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9) - common
-                cosine = bundle @ table.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-                some = counts.any(1)
-                for i in range(rows):
-                    if lettered[begin + i] and names:
-                        best = int(cosine[i].argmax()) if some[i] else 0
-                        pred[begin + i] = names[best]
-                        score[begin + i] = min(1.0, max(0.0, (1 + float(cosine[i, best])) / 2)) if some[i] else 0.0
+            bundle = bundles(doc, gram, None, grams, n)
+            bundle = bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9) - common
+            cosine = bundle @ table.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
+            some = np.bincount(doc, minlength=n) > 0
+            for i in np.flatnonzero(lettered) if names else ():
+                best = int(cosine[i].argmax()) if some[i] else 0
+                pred[i] = names[best]
+                score[i] = min(1.0, max(0.0, (1 + float(cosine[i, best])) / 2)) if some[i] else 0.0
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

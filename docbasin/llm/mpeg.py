@@ -1,9 +1,9 @@
 """MPEG audio: a parser for streams of frames with tags and variable-bitrate tables, and a writer of payload streams.
 
 `parse` resynchronises on frame headers (a header counts if the next frame follows where it says, or the data end
-there), reads ID3v2 and ID3v1 tags and the Xing/Info table of the first frame, checks the CRC-16 of protected frames and
-the music and tag CRCs that follow such a table, and gives exact durations (samples over sample rate) and the byte
-offset of each frame for seeking.
+there), reads ID3v2 (2.2 to 2.4, with extended headers and unsynchronised) and ID3v1 tags and the Xing, Info or VBRI
+table of the first frame, checks the CRC-16 of protected frames of all three layers and the music and tag CRCs that
+follow a Xing table, and gives exact durations (samples over sample rate) and the byte offset of each frame for seeking.
 
 `write` stores bytes as MPEG-1 Layer III frames: the payload, padded with bytes 255 to whole units of 576 bytes, is the
 main data of protected frames of 672 bytes (224 kbit/s at 48 kHz: header 4, CRC 2, side information 32, room 634). A first
@@ -38,6 +38,8 @@ KBPS = {
     (2, 3): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
 }
 HZ = {0: [11025, 12000, 8000], 2: [22050, 24000, 16000], 3: [44100, 48000, 32000]}
+#: Bits of the allocation of each subband in Layer II, by bitrate for a channel and sample rate.
+LAYER2 = {"all": [4] * 11 + [3] * 12 + [2] * 7, "some": [4] * 11 + [3] * 12 + [2] * 4, "few": [4] * 2 + [3] * 6, "few at 32000": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
 UNIT, FRAME, HEAD = 576, 672, 38
 HEADER = bytes([0xFF, 0xFA, 0xC4, 0x00])  # MPEG-1, Layer III, protected, 224 kbit/s, 48 kHz, stereo
 
@@ -138,6 +140,47 @@ def music_crc(streams: list[list[tuple[bytes, int]]]) -> list[int]:
     return out
 
 
+def _fields(word: int, h: Header, bits: int, at: int) -> int:
+    """How many bits behind the header a Layer I or II frame's CRC covers: its bit allocation, in Layer II also the scale factor selection.
+
+    `bits` are the data behind the CRC as one number of `at` bits. Subbands from the bound on share one allocation in
+    joint stereo.
+    """
+    mode, channels = word >> 6 & 3, 1 if word >> 6 & 3 == 3 else 2
+    if h.layer == 1:
+        widths = [4] * 32
+    else:
+        each = h.kbps // channels
+        if h.version != 3:
+            widths = LAYER2["lsf"]
+        elif each <= 48:
+            widths = LAYER2["few at 32000" if h.hz == 32000 else "few"]
+        else:
+            widths = LAYER2["some" if h.hz == 48000 or each <= 80 else "all"]
+    bound = min(4 * ((word >> 4 & 3) + 1), len(widths)) if mode == 1 else len(widths)
+    used = chosen = 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            used += width
+            value = bits >> at - used & (1 << width) - 1 if at >= used else 0
+            chosen += 2 * bool(value) * (channels if band >= bound else 1)
+    return used + (chosen if h.layer == 2 else 0)
+
+
+def covered_crc(data: bytes, begin: int, h: Header) -> int:
+    """The CRC-16 that a protected frame at `begin` should have."""
+    head, body = data[begin + 2 : begin + 4], begin + 6
+    if h.layer == 3:
+        return frame_crc_cached(head + data[body : body + h.side])
+    rest = data[body : min(begin + h.length, body + 80)]
+    n = _fields(int.from_bytes(data[begin : begin + 4], "big"), h, int.from_bytes(rest, "big"), 8 * len(rest))
+    c = frame_crc(head + rest[: n // 8])
+    for i in range(n // 8 * 8, n):
+        bit = rest[i // 8] >> 7 - i % 8 & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ bit else 0)
+    return c
+
+
 def _size(data: bytes) -> int:
     return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
 
@@ -149,22 +192,40 @@ def _framed(data: bytes, at: int) -> bool:
     return at == len(data)
 
 
+def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
+    """Text frames of a tag at the beginning, and where it ends. A damaged frame ends the reading of frames."""
+    tags: dict[str, str] = {}
+    version, flags = data[3], data[5]
+    end = min(10 + _size(data[6:10]) + 10 * bool(flags & 0x10), len(data))
+    body = data[10 : min(10 + _size(data[6:10]), len(data))]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 0x40 and version > 2:
+        at = _size(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    name_size, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + name_size].strip(b"\0"):
+        name, size = body[at : at + name_size].decode("latin-1"), body[at + name_size : at + 2 * name_size]
+        n = _size(size) if version == 4 else int.from_bytes(size, "big")
+        content = body[at + head : at + head + n]
+        if n <= 0 or at + head + n > len(body):
+            break
+        if version == 4 and (flags & 0x80 or body[at + 9] & 2):
+            content = content.replace(b"\xff\x00", b"\xff")
+        if name[0] == "T" and content:
+            text = content[1:].decode(["latin-1", "utf-16", "utf-16-be", "utf-8"][content[0] & 3], "replace").rstrip("\0")
+            key, _, rest = text.partition("\0")
+            own = name in ("TXXX", "TXX")
+            tags[f"TXXX:{key}" if own else name] = rest if own else text
+        at += head + n
+    return tags, end
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """Tags, and where the frames begin and end. Damaged tags end the reading of tags, not of the stream."""
     tags, begin, end = {}, 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
-        begin = min(10 + _size(data[6:10]) + 10 * bool(data[5] & 0x10), end)
-        at, last = 10, begin
-        while at + 10 <= last and data[at : at + 4].strip(b"\0"):
-            n = _size(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            body, name = data[at + 10 : at + 10 + n], data[at : at + 4].decode("latin-1")
-            if n <= 0 or at + 10 + n > last:
-                break
-            if name[0] == "T":
-                text = body[1:].decode(["latin-1", "utf-16", "utf-16-be", "utf-8"][body[0] & 3], "replace").rstrip("\0")
-                key, _, rest = text.partition("\0")
-                tags[f"TXXX:{key}" if name == "TXXX" else name] = rest if name == "TXXX" else text
-            at += 10 + n
+        tags, begin = _id3v2(data)
     if end - begin >= 128 and data[-128:-125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
@@ -185,11 +246,13 @@ def parse(data: bytes) -> Audio:
             end, audio.tags = len(data), {k: v for k, v in audio.tags.items() if not k.startswith("id3v1:")}
         if h and after <= end and (synced or after + 4 > end or header(int.from_bytes(data[after : after + 4], "big"))):
             body = at + 4 + 2 * h.protected
-            if h.protected and h.layer == 3 and frame_crc_cached(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if h.protected and covered_crc(data, at, h) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 audio.bad_crc += 1
-            mark = body + h.side
-            if not audio.offsets and audio.table is None and data[mark : mark + 4] in (b"Xing", b"Info"):
+            mark, first = body + h.side, not audio.offsets and audio.table is None and h.layer == 3
+            if first and data[mark : mark + 4] in (b"Xing", b"Info"):
                 audio.table = _vbr(data[at:after], mark - at)
+            elif first and data[at + 36 : at + 40] == b"VBRI" and after - at >= 62:
+                audio.table = _vbri(data[at:after])
             else:
                 audio.offsets.append(at)
                 audio.headers.append(h)
@@ -237,6 +300,13 @@ def _vbr(frame: bytes, at: int) -> dict:
     return table
 
 
+def _vbri(frame: bytes) -> dict:
+    """The other kind of table: 32 bytes behind the header, with an entry's size and scale."""
+    _, delay, quality, size, frames, entries, scale, width, each = struct.unpack(">HHHIIHHHH", frame[40:62])
+    toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries) if 62 + (i + 1) * width <= len(frame)]
+    return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "delay": delay, "toc": toc, "frames_per_entry": each}
+
+
 def padded(data: bytes) -> bytes:
     return data + b"\xff" * (max(1, -(-len(data) // UNIT)) * UNIT - len(data))
 
@@ -271,7 +341,8 @@ def write(texts: list[bytes]) -> list[bytes]:
 
 def payload(data: bytes, audio: Audio) -> bytes:
     """The padded payload, out of the stored bytes."""
-    return b"".join(data[o + HEAD : o + HEAD + UNIT] for o in audio.offsets)
+    places = ((o + 4 + 2 * h.protected + h.side, o + h.length) for o, h in zip(audio.offsets, audio.headers, strict=True))
+    return b"".join(data[b : min(b + UNIT, e)] for b, e in places)
 
 
 def features(audio: Audio, music: int | None) -> str:
@@ -314,12 +385,12 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Stores every text, reads the stored bytes back and gives their digests; see op9's contract. One pass, no shuffle.
+    """Stores every text, reads the stored bytes back and gives their digests (see op9's contract), exact duration and frame offsets. One pass, no shuffle.
 
     Null and empty texts have a payload of one unit of bytes 255. Equal texts give equal values, whatever else the
     rows hold.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "seek"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -329,11 +400,11 @@ def digest(docs: DataFrame) -> DataFrame:
             rows = []
             for d, a, c in zip(media, found, crcs, strict=True):
                 back = payload(d, a)
-                rows.append((int(a.tags["TXXX:bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(d), hashlib.sha256(d).hexdigest(), features(a, c)))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((int(a.tags["TXXX:bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(d), hashlib.sha256(d).hexdigest(), features(a, c), float(a.seconds), a.offsets))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, seek array<long>")
 
 
 def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

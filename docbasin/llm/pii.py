@@ -5,7 +5,11 @@ it came from: (1) characters that look like ASCII ones (full width, Cyrillic and
 letters, other decimal digits) are replaced, invisible ones removed; (2) "at" and "dot" in brackets or between words
 become @ and . ; (3) digits spelled out become digits. Their maps compose, so what the patterns find in the last text
 maps back to characters of the source. The plain patterns' own matches always stay; a disguised match is added where it
-overlaps none of its kind. Matches that fail a check (digits, Luhn) are also tried again by groups of digits.
+overlaps none of its kind. Undoing a disguise can join an identifier to digits beside it, so in rewritten text runs that
+fail a check (digits, Luhn) are also tried by groups of digits; plain text is never tried again.
+
+A map is kept as runs: stretches that were copied, and stretches that replace others. So it is as long as what was
+changed, not as the text.
 
 Each text is one unit of work; the transducers only run on texts in which a cheap pattern has seen something to undo.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -148,34 +153,49 @@ def again(text: str) -> dict[str, Spans]:
 
 
 class Tape:
-    """A text with, for every character, the span of the source that it came from."""
+    """A text and the runs it is made of: where each begins, the source span it is for, and whether it is that span's copy."""
 
-    def __init__(self, text: str, begins: list[int] | None = None, ends: list[int] | None = None, changed: list[bool] | None = None):
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]] | None = None):
         self.text = text
-        self.begins = list(range(len(text))) if begins is None else begins
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
-        self.changed = [False] * len(text) if changed is None else changed
+        self.runs = [(0, 0, len(text), True)] if runs is None else runs
+        self.at = [r[0] for r in self.runs]
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """A new tape with the pieces [begin, end) replaced, in order and without overlap."""
         if not edits:
             return self
-        out, b, e, ch, at = [], [], [], [], 0
+        out, runs, size, at, k = [], [], 0, 0, 0
         for begin, end, new in [*edits, (len(self.text), len(self.text), "")]:
-            out.append(self.text[at:begin])
-            b += self.begins[at:begin]
-            e += self.ends[at:begin]
-            ch += self.changed[at:begin]
+            while at < begin:  # what stays, run by run
+                start, b, e, same = self.runs[k]
+                stop = min(begin, self.at[k + 1] if k + 1 < len(self.at) else len(self.text))
+                if at < stop:
+                    runs.append((size, b + at - start, b + stop - start, True) if same else (size, b, e, False))
+                    out.append(self.text[at:stop])
+                    size += stop - at
+                    at = stop
+                if at < begin:
+                    k += 1
             if new:
+                runs.append((size, *self.source(begin, end), False))
                 out.append(new)
-                b += [self.begins[begin]] * len(new)
-                e += [self.ends[end - 1]] * len(new)
-                ch += [True] * len(new)
-            at = end
-        return Tape("".join(out), b, e, ch)
+                size += len(new)
+            at = max(at, end)
+            while k + 1 < len(self.at) and self.at[k + 1] <= at:
+                k += 1
+        return Tape("".join(out), runs)
 
     def source(self, begin: int, end: int) -> tuple[int, int]:
-        return self.begins[begin], self.ends[end - 1]
+        start, b, _, same = self.runs[bisect_right(self.at, begin) - 1]
+        first = b + begin - start if same else b
+        start, b, e, same = self.runs[bisect_right(self.at, end - 1) - 1]
+        return first, b + end - start if same else e
+
+    def changed(self, begin: int, end: int) -> bool:
+        """Whether anything in it was replaced or left out."""
+        b, e = self.source(begin, end)
+        lo, hi = bisect_right(self.at, begin) - 1, bisect_right(self.at, end - 1)
+        return e - b != end - begin or not all(r[3] for r in self.runs[lo:hi])
 
 
 def fold(tape: Tape) -> Tape:
@@ -229,26 +249,23 @@ def disguised(text: str) -> dict[str, Spans]:
         for kind, spans in again(t.text).items():
             found[kind] += spans
         for kind in KINDS:
-            out[kind] += [t.source(b, e) for b, e in found[kind] if any(t.changed[b:e])]
+            out[kind] += [t.source(b, e) for b, e in found[kind] if t.changed(b, e)]
     return out
 
 
 def merge(spans: Spans, more: Spans) -> Spans:
-    """`spans` and those of `more` that overlap nothing so far, the longest first."""
-    out = list(spans)
+    """`spans`, which don't overlap, and those of `more` that overlap nothing so far, the longest first."""
+    out = sorted(spans)
     for b, e in sorted(set(more), key=lambda s: (s[0] - s[1], s[0])):
-        if all(e <= x or b >= y for x, y in out):
-            out.append((b, e))
-    return sorted(out)
+        k = bisect_right(out, (b, e))
+        if (k == 0 or out[k - 1][1] <= b) and (k == len(out) or e <= out[k][0]):
+            out.insert(k, (b, e))
+    return out
 
 
 def find(text: str) -> tuple[dict[str, Spans], dict[str, Spans]]:
     """The plain patterns' spans, and all spans, by kind; code points, end exclusive."""
-    base = plain(text)
-    more = disguised(text)
-    if DIGITS.search(text):
-        for kind, spans in again(text).items():
-            more[kind] += spans
+    base, more = plain(text), disguised(text)
     return base, {k: merge(base[k], more[k]) if more[k] else base[k] for k in KINDS}
 
 
@@ -267,24 +284,24 @@ def redact(text: str, spans: dict[str, Spans]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256, spans, base_spans, redacted.
+    """`docs` (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, n_spans (all spans), base_sha256, spans, base_spans.
 
-    A null text counts as empty: no spans, and its redacted text is null. Rows stand by themselves, so repeated rows get
-    repeated results; other columns are ignored. One pass, no shuffle.
+    A null text counts as empty: no spans. Rows stand by themselves, so repeated rows get repeated results; other columns
+    are ignored. One pass, no shuffle.
     """
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "base_spans", "redacted"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "n_spans", "base_sha256", "spans", "base_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             rows = []
             for text in piece["text"].to_pylist():
                 base, every = find(text or "")
-                own = listed(base)
-                rows.append((*(len(every[k]) for k in KINDS), hashlib.sha256(own.encode()).hexdigest(), listed(every), own, text and redact(text, every)))
-            types = [pa.int64()] * 4 + [pa.string()] * 4
+                own, n = listed(base), [len(every[k]) for k in KINDS]
+                rows.append((*n, sum(n), hashlib.sha256(own.encode()).hexdigest(), listed(every), own))
+            types = [pa.int64()] * 5 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string, redacted string")
+    return arrow(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string, base_spans string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -302,4 +319,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(read(spark, sf_dir, "documents"))
     base = [(F.regexp_count("base_spans", F.lit(f"{k}:"))).cast("long").alias(f"base_{k}") for k in KINDS]
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *base)
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "n_spans", "base_sha256", "spans", *base)

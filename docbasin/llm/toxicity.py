@@ -2,8 +2,8 @@
 
 Labels are given for documents, not for tokens, so tokens are labelled first: over a bounded sample of labelled
 training documents, a word of a toxic document is a toxic token if the share of toxic documents that hold it exceeds
-the share of clean ones by far (`lexicon`). A two-state chain (clean, toxic) over hashed word and word-start features is
-then fitted to these sequences by gradient ascent on the conditional likelihood. Forward-backward gives each token's
+the share of clean ones by far (`fit`). A two-state chain (clean, toxic) over hashed features of a word, its first and
+last letters and the words beside it is then fitted to these sequences by gradient ascent on the conditional likelihood. Forward-backward gives each token's
 marginal; the expected number of toxic tokens and the largest marginal, through a logistic fit to the documents' own
 labels, give the document's score. The tokens with a marginal of one half or more are the offending spans.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,10 @@ from pyspark.sql import functions as F
 
 from docbasin.llm.common import arrow, hash_words, mix, pieces, read, split_words, stored
 
-#: Bounds of the fit: labelled documents whose words are counted, and labelled documents (half of them toxic) that the
-#: chain is fitted to. Both are drawn by a hash of doc_id.
+#: Bounds of the sample of labelled rows that is fitted to, parameters of `fit`: labelled documents whose words are
+#: counted; of these, documents (half of them toxic) for the chain; characters of the latter together.
 LEXICON_DOCS = 16_000
 CHAIN_DOCS = 1_200
-#: Characters of all chain-fitting documents together.
 CHAIN_CHARS = 6_000_000
 #: Slots of hashed features: far more than there are words, as a word that shares a toxic word's slot would be taken for it.
 FEATURES = 1 << 21
@@ -52,12 +52,38 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return per, index, pc.utf8_trim(pc.utf8_lower(dictionary), TRIM)
 
 
-def features(dictionary: pa.Array) -> np.ndarray:
-    """Two hashed features a word: itself and its first five letters."""
+def features(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word: three of its own (itself, first five letters, last three), two it gives to the words after and before it."""
     n = np.uint64(FEATURES)
-    begin = pc.utf8_slice_codeunits(dictionary, 0, 5).dictionary_encode()
-    starts = mix(hash_words(begin.dictionary) + np.uint64(1))[begin.indices.to_numpy()] if len(dictionary) else np.zeros(0, np.uint64)
-    return np.stack([mix(hash_words(dictionary)) % n, starts % n], 1).astype(np.int64)
+    if not len(dictionary):
+        return np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64)
+
+    def hashed(parts: pa.Array, role: int) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        return (mix(hash_words(coded.dictionary) + np.uint64(role)) % n)[coded.indices.to_numpy()]
+
+    own = [hashed(dictionary, 0), hashed(pc.utf8_slice_codeunits(dictionary, 0, 5), 1), hashed(pc.utf8_slice_codeunits(dictionary, -3), 2)]
+    return np.stack(own, 1).astype(np.int64), np.stack([hashed(dictionary, 3), hashed(dictionary, 4)], 1).astype(np.int64)
+
+
+def emissions(weights: np.ndarray, dictionary: tuple[np.ndarray, np.ndarray], index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each token the log odds that its features give; `first` marks each document's first token, which has no word before."""
+    own, given = dictionary
+    e = weights[own].sum(1)[index].astype(np.float64)
+    inner = ~first[1:]
+    e[1:] += np.where(inner, weights[given[:, 0]][index[:-1]], 0)
+    e[:-1] += np.where(inner, weights[given[:, 1]][index[1:]], 0)
+    return e
+
+
+def feature_sums(values: np.ndarray, dictionary: tuple[np.ndarray, np.ndarray], index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each feature the sum of its tokens' values."""
+    own, given = dictionary
+    n, inner = len(own), ~first[1:]
+    word = np.bincount(index, values, n)
+    after, before = np.bincount(index[:-1], values[1:] * inner, n), np.bincount(index[1:], values[:-1] * inner, n)
+    out = np.bincount(own.ravel(), np.repeat(word, own.shape[1]), FEATURES)
+    return out + np.bincount(given[:, 0], after, FEATURES) + np.bincount(given[:, 1], before, FEATURES)
 
 
 def forward_backward(emission: np.ndarray, first: np.ndarray, chain: Chain, pairs: bool = False):
@@ -128,26 +154,26 @@ def fit_chain(texts: list[str], toxic: np.ndarray, lexicon: set[str], rounds: in
     y = bad[index] & (toxic[doc] > 0)
     feats = features(dictionary)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    seen = np.bincount(feats[index].ravel(), minlength=FEATURES).astype(float)
-    gold = np.bincount(feats[index].ravel(), weights=np.repeat(y.astype(float), 2), minlength=FEATURES)
+    seen, gold = feature_sums(np.ones(len(y)), feats, index, first), feature_sums(y.astype(float), feats, index, first)
     moved = np.zeros((2, 2))
     np.add.at(moved, (y[:-1][~first[1:]].astype(int), y[1:][~first[1:]].astype(int)), 1)
     began = np.bincount(y[first].astype(int), minlength=2).astype(float)
-    # The start: smoothed log odds of each feature, halved as two features add up; clean stays clean.
-    rate = y.mean()
-    chain.weights = 0.5 * (np.log((gold + 0.5 * rate + 1e-3) / (seen - gold + 0.5)) - np.log((rate + 1e-6) / (1 - rate + 1e-6))) * (seen > 0)
+    # The start: smoothed log odds of each of a word's own features, a third each as three add up; clean stays clean.
+    rate, own = y.mean(), np.zeros(FEATURES, bool)
+    own[feats[0].ravel()] = True
+    odds = np.log((gold + 0.5 * rate + 1e-3) / (seen - gold + 0.5)) - np.log((rate + 1e-6) / (1 - rate + 1e-6))
+    chain.weights = odds / 3 * ((seen > 0) & own)
     chain.moves, chain.start = np.log((moved + 1) / (moved + 1).sum(1, keepdims=True)), np.log((began + 1) / (began + 1).sum())
     scale = np.full(FEATURES, 1e-8)
     for _ in range(rounds):
-        word = chain.weights[feats].sum(1)
-        p, xi, x0 = forward_backward(word[index], first, chain, pairs=True)
-        grad = gold - np.bincount(feats[index].ravel(), weights=np.repeat(p, 2), minlength=FEATURES) - 0.02 * chain.weights
+        p, xi, x0 = forward_backward(emissions(chain.weights, feats, index, first), first, chain, pairs=True)
+        grad = gold - feature_sums(p, feats, index, first) - 0.02 * chain.weights
         scale += grad * grad
         chain.weights += 0.3 * grad / np.sqrt(scale)
         chain.moves += 0.5 * (moved - xi) / (moved.sum() + 1) * 10
         chain.start += 0.5 * (began - x0) / (began.sum() + 1)
         chain.moves -= np.log(np.exp(chain.moves).sum(1, keepdims=True))
-    p, _, _ = forward_backward(chain.weights[feats].sum(1)[index], first, chain)
+    p, _, _ = forward_backward(emissions(chain.weights, feats, index, first), first, chain)
     chain.logistic = fit_logistic(evidence(p, per), toxic)
     chain.weights = chain.weights.astype(np.float32)
     return chain
@@ -203,11 +229,24 @@ def contexts(docs: DataFrame, candidates: set[str]) -> DataFrame:
     return arrow(docs.select("text")).mapInArrow(run, "word string, around long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int = LEXICON_DOCS, chain_docs: int = CHAIN_DOCS) -> Chain:
+def drawn(sizes: pd.DataFrame, docs: int, chars: int) -> list[int]:
+    """Of rows (doc_id, n) the first `docs` that fit into `chars` together; a document longer than what is left is passed over."""
+    out, left = [], chars
+    for doc_id, n in zip(sizes.doc_id.tolist(), sizes.n.tolist(), strict=True):
+        if len(out) < docs and n <= left:
+            out.append(doc_id)
+            left -= n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int = LEXICON_DOCS, chain_docs: int = CHAIN_DOCS, chain_chars: int = CHAIN_CHARS) -> Chain:
     """Learns from the labelled documents whose crc32(doc_id) mod `folds` is not 0; of repeated labels the largest counts.
 
-    A toxic word is in at least 3 toxic documents and 0.5 % of them, at a share 40 times that among the clean ones, and
-    there in as many different surroundings: copies of one document have a word's neighbours in common.
+    The sample is drawn by a hash of doc_id: `lexicon_docs` documents, and of them for the chain `chain_docs` with at
+    most `chain_chars` characters, half of either label each. A toxic word is in at least 3 toxic documents and 0.5 % of
+    them, at a share 40 times that among the clean ones, and there in as many different surroundings: copies of one
+    document have a word's neighbours in common. So there are at most 200 times as many toxic words as a document has.
+    Rows without doc_id, label or text teach nothing. Without documents of both labels the chain knows no toxic words.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -219,13 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     n_toxic, n_clean = int(chosen.toxic.sum()), int((1 - chosen.toxic).sum())
     least = max(3, 0.005 * n_toxic)
     strong = word_counts(sample).where((F.col("in_toxic") >= least) & ((F.col("in_toxic") / n_toxic) >= 40 * (F.col("in_clean") + 0.5) / n_clean) & (F.col("word") != ""))
-    candidates = {r.word for r in strong.orderBy(F.desc("in_toxic"), "word").limit(2000).collect()}
+    candidates = {r.word for r in strong.collect()}
     varied = contexts(sample.where("toxic = 1"), candidates).groupBy("word").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= least)
     lexicon = {r.word for r in varied.collect()}  # at most the candidates
-    brief = sample.where(F.length("text") <= CHAIN_CHARS // 100).dropDuplicates(["doc_id"])
-    halves = [brief.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(chain_docs // 2) for t in (0, 1)]
-    rows = halves[0].union(halves[1]).toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
-    rows = rows[rows.text.str.len().cumsum() <= CHAIN_CHARS]
+    sizes = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most lexicon_docs rows
+    ids = [i for t in (0, 1) for i in drawn(sizes[sizes.toxic == t], chain_docs // 2, chain_chars // 2)]
+    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = sample.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
     chain = fit_chain(rows.text.tolist(), rows.toxic.to_numpy(), lexicon)
     # The two classes were drawn evenly: back to their true odds.
     odds = (rows.toxic.sum() + 0.5) / ((1 - rows.toxic).sum() + 0.5)
@@ -239,7 +278,7 @@ def _judge(texts: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.nd
     doc = np.repeat(np.arange(len(per)), per)
     first = np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
-    p, _, _ = forward_backward(chain.weights[features(dictionary)].sum(1)[index] if len(index) else np.zeros(0), first, chain)
+    p, _, _ = forward_backward(emissions(chain.weights, features(dictionary), index, first) if len(index) else np.zeros(0), first, chain)
     return 1 / (1 + np.exp(-np.clip(evidence(p, per) @ chain.logistic, -30, 30))), per, p
 
 
@@ -278,4 +317,4 @@ def clean(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.begin, s.end)), ",").alias("spans"))
