@@ -47,6 +47,20 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
     pa.default_memory_pool().release_unused()  # workers wait idle between tasks
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """`pieces`, but small batches are put together up to the limits."""
+    held: list[pa.RecordBatch] = []
+    size = n = 0
+    for piece in pieces(batches, text, limit, rows):
+        own = pc.sum(pc.binary_length(piece[text])).as_py() or 0
+        if held and (size + own > limit or n + piece.num_rows > rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, n = [], 0, 0
+        held, size, n = [*held, piece], size + own, n + piece.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 #: Bytes as they are, but for white space (9 to 13), which becomes a blank; and with A-Z lower-cased too.
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _BLANKS_LOWER = bytes(b + 32 if 65 <= b <= 90 else _BLANKS[b] for b in range(256))

@@ -379,14 +379,21 @@ def test_matches_needed_bounds_the_miss():
         assert sum(comb(64, i) * t**i * (1 - t) ** (64 - i) for i in range(k)) <= 1e-9 < sum(comb(64, i) * t**i * (1 - t) ** (64 - i) for i in range(k + 1))
 
 
-def test_elias_fano_and_trie():
+@pytest.mark.parametrize("n", [1, 5, 5000])
+def test_elias_fano_and_trie(n):
     rng = np.random.default_rng(2)
-    values = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+    values = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
     n, low_bits, low, high = lm.EliasFano.encode(values, 1 << 40)
     ef = lm.EliasFano(n, low_bits, low, high)
     assert (ef.access(np.arange(n)) == values).all()
-    asked = rng.integers(0, 1 << 40, 1000).astype(np.uint64)
-    assert (ef.successor(asked, np.zeros(1000, np.int64), np.full(1000, n)) == np.searchsorted(values, asked)).all()
-    logs = -rng.random(n) * 5
-    trie = lm.Trie(values, logs)
-    assert np.abs(trie.log10(values) - logs).max() < 1 / 4096 and np.isinf(trie.log10(np.setdiff1d(values + np.uint64(1), values))).all()
+    asked = np.concatenate([rng.integers(0, 1 << 40, 1000).astype(np.uint64), values, values + np.uint64(1), np.array([0, 1 << 40], np.uint64)])
+    assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
+    dense = np.sort(rng.integers(0, n + 1, n)).astype(np.uint64)
+    assert (lm.EliasFano(*lm.EliasFano.encode(dense, n + 1)).access(np.arange(n)) == dense).all()
+    contexts = rng.integers(0, 1 << 32, max(1, n // 20)).astype(np.uint64)
+    keys = np.unique(contexts[rng.integers(0, len(contexts), n)] << np.uint64(32) | rng.integers(0, 1 << 32, n).astype(np.uint64))
+    logs = -rng.random(len(keys)) * 5
+    trie = lm.Trie(keys, logs)
+    assert np.abs(trie.log10(keys) - logs).max() < 1 / 4096
+    others = np.concatenate([keys + np.uint64(1), keys ^ np.uint64(1 << 40), rng.integers(0, 1 << 63, 500).astype(np.uint64)])
+    assert np.isinf(trie.log10(np.setdiff1d(others, keys))).all()
