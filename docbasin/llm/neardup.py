@@ -33,8 +33,8 @@ from docbasin.llm.common import arrow, hash_words, mix, pieces, read, stored, wo
 
 COORDINATES = 64
 HUB_ROUNDS = 2
-#: Bytes of sets on either side of a cell, and up to which a family is small: small ones share a task.
-CELL_BYTES, SMALL_BYTES = 4 << 20, 256 << 10
+#: Bytes of sets and signatures on either side of a cell, and up to which a family is small: small ones share a task.
+CELL_BYTES, SMALL_BYTES = 1 << 20, 256 << 10
 #: Ids up to which a table of them is broadcast (16 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Parts that the members of one family are dealt by before they meet its figures.
@@ -223,7 +223,7 @@ def family_links(members: DataFrame, sigs: DataFrame, full: DataFrame, needed: i
     A family's figures are few rows, but its members may be a third of all: they meet by family and salt.
     """
     parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighed = stored(members.join(full.select("id", F.octet_length("shingle_set").alias("bytes")), "id"), "weighed")
+    weighed = stored(members.join(full.select("id", (F.octet_length("shingle_set") + 8 * COORDINATES).alias("bytes")), "id"), "weighed")
     sizes = weighed.groupBy("family", "component").agg(F.sum("bytes").alias("bytes")).groupBy("family").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("inside"), F.max_by("component", F.struct("bytes", "component")).alias("largest"))
     blocks = {"all_blocks": F.col("all"), "out_blocks": F.col("all") - F.col("inside")}
     cut = sizes.select("family", "largest", (F.col("all") <= SMALL_BYTES).alias("small"), *(F.greatest(F.ceil(b / CELL_BYTES), F.lit(1)).cast("int").alias(n) for n, b in blocks.items()))
