@@ -16,6 +16,7 @@ only, and U+FFFD for ill-formed bytes. What op10 hashes as decoded is what this
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,7 +31,10 @@ from docbasin.llm.common import arrow, pieces, read
 MAX_STATES = 200_000
 MAX_WORDS = 200_000
 #: Moves of the decoder that are kept: a state and a token each.
-MAX_MOVES = 200_000
+MAX_MOVES = 100_000
+#: Bits of a token in a move of the transducer, which is one number: the next state, then the token.
+TOKEN_BITS = 24
+TOKEN = (1 << TOKEN_BITS) - 1
 #: Input bytes between two looks for settled tokens.
 STRIDE = 256
 
@@ -62,7 +66,7 @@ class Transducer:
     def _clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.about: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
         self._state((b"", (), -1))
 
     def _state(self, key: tuple) -> int:
@@ -106,8 +110,8 @@ class Transducer:
     def _open(self, rest: bytes) -> list[int]:
         return [i for i in range(len(rest)) if rest[i:] in self.open]
 
-    def _move(self, at: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token once `byte` is read."""
+    def _move(self, at: int, byte: int) -> int:
+        """The next state and the last token once `byte` is read, in one number."""
         rest, before, last = self.about[at]
         places = [*zip(self._open(rest), before, strict=True), (len(rest), last)]
         rest += bytes([byte])
@@ -120,8 +124,8 @@ class Transducer:
         places = [(i, left) for i, left in places if rest[i:] in self.open]
         first = places[0][0] if places else len(rest)
         to = self._state((rest[first:], tuple(left for _, left in places), token))
-        self.moves[at << 8 | byte] = (to, token)
-        return to, token
+        step = self.moves[at << 8 | byte] = to << TOKEN_BITS | token
+        return step
 
     def _path(self, lasts: list[int], end: int) -> list[int]:
         out = []
@@ -134,9 +138,11 @@ class Transducer:
         """Tokens of a stream of bytes, each given out once it is settled."""
         at, lasts, moves = 0, [], self.moves
         for byte in data:
-            step = moves.get(at << 8 | byte) or self._move(at, byte)
-            at = step[0]
-            lasts.append(step[1])
+            step = moves.get(at << 8 | byte)
+            if step is None:
+                step = self._move(at, byte)
+            at = step >> TOKEN_BITS
+            lasts.append(step & TOKEN)
             if len(lasts) % STRIDE == 0:
                 ends = {len(lasts)} | {len(lasts) - len(self.about[at][0]) + i for i in self._open(self.about[at][0])}
                 while len(ends) > 1:  # back to the last place that all paths have in common
@@ -162,8 +168,8 @@ class Transducer:
             step = moves.get(at << 8 | byte)
             if step is None:
                 step = self._move(at, byte)
-            at, token = step
-            lasts.append(token)
+            at = step >> TOKEN_BITS
+            lasts.append(step & TOKEN)
         return tuple(self._path(lasts, len(lasts)))
 
 
@@ -292,6 +298,8 @@ class Tokenizer:
         """Drops what the texts so far have filled; the compiled ranks stay. Workers outlive tasks and serve other stages too."""
         self.kept, self.older = {}, {}
         self.fst._clear()
+        self.decoder = StreamingDecoder(self.fst.bytes_of)
+        gc.collect()  # the tables refer to each other
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of a whole sequence, by the streaming decoder."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +44,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
                 begin, total = i, 0
             total += int(n)
         yield batch.slice(begin)
+    gc.collect()
     pa.default_memory_pool().release_unused()  # workers wait idle between tasks
 
 
@@ -91,10 +92,20 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def hash_words(dictionary: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, the same on every machine."""
-    if not len(dictionary):
+    """64-bit hashes of strings, the same on every machine: of each byte with its place, summed by string, and of the length."""
+    whole = pa.concat_arrays([dictionary.cast(pa.large_string())])
+    if not len(whole):
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(np.asarray(dictionary.to_pylist(), dtype=object), categorize=False)
+    _, offsets, data = whole.buffers()
+    ends = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    size = np.diff(ends)
+    letters = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    begin = ends[:-1] - ends[0]
+    place = (np.arange(len(letters)) - np.repeat(begin, size)).astype(np.uint64)
+    sums, some = np.zeros(len(whole), np.uint64), size > 0
+    if len(letters):
+        sums[some] = np.add.reduceat(mix((place << np.uint64(8) | letters) + np.uint64(1)), begin[some])
+    return mix(sums + mix(size.astype(np.uint64) + np.uint64(1 << 40)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -229,10 +228,10 @@ def contexts(docs: DataFrame, candidates: set[str]) -> DataFrame:
     return arrow(docs.select("text")).mapInArrow(run, "word string, around long")
 
 
-def drawn(sizes: pd.DataFrame, docs: int, chars: int) -> list[int]:
+def drawn(sizes: list[tuple[int, int]], docs: int, chars: int) -> list[int]:
     """Of rows (doc_id, n) the first `docs` that fit into `chars` together; a document longer than what is left is passed over."""
     out, left = [], chars
-    for doc_id, n in zip(sizes.doc_id.tolist(), sizes.n.tolist(), strict=True):
+    for doc_id, n in sizes:
         if len(out) < docs and n <= left:
             out.append(doc_id)
             left -= n
@@ -262,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     varied = contexts(sample.where("toxic = 1"), candidates).groupBy("word").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= least)
     lexicon = {r.word for r in varied.collect()}  # at most the candidates
     sizes = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most lexicon_docs rows
-    ids = [i for t in (0, 1) for i in drawn(sizes[sizes.toxic == t], chain_docs // 2, chain_chars // 2)]
+    ids = [i for t in (0, 1) for i in drawn(sizes[sizes.toxic == t][["doc_id", "n"]].values.tolist(), chain_docs // 2, chain_chars // 2)]
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = sample.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
     chain = fit_chain(rows.text.tolist(), rows.toxic.to_numpy(), lexicon)

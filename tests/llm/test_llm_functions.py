@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from docbasin.llm import bpe, langid, lm, mainhtml, mpeg, neardup, pii, toxicity
-from docbasin.llm.common import pieces, words
+from docbasin.llm.common import hash_words, pieces, words
 
 TEXTS = ["The  cat\tsat on\x0bthe mat", "", None, "ÀÉ à b Über", "x", "a b", " lead and trail \n"]
 
@@ -27,6 +27,14 @@ def test_pieces_keep_all_rows():
     assert [x for p in out for x in p["k"].to_pylist()] == [1, 2, 3, 4, 5] and len(out) > 1
 
 
+def test_hashes_of_words_tell_them_apart_and_need_no_neighbours():
+    rng = random.Random(2)
+    many = sorted({"".join(rng.choice("abé漢\0") for _ in range(rng.randint(0, 6))) for _ in range(5000)})
+    hashes = hash_words(pa.array(many))
+    assert len(set(hashes.tolist())) == len(many) and (hash_words(pa.array(["", *many]).slice(1)) == hashes).all()
+    assert len(hash_words(pa.array([], pa.string()))) == 0 and hash_words(pa.array(["", ""])).tolist() == [hash_words(pa.array([""]))[0]] * 2
+
+
 # Byte-level BPE
 
 
