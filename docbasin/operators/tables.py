@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Cell texts that mean no value; words a query must not hold; shapes of dates.
 NULL_MARKERS = ["", "--", "-", "n/a", "na", "nan", "null", "none", "nil", "—", "–", "n.a.", "n.a", "#n/a", "#na", "#null", "#value!", "#ref!", "#div/0!", "provide", "missing", "unknown", "tbd", "tba", "undefined"]
-FORBIDDEN = "insert update delete drop alter create attach detach pragma vacuum reindex truncate grant revoke merge set call use".split()
+FORBIDDEN = "insert update delete drop alter create attach detach pragma vacuum reindex truncate grant revoke begin commit rollback savepoint".split()
 DATE = r"^\d{4}-\d{1,2}-\d{1,2}(\s+\d{1,2}:\d{2}(:\d{2})?)?$|^\d{1,2}/\d{1,2}/\d{2,4}$|^\d{1,2}-[A-Za-z]{3}-\d{2,4}$|^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{2,4}$"
 DATE_FORMATS = ["yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "M/d/yyyy", "M/d/yy", "d-MMM-yyyy", "d-MMM-yy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy"]
 FUNCTIONS = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
 MAX_ROWS = 2000
+#: What a parsed query must not hold, besides commands: scripts, and functions that call Java or read elsewhere.
+SCRIPTS = {"ScriptTransformation", "UnresolvedScriptTransformation"}
+OUTSIDE = {"reflect", "try_reflect", "java_method"}
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
 #: Ranges of values that a column's profile is dealt by.
 RANGES = 200
 
@@ -58,7 +63,7 @@ def infer_types(table: DataFrame) -> DataFrame:
 
 
 def coerce(table: DataFrame, types: dict[str, str], raw: bool = True) -> DataFrame:
-    """Typed columns under safe names, each with its source text as <name>__raw where the type may lose it."""
+    """Typed columns under safe names, each with its source text as <name>__raw where the type may lose it. Integers are cut towards zero."""
     out, used = [], set()
     for c in table.columns:
         name, n = safe_name(c), 2
@@ -66,7 +71,7 @@ def coerce(table: DataFrame, types: dict[str, str], raw: bool = True) -> DataFra
             name, n = f"{safe_name(c)}_{n}", n + 1
         used.add(name.lower())
         cell, kind = F.col(f"`{c}`"), types.get(c, "text")
-        typed = {"integer": F.floor(number(cell)).cast("long"), "real": number(cell), "date": date(cell), "boolean": F.lower(known(cell)).isin("true", "yes", "y", "1")}.get(kind, known(cell))
+        typed = {"integer": number(cell).try_cast("long"), "real": number(cell), "date": date(cell), "boolean": F.lower(known(cell)).isin("true", "yes", "y", "1")}.get(kind, known(cell))
         out.append(typed.alias(name))
         if raw and kind in ("integer", "real", "date"):
             out.append(known(cell).alias(f"{name}__raw"))
@@ -89,17 +94,20 @@ def aggregate(table: DataFrame, column: str, fn: str, by: str | None = None, sor
     return out.limit(min(max(limit, 1), MAX_ROWS))
 
 
-def profile(table: DataFrame, columns: list[str]) -> DataFrame:
+def profile(table: DataFrame, columns: list[str], scale: int | None = None) -> DataFrame:
     """column, nulls, distinct, min, max, mean, total, p25, p50, p75 (nearest rank, ties to even) of numeric columns.
 
     Percentiles are exact. The distinct values with their counts stay rows, dealt by ranges of values; a value's place is
     its running count in its range plus the counts of the ranges before. The cut points come to the driver (at most
-    RANGES a column); they need only be about even, but the same for all who deal by them.
+    RANGES a column); they need only be about even, but the same for all who deal by them. With `scale`, sums and means
+    are of decimals with so many places, the mean to six, so they don't depend on the order of rows.
     """
     cells = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
     counted = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
     total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
-    figures = counted.groupBy("column").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / total).alias("mean"), F.sum(F.col("v") * F.col("n")).alias("total"), total.alias("all"))
+    added = F.sum((F.col("v") if scale is None else F.col("v").cast(f"decimal(18,{scale})")) * F.col("n"))
+    mean = added / total if scale is None else added.cast(f"decimal(38,{scale})") / total
+    figures = counted.groupBy("column").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), mean.cast("double").alias("mean"), added.cast("double").alias("total"), total.alias("all"))
     known_values = counted.where("v is not null")
     cuts = known_values.groupBy("column").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)]).alias("cuts")).collect()
     cut = table.sparkSession.createDataFrame([(r["column"], sorted(set(r.cuts))) for r in cuts], "column string, cuts array<double>")
@@ -117,10 +125,6 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     return figures.join(F.broadcast(ranks), "column", "left").select("column", "nulls", "distinct", "min", "max", "mean", "total", "p25", "p50", "p75")
 
 
-def small_profile(table: DataFrame, column: str) -> DataFrame:
-    return profile(table, [column]).select("p25", "p50", "p75")
-
-
 def roll_up(lots: DataFrame, keys: list[str], sums: list[str], labels: list[str]) -> DataFrame:
     """One row for each holding: key = the first of `keys` that isn't blank; sums, greatest labels, lots, unit cost."""
     key = F.coalesce(*(F.nullif(F.trim(F.col(k).cast("string")), F.lit("")) for k in keys)).alias("key")
@@ -145,12 +149,83 @@ def checked(sql: str) -> str:
     return sql
 
 
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def only_views(spark: SparkSession, sql: str, views: list[str]) -> None:
+    """Raises ValueError unless the parsed query reads the given views (and its own WITH names) and nothing else.
+
+    The parser's plan is walked, subqueries too: commands, scripts, files and tables by path, other relations, other
+    table functions and calls into Java are refused.
+    """
+    gateway, plans = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst"
+    own = {v.lower() for v in views}
+
+    def expression(e, scope: set[str]) -> None:
+        if e.getClass().getSimpleName() == "UnresolvedFunction" and str(_each(e.nameParts())[-1]).lower() in OUTSIDE:
+            raise ValueError("functions that call Java are not allowed")
+        if is_instance_of(gateway, e, f"{plans}.expressions.PlanExpression"):
+            node(e.plan(), scope)
+        for child in _each(e.children()):
+            expression(child, scope)
+
+    def node(p, scope: set[str]) -> None:
+        kind = p.getClass().getSimpleName()
+        if kind in SCRIPTS or any(is_instance_of(gateway, p, f"{plans}.plans.logical.{c}") for c in ("Command", "ParsedStatement")):
+            raise ValueError("only queries are allowed")
+        if kind == "UnresolvedRelation":
+            parts = [str(x) for x in _each(p.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in scope:
+                raise ValueError(f"unknown table {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            name = str(_each(p.name())[-1]).lower()
+            if name not in TABLE_FUNCTIONS:
+                raise ValueError(f"table function {name} is not allowed")
+        elif kind == "UnresolvedWith":
+            inner = set(scope)
+            for relation in _each(p.cteRelations()):
+                name = str(relation._1()).lower()
+                node(relation._2(), inner | {name} if p.allowRecursion() else inner)
+                inner.add(name)
+            scope = inner
+        for e in _each(p.expressions()):
+            expression(e, scope)
+        for child in _each(p.children()):
+            node(child, scope)
+
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise ValueError(f"not a query: {str(e).splitlines()[0]}") from e
+    node(parsed, own)
+
+
 def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int | None = 500) -> DataFrame:
-    """A guarded query over the given views only; at most max_rows + 1 rows, the last of which says that there are more; all rows with None."""
-    for name, frame in views.items():
-        frame.createOrReplaceTempView(name)
+    """A guarded query over the given views only; at most max_rows + 1 rows, the last of which says that there are more; all rows with None.
+
+    The views are known by their names while the query is analysed; the session's own views of these names stay.
+    """
     text = checked(sql)
-    if re.search(r"(?is)\b(from|join)\s+[a-z]+\s*\.\s*`", text):
-        raise ValueError("files can't be read by path")
-    found = spark.sql(text)
+    only_views(spark, text, list(views))
+    catalog = spark._jsparkSession.sessionState().catalog()
+    before = {name: spark.table(name) for name in views if catalog.getTempView(name).isDefined()}
+    try:
+        for name, frame in views.items():
+            frame.createOrReplaceTempView(name)
+        found = spark.sql(text)
+    finally:
+        for name in views:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
     return found if max_rows is None else found.limit(min(max_rows, MAX_ROWS) + 1)
+
+
+def result(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int = 500) -> dict:
+    """columns, rows, row_count, truncated: at most max_rows rows (2000 at most), truncated if there is one more."""
+    most = min(max(max_rows, 1), MAX_ROWS)
+    found = query(spark, sql, views, most)
+    taken = [tuple(r) for r in found.collect()]  # most + 1 at most
+    return {"columns": found.columns, "rows": taken[:most], "row_count": min(len(taken), most), "truncated": len(taken) > most}
