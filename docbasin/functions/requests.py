@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 
-NEGATIONS = {"no", "not", "never", "none", "without", "cannot", "except", "neither", "nor"}
+NEGATIONS = {"no", "not", "never", "none", "without", "cannot", "except", "neither", "nor", "unless"}
 NUMERIC = {"total", "sum", "average", "mean", "count", "many", "much", "highest", "lowest", "largest", "smallest", "top", "percent", "minimum", "maximum"}
 
 
@@ -48,9 +48,24 @@ def numeric_intent(question: str) -> bool:
     return bool(NUMERIC & set(re.findall(r"[a-z]+", question.lower()))) or "how many" in question.lower()
 
 
+def exact_intent(question: str) -> bool:
+    """Whether words are to be found as they stand: quoted, or asked for by exact, verbatim or literally."""
+    return bool(re.search(r"\"[^\"]+\"|\b(?:exact|exactly|verbatim|literal|literally|word for word)\b", question.lower()))
+
+
+def cacheable(turn: int, sources: int, tool_calls: int) -> bool:
+    """Answers are kept for a first turn, with sources, without tools."""
+    return turn == 1 and sources > 0 and tool_calls == 0
+
+
+def same_question(a: str, b: str, threshold: float) -> bool:
+    """Whether a kept answer may serve: the same words, or, below a threshold of 1, the same words that change a meaning."""
+    return " ".join(a.lower().split()) == " ".join(b.lower().split()) or (threshold < 1 and load_bearing(a) == load_bearing(b))
+
+
 def load_bearing(question: str) -> list[str]:
     """Negations and whatever holds a digit: two questions that differ here aren't the same."""
-    words = re.findall(r"[\w.%-]+", question.lower())
+    words = [w.strip(".-") for w in re.findall(r"[\w.'’%-]+", question.lower().replace("’", "'"))]
     return sorted(w for w in words if w in NEGATIONS or w.endswith("n't") or any(c.isdigit() for c in w))
 
 

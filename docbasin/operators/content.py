@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from docbasin.functions import scan
 
 
+def typed(docs: DataFrame, key: str) -> str:
+    """The key with its own type, as a schema's field."""
+    return f"`{key}` {docs.schema[key].dataType.simpleString()}"
+
+
 def _split(docs: DataFrame, key: str, text: str, split: Callable[[str], list[str]], name: str) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [(k, i, p) for k, t in zip(b[key], b[text], strict=True) if t is not None for i, p in enumerate(split(t))]
             yield pd.DataFrame(rows, columns=[key, name, "text"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, {name} int, text string")
+    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, {name} int, text string")
 
 
 def chunk(docs: DataFrame, size: int = 600, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,8 +30,15 @@ def chunk(docs: DataFrame, size: int = 600, overlap: int = 100, key: str = "doc_
 
 
 def sections(pages: DataFrame, kind: str, key: str = "page_id", text: str = "html") -> DataFrame:
-    """kind: html, markdown, json or jsonl."""
-    split = {"html": scan.html_sections, "markdown": scan.markdown_sections, "json": scan.json_pages, "jsonl": scan.jsonl_pages}[kind]
+    """kind: html, markdown, json, jsonl or code. A text that is no JSON is one page, as it stands."""
+
+    def json_or_text(value: str) -> list[str]:
+        try:
+            return scan.json_pages(value)
+        except ValueError:
+            return [value]
+
+    split = {"html": scan.html_sections, "markdown": scan.markdown_sections, "json": json_or_text, "jsonl": scan.jsonl_pages, "code": scan.code_pages}[kind]
     return _split(pages, key, text, split, "section")
 
 
@@ -67,7 +79,7 @@ def policy(docs: DataFrame, action: str = "flag", rules: list[tuple] | None = No
             found = [scan.policy(t or "", chosen) for t in b[text]]
             yield pd.DataFrame({key: b[key], "score": [f["score"] for f in found], "flagged": [f["flagged"] for f in found], "critical": [f["critical"] for f in found], "categories": [",".join(f["categories"]) for f in found], "suggested": [f["suggested"] for f in found]})
 
-    found = docs.select(key, text).mapInPandas(run, f"{key} long, score double, flagged boolean, critical boolean, categories string, suggested string")
+    found = docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, critical boolean, categories string, suggested string")
     after = {"off": "clear", "flag": "flagged", "quarantine": "quarantined", "reject": "rejected"}[action]
     status = F.when(~F.col("flagged") | F.lit(action == "off"), "clear").when(F.col("critical") & F.lit(action == "flag"), "quarantined").otherwise(after)
     return found.withColumn("status", status)
@@ -79,7 +91,34 @@ def injection(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             found = [scan.injection(t or "") for t in b[text]]
             yield pd.DataFrame({key: b[key], "score": [f["score"] for f in found], "flagged": [f["flagged"] for f in found], "categories": [",".join(f["categories"]) for f in found]})
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, score double, flagged boolean, categories string")
+    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, categories string")
+
+
+def form_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, likelihood, form_like."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "likelihood": [scan.form_likelihood(t or "") for t in b[text]]})
+
+    found = docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, likelihood double")
+    return found.withColumn("form_like", F.col("likelihood") >= scan.FORM_LIKE)
+
+
+def code_chunks(files: DataFrame, language: str, key: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 200) -> DataFrame:
+    """key, kind, name, first_line, last_line, text."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, c["kind"], c["name"], c["begin"], c["end"], c["text"]) for k, t in zip(b[key], b[text], strict=True) for c in scan.code_chunks(t or "", language, size, overlap)]
+            yield pd.DataFrame(rows, columns=[key, "kind", "name", "first_line", "last_line", "text"])
+
+    return files.select(key, text).mapInPandas(run, f"{typed(files, key)}, kind string, name string, first_line int, last_line int, text string")
+
+
+def document_policy(pages: DataFrame, key: str = "document_id") -> DataFrame:
+    """Page results of `policy` (key, page columns) folded by document: the largest score, whether any page is flagged or critical, the pages flagged."""
+    return pages.groupBy(key).agg(F.max("score").alias("score"), F.bool_or("flagged").alias("flagged"), F.bool_or("critical").alias("critical"), F.count_if("flagged").alias("flagged_pages"))
 
 
 def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,7 +126,7 @@ def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for b in batches:
             yield pd.DataFrame([(k, n, v) for k, t in zip(b[key], b[text], strict=True) for n, v in scan.form_fields(t or "").items()], columns=[key, "field", "value"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, field string, value string")
+    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, field string, value string")
 
 
 def code_symbols(files: DataFrame, language: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,4 +134,4 @@ def code_symbols(files: DataFrame, language: str, key: str = "doc_id", text: str
         for b in batches:
             yield pd.DataFrame([(k, s["name"], s["kind"], s["begin"], s["end"]) for k, t in zip(b[key], b[text], strict=True) for s in scan.code_symbols(t or "", language)], columns=[key, "name", "kind", "first_line", "last_line"])
 
-    return files.select(key, text).mapInPandas(run, f"{key} long, name string, kind string, first_line int, last_line int")
+    return files.select(key, text).mapInPandas(run, f"{typed(files, key)}, name string, kind string, first_line int, last_line int")

@@ -24,12 +24,12 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return worded(docs, key, text).select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def _idf(n: Column, df: Column) -> Column:
+def idf(n: Column, df: Column) -> Column:
     raw = F.ln((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
 
-def _term_score(tf: Column, length: Column, mean: Column) -> Column:
+def term_score(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
@@ -49,7 +49,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = worded(docs, key, text).select(key, F.size("words").alias("length"), *(F.size(F.filter("words", _equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
     figures = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    parts = [F.lit(float(wanted.count(t))) * _idf(F.col("n"), F.col(f"df{i}")) * _term_score(F.col(f"tf{i}"), F.col("length"), F.col("mean")) for i, t in enumerate(terms)]
+    parts = [F.lit(float(wanted.count(t))) * idf(F.col("n"), F.col(f"df{i}")) * term_score(F.col(f"tf{i}"), F.col("length"), F.col("mean")) for i, t in enumerate(terms)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -57,17 +57,17 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     return counted.where(hit).crossJoin(F.broadcast(figures)).select(key, total.alias("score"))  # figures: one row
 
 
-def bm25_search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+def bm25_search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", figures: DataFrame | None = None) -> DataFrame:
     """postings, queries (query_id, query) -> query_id, key, score, position: the k best of each query.
 
     Terms are joined to postings by a shuffle or broadcast as Spark sees fit; frequent terms are split by adaptive
-    execution.
+    execution. figures (n, mean), one row, are counted from the postings if they aren't given.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    lengths = index.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    lengths = figures if figures is not None else index.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     scored = index.join(asked.join(frequency, "term"), "term").crossJoin(F.broadcast(lengths))
-    part = F.col("times") * _idf(F.col("n"), F.col("df")) * _term_score(F.col("tf"), F.col("length"), F.col("mean"))
+    part = F.col("times") * idf(F.col("n"), F.col("df")) * term_score(F.col("tf"), F.col("length"), F.col("mean"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.groupBy("query_id", key).agg(F.sum(part).alias("score")).withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 
@@ -95,9 +95,8 @@ def knn(vectors: DataFrame, queries: pd.DataFrame, k: int = 10, key: str = "vec_
             m = np.array(b[vector].tolist(), np.float64)
             s = asked @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
             keys, n = b[key].to_numpy(), min(k, len(b))
-            for q in range(len(ids)):
-                best = np.lexsort((keys, -s[q]))[:n]
-                yield pd.DataFrame({"query_id": ids[q], key: keys[best], "score": s[q][best]})
+            best = np.stack([np.lexsort((keys, -own))[:n] for own in s])
+            yield pd.DataFrame({"query_id": np.repeat(ids, n), key: keys[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
     found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -9,7 +9,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docbasin.functions.scan import preamble
 from docbasin.operators.content import sections
+from docbasin.operators.registry import ROW, numbered
 
 CODE = {"py": "python", "rb": "ruby", "js": "javascript", "ts": "typescript", "java": "java", "c": "c", "cpp": "cpp", "go": "go", "rs": "rust", "cs": "csharp"}
 PAGED = {"md": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl"}
@@ -25,14 +27,23 @@ def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def file_pages(files: DataFrame) -> DataFrame:
     """text_files rows -> path, section, text; what has no sections is one page, trimmed."""
-    numbered = files.withColumn("id", F.xxhash64("path"))
-    out = numbered.where(~F.col("extension").isin(list(PAGED))).select("path", F.lit(0).alias("section"), F.trim("text").alias("text"))
-    for extension, kind in PAGED.items():
-        mine = numbered.where(F.col("extension") == extension)
-        out = out.unionByName(sections(mine, kind, "id", "text").join(mine.select("id", "path"), "id").select("path", "section", "text"))
+    paged = list(PAGED) + list(CODE)
+    out = files.where(~F.col("extension").isin(paged)).select("path", F.lit(0).alias("section"), F.trim("text").alias("text"))
+    for kind in sorted({*PAGED.values(), "code"}):
+        own = [e for e, k in PAGED.items() if k == kind] if kind != "code" else list(CODE)
+        mine = files.where(F.col("extension").isin(own))
+        out = out.unionByName(sections(mine, kind, "path", "text").select("path", "section", "text"))
     return out
 
 
+def checked_formats(files: DataFrame) -> DataFrame:
+    """`files`; raises ValueError for an extension that none of the readers takes."""
+    known = [*PAGED, *CODE, "txt", "csv", "docx", "xlsx"]
+    if odd := [r.extension for r in files.where(~F.col("extension").isin(known)).select("extension").distinct().limit(10).collect()]:
+        raise ValueError(f"unsupported: {', '.join(sorted(odd))}")
+    return files
+
+
 def sniff(lines: list[str]) -> tuple[str, int]:
     """Separator and header row of the first lines of a file.
 
@@ -62,20 +73,34 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "value string")
     schema = ", ".join(f"`_{i}` string" for i in range(len(names)))
     rows = spark.read.csv(path, sep=sep, schema=schema)
-    before = {tuple(c.strip() for c in next(csv.reader([line], delimiter=sep), [])) for line in head[:at]}
+    if at:
+        # The preamble lies at the file's beginning; rows that repeat it further on are data.
+        begin = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line"), "value")
+        whole = begin.where((F.col("block") > 0) | (F.col("line") > at)).select("value")
+        rows = whole.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
     cells = [F.trim(F.coalesce(F.col(f"_{i}"), F.lit(""))) for i in range(len(names))]
     same = sum((F.when((F.lower(c) == n.lower()) & (c != ""), 1).otherwise(0) for c, n in zip(cells, names, strict=True)), F.lit(0))
     filled = sum((F.when(c != "", 1).otherwise(0) for c in cells), F.lit(0))
     rows = rows.where(~((filled >= 3) & (same >= 0.6 * filled)))
-    for row in before:
-        padded = [*row, *[""] * len(names)][: len(names)]
-        test = F.lit(True)
-        for c, v in zip(cells, padded, strict=True):
-            test = test & (c == v)
-        rows = rows.where(~test)
     return rows.toDF(*names)
 
 
+def csv_metadata(spark: SparkSession, path: str) -> dict:
+    """What the lines above the header say. Only the first 30 lines come to the driver."""
+    head = [r.value for r in spark.read.text(path).limit(30).collect()]
+    sep, at = sniff(head)
+    return preamble([next(csv.reader([line], delimiter=sep), []) for line in head[:at]])
+
+
+def csv_prose(spark: SparkSession, path: str, per_page: int = 50) -> DataFrame:
+    """page, text: `a | b` lines, so many rows a page; the header and a rule on the first page. A page is gathered by its number, so none holds more than its rows."""
+    rows = read_csv(spark, path)
+    head = " | ".join(rows.columns)
+    lines = numbered(rows.select(F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in rows.columns)).alias("line")))
+    paged = lines.groupBy((F.floor((F.col(ROW) - 1) / per_page) + 1).cast("int").alias("page")).agg(F.array_join(F.sort_array(F.collect_list(F.struct(ROW, "line"))).getField("line"), "\n").alias("text"))
+    return paged.select("page", F.when(F.col("page") == 1, F.concat(F.lit(f"{head}\n{'-' * len(head)}\n"), "text")).otherwise(F.col("text")).alias("text"))
+
+
 def export_bundle(tables: dict[str, DataFrame], path: str, name: str) -> None:
     """Tables as Parquet folders and a manifest; quarantined documents stay behind where a table says which they are."""
     spark = next(iter(tables.values())).sparkSession
