@@ -29,7 +29,7 @@ from docbasin.llm.common import arrow, pieces, read
 
 #: Bounds of a task's tables: states of the transducer, and words in each of two generations of kept encodings.
 MAX_STATES = 200_000
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
 #: Moves of the decoder that are kept: a state and a token each.
 MAX_MOVES = 100_000
 #: Bits of a token in a move of the transducer, which is one number: the next state, then the token.
@@ -61,6 +61,8 @@ class Transducer:
                 left, right = self.merged(token, until=2)
                 self.halves[rank] = (left, right)
         self.joined = {pair: rank for rank, pair in enumerate(self.halves) if pair[0] != pair[1] or len(self.bytes_of[rank]) > 1}
+        #: One object for each id: encodings that are kept share them.
+        self.own = list(range(len(self.bytes_of)))
         self._clear()
 
     def _clear(self) -> None:
@@ -162,7 +164,7 @@ class Transducer:
         if len(self.about) > self.max_states:
             self._clear()
         if len(data) >= STRIDE:
-            return tuple(self.stream(data))
+            return tuple(map(self.own.__getitem__, self.stream(data)))
         at, lasts, moves = 0, [], self.moves
         for byte in data:
             step = moves.get(at << 8 | byte)
@@ -170,7 +172,7 @@ class Transducer:
                 step = self._move(at, byte)
             at = step >> TOKEN_BITS
             lasts.append(step & TOKEN)
-        return tuple(self._path(lasts, len(lasts)))
+        return tuple(map(self.own.__getitem__, self._path(lasts, len(lasts))))
 
 
 #: Fixed values of UTF-8: lead byte range -> allowed ranges of the bytes that follow.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one piece of a batch may hold; a single longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch between the JVM and Python: its buffers stay allocated on both sides, so few rows of long texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
