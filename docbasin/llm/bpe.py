@@ -316,7 +316,8 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, exact (whether the decoded bytes are the text's); with `ids`, the array token_ids too.
 
-    One pass over the scan, no shuffle: memory is a bounded piece of a batch plus the bounded tables of a task.
+    One pass over the scan, no shuffle: memory is a bounded piece of a batch plus a worker's tables, which are bounded
+    and serve its later tasks too. (`tokens`, a stage among others, lets go of them at a task's end.)
     A null text counts as empty: no tokens. Rows are independent, so repeated rows give repeated results; other columns
     of `docs` are ignored, whatever their names.
     """
@@ -339,7 +340,6 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> Da
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
             columns = [pa.array(out[c], t) for c, t in zip(out, types, strict=True)][: 4 + ids]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *columns], names=["doc_id", *out][: 5 + ids])
-        tok.forget()
 
     return arrow(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
