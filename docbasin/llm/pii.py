@@ -126,12 +126,13 @@ def again(text: str) -> dict[str, Spans]:
     """Cards and phones inside runs that failed as a whole: windows of whole groups of digits."""
     out: dict[str, Spans] = {"card": [], "phone": []}
     for m in CARD.finditer(text):
-        if sum(c.isdigit() for c in m.group()) > 19:
-            groups, i = [g.span() for g in re.finditer("[0-9]+", m.group())], 0
+        whole = m.group()
+        if sum(c.isdigit() for c in whole) > 19:
+            groups, i = [g.span() for g in re.finditer("[0-9]+", whole)], 0
             while i < len(groups):
                 digits, best = "", None
                 for j in range(i, len(groups)):
-                    digits += m.group()[slice(*groups[j])]
+                    digits += whole[slice(*groups[j])]
                     if len(digits) > 19:
                         break
                     if _card(digits):
@@ -242,8 +243,8 @@ def disguised(text: str) -> dict[str, Spans]:
         tape = marks(tape)
         tapes.append(tape)
     if spells(tape.text) or LEET.search(tape.text):
-        tape = numbers(tape)
-        tapes.append(tape)
+        after = numbers(tape)
+        tapes += [after] if after is not tape else []
     for t in tapes:
         found = plain(t.text)
         for kind, spans in again(t.text).items():

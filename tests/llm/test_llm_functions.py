@@ -327,6 +327,53 @@ def test_decoding_has_no_contradictions_and_good_leaves():
     assert np.mean(f1) > 0.9
 
 
+def test_decoding_is_the_best_of_all_labellings():
+    rng = random.Random(4)
+    for _ in range(60):
+        root = mainhtml.Node("#root", None)
+        nodes = [root]
+        for k in range(rng.randint(1, 8)):
+            node = mainhtml.Node(rng.choice(["div", "#text"]), rng.choice([n for n in nodes if n.tag != "#text"]))
+            node.logit, node.words, node.text = rng.uniform(-3, 3), rng.randint(0, 9), [f"t{k}"] if node.tag == "#text" else []
+            nodes.append(node)
+        order, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo.extend(reversed(n.kids))
+        weight = [n.logit * (1 + np.log1p(n.words) if n.tag == "#text" else 1) for n in order]
+        best = max((sum(w if k else -w for w, k in zip(weight[1:], (m >> i & 1 for i in range(len(order) - 1)), strict=True)), m) for m in range(1 << (len(order) - 1)) if all(order.index(n.parent) == 0 or m >> (order.index(n.parent) - 1) & 1 or not m >> i & 1 for i, n in enumerate(order[1:])))
+        kept = {id(n) for i, n in enumerate(order[1:]) if best[1] >> i & 1}
+        assert mainhtml.decode(order) == [n.text[0] for n in order if id(n) in kept and n.tag == "#text"]
+
+
+#: Pages written by hand, in markups that `specimen` doesn't make, and their main text.
+BY_HAND = [
+    ("<body><div id=top-menu><a href=/>Home</a> | <a href=/b>Blog</a></div><div class='post-body entry'><h2>On tea</h2><p>{0}<p>{1}</div><div class=site-footer>All rights reserved.</div>", "On tea {0} {1}"),
+    ("<html><body><header><h1>Daily News</h1></header><main><section><h1>Storm</h1><p>{0}</p><figure><figcaption>{1}</figcaption></figure></section></main><aside class=related><ul><li><a href=1>More storms</a></li></ul></aside></body></html>", "Storm {0} {1}"),
+    ("<div class='{2} sidebar'><p>{1}</p></div><article><p>{0}</p><p>{0}</p></article>", "{0} {0}"),
+    ("<noscript><p>{1}</p><article><h1>Open</h1><p>{0}</p><p>{0}</p></article>", None),
+]
+
+
+def test_pages_written_by_hand():
+    first, second = " ".join(["Leaves are picked by hand in spring."] * 8), " ".join(["Water is boiled, then left to cool."] * 7)
+    for html, want in BY_HAND:
+        text = page_text(html.format(first, second, "pad" * 400))[0]
+        assert text == want.format(first, second) if want else first in text, html[:60]
+
+
+@pytest.mark.parametrize("unit", [("<div>", "</p>"), ("<ul><div>", "<li></li>"), ("<b>", "</div>")])
+def test_parsing_takes_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        mainhtml.parse(unit[0] * n + unit[1] * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(20_000) < 40 * max(seconds(1000), 0.002) + 0.5
+
+
 # Language ID, toxicity, near-duplicates, language model
 
 

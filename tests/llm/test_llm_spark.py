@@ -198,3 +198,49 @@ def test_pipeline_by_stages(spark, sf_dir):
     tok = bpe.tokenizer(*tokenizer())
     for r in docs.collect():
         assert tok.decode(r.token_ids).decode() == (texts[r.doc_id] or "") and r.n_tokens == len(r.token_ids)
+
+
+def test_rows_of_scanning_queries_by_hand(spark, sf_dir):
+    import hashlib
+    import zlib
+
+    import tiktoken
+
+    path, pattern = tokenizer()
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in read(spark, sf_dir, "documents").collect()}
+
+    def sha(data):
+        return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+    for r in bpe.op10_bpe(spark, sf_dir).collect():
+        ids = other.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
+    for r in mpeg.op9_mpeg(spark, sf_dir).collect():
+        data = texts[r.doc_id].encode()
+        whole = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), sha(whole), zlib.crc32(whole[-32:]))
+        assert len(r.seek) == len(whole) // 576 and abs(r.seconds - len(r.seek) * 1152 / 48000) < 1e-9 and r.seek == sorted(r.seek) and r.seek[-1] < r.media_bytes
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(d := re.sub(r"\D", "", s)) <= 19 and pii.luhn(d), "phone": lambda s: 9 <= len(re.sub(r"\D", "", s)) <= 15}
+    for r in pii.op8_pii(spark, sf_dir).collect():
+        base = [f"{k}:{m.start()}:{m.end()}" for k, p in plain.items() for m in re.finditer(p, texts[r.doc_id]) if ok[k](m.group())]
+        assert r.base_sha256 == sha(",".join(base)) and set(base) <= set(r.spans.split(",")) | {""} and r.n_spans == len([s for s in r.spans.split(",") if s])
+
+
+def test_stages_judge_rows_not_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    base, clean, more = " ".join(f"b{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    item = read(spark, sf_dir, "benchmark").first().text
+    docs = spark.createDataFrame([(0, base), (1, base), (1, clean), (5, more), (5, more), (None, base), (6, item), (6, "harmless words of six"), (None, f"x {item} y")], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs.limit(6), sf_dir).collect())
+    assert kept == [(0, base), (1, clean), (5, more)]
+    found = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert found.columns == docs.columns and sorted((r.text for r in found.collect())) == sorted([base, base, base, clean, more, more, "harmless words of six"])
+
+
+def test_short_items_inside_long_documents(spark):
+    docs = spark.createDataFrame([(1, "xx alpha beta gamma yy zz"), (2, "alpha beta gamma"), (3, "alpha gamma beta"), (4, None), (None, "alpha beta gamma")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Alpha, beta gamma!"), (2, "zz"), (3, ""), (4, "alpha beta gamma yy zz extra")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contained(docs, items).collect()) == [(1, 1), (1, 2), (2, 1)]
