@@ -93,7 +93,7 @@ REFUSED = [
     "with a as (select * from secret_other) select * from a", "select * from t where id in (select id from secret_other)",
     "select * from (with secret_other as (select 1 as id) select * from t) x, secret_other", "select reflect('java.lang.System', 'currentTimeMillis')",
     "select transform(id) using 'cat' as (x) from t", "with a as (select 1) insert into t select * from a", "show tables", "select * from read_files('/x')",
-    "select * from t; select 1", "select 1 from global_temp.x", "select a.* from t lateral view explode(array(1)) z as y, secret_other a", "select * from", "drop table t",
+    "select * from t; select 1", "select 1 from global_temp.x", "select a.* from t lateral view explode(array(1)) z as y, secret_other a", "select (1", "drop table t",
 ]
 ALLOWED = {
     "select * from t": 10, "with a as (select id from t), b as (select * from a) select * from b where id > (select min(id) from a)": 9,
