@@ -559,6 +559,13 @@ def code_symbols_parts(spark, sf_dir):
     return content.code_symbols(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), "python")
 
 
+@query("select s_suppkey as doc_id, unnest(['Show', 'Sub' || s_suppkey, 'again']) as name, unnest(['macro', 'procedure', 'label']) as kind, unnest([1, 4, 7])::int as first_line, unnest([3, 6, 9 + (s_suppkey % 3)])::int as last_line from supplier")
+def code_symbols_assembly(spark, sf_dir):
+    more = F.repeat(F.lit("  nop\n"), (F.col("s_suppkey") % 3).cast("int"))
+    text = F.concat(F.lit("Show MACRO x\n  mov al, x\nENDM\nSub"), "s_suppkey", F.lit(" PROC NEAR\n  ret\nSub"), "s_suppkey", F.lit(" ENDP\nagain:\n"), more, F.lit("  dec cx\n  ret\n\nunused:\n"))
+    return content.code_symbols(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")), "assembly")
+
+
 @query("select case when s_suppkey % 3 = 0 then 'secrets' else '' end as categories, case when s_suppkey % 3 = 0 then 0.6 else 0.0 end::double as score, false as flagged, false as critical, case when s_suppkey % 3 = 0 then 'confidential' end as suggested, 'clear' as status, s_suppkey as doc_id from supplier")
 def policy_secrets(spark, sf_dir):
     text = F.concat("s_name", F.lit(" keeps "), F.when(F.col("s_suppkey") % 3 == 0, "-----BEGIN RSA PRIVATE KEY----- here").otherwise("nothing"))
@@ -578,6 +585,15 @@ def html_sections_nations(spark, sf_dir):
     return content.sections(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), html.alias("html")), "html")
 
 
+@query("select s_suppkey::bigint as page_id, 0 as section, case when s_suppkey % 2 = 0 then 'Supplies' || chr(10) || repeat('word ', 30) || s_suppkey else 'teaser' || chr(10) || repeat('word ', 30) || s_suppkey || chr(10) || 'note' end as text from supplier")
+def html_content_suppliers(spark, sf_dir):
+    """A page whose <main> holds the bulk, and one whose <article> is a teaser: there only what is named like a landmark goes."""
+    marked = F.concat(F.lit("<body><div>Home</div><main><h3>Supplies</h3><div class='big menu'>top</div><p>"), F.repeat(F.lit("word "), 30), "s_suppkey", F.lit("</main><p>tail</body>"))
+    plain = F.concat(F.lit("<body><header>Site</header><article>teaser</article><div>"), F.repeat(F.lit("word "), 30), "s_suppkey", F.lit("</div><p class=footnote>note</p><p id=sidebar>more</p></body>"))
+    html = F.when(F.col("s_suppkey") % 2 == 0, marked).otherwise(plain)
+    return content.sections(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), html.alias("html")), "html")
+
+
 @query("select entity, count(*) as df from (select unnest([lower(c_mktsegment), 'mary jone']) as entity from customer) group by 1")
 def entities_customers(spark, sf_dir):
     text = F.concat(F.lit("Today we met Mary Jones from "), "c_mktsegment", F.lit(" again. Nobody came."))

@@ -116,6 +116,33 @@ def test_forms_and_code():
     assert [(s["name"], s["begin"], s["end"]) for s in scan.code_symbols(braces, "c")] == [("main", 1, 4), ("X", 5, 6)]
 
 
+def test_code_of_further_families():
+    def found(text, language):
+        return [(s["name"], s["kind"], s["begin"], s["end"]) for s in scan.code_symbols(text, language)]
+
+    unit = "unit U;\ninterface\ntype\n  TBox = class(TObject)\n    procedure Fill;\n  end;\n  TRef = class;\nprocedure Run;\nimplementation\nprocedure TBox.Fill;\n"
+    unit += "  function Two: Integer;\n  begin Two := 2; end;\nvar R: record a: Integer; end;\nbegin\n  case 1 of 1: Run; end; // end\nend;\nprocedure Run;\nbegin\nend;\nend.\n"
+    assert found(unit, "delphi") == [("TBox", "class", 4, 6), ("Run", "procedure", 8, 8), ("TBox.Fill", "procedure", 10, 16), ("Run", "procedure", 17, 19)]
+    module = "IMPLEMENTATION MODULE M;\nPROCEDURE A(x: INTEGER);\nBEGIN\n  IF x > 0 THEN END;\nEND A;\nPROCEDURE B;\nBEGIN\nEND B;\nEND M.\n"
+    assert found(module, "modula2") == [("A", "procedure", 2, 5), ("B", "procedure", 6, 8)]
+    assert found("DEFINITION MODULE M;\nPROCEDURE A;\nEND M.", "modula2") == [("A", "procedure", 2, 2)]
+    code = "Put MACRO x\n  mov al, x\nENDM\nMain PROC NEAR\n  call Sub1\nMain ENDP\nSub1:\n  nop\n  ret\n  nop\nempty:\nlast:\n  nop\n"
+    assert found(code, "assembly") == [("Put", "macro", 1, 3), ("Main", "procedure", 4, 6), ("Sub1", "label", 7, 9), ("last", "label", 12, 13)]
+    for language in ("pascal", "modula2", "assembly"):
+        assert found("", language) == []
+
+
+def test_html_keeps_the_content():
+    word = "word " * 20
+    assert scan.html_sections(f"<body><div class='menu big'>Home</div><main><p>{word}</p><div id=related>x</div></main><div>teaser</div></body>") == [word.strip()]
+    assert scan.html_sections(f"<body><header>Site</header><article><header>By Ann</header><p>{word}</article><p>tail</body>after") == ["By Ann\n" + word.strip()]
+    # A teaser in <article> is no landmark; a footnote is no footer.
+    assert scan.html_sections(f"<body><article>teaser</article><div>{word}</div><p class=footnote>note</p><div role=banner>ad</div></body>") == [f"teaser\n{word.strip()}\nnote"]
+    # What holds most of the text stays, whatever its name.
+    assert scan.html_sections(f"<body><form><div class=menu>{word}</div><nav>home</nav></form></body>") == [word.strip()]
+    assert scan.html_sections("<title>The Report</title><body><p>the report of may</body>") == ["the report of may"]
+
+
 def test_query_tokens_keep_repeats():
     assert query_tokens("The Élève found Error-404 error 404 a") == ["found", "error", "404", "error", "404"]
 

@@ -183,3 +183,27 @@ def test_requests():
 def test_integers_are_cut_towards_zero(spark):
     got = tables.coerce(spark.createDataFrame([("-408.8",), ("408.8",), ("1e30",)], "a string"), {"a": "integer"}, raw=False).collect()
     assert [r.a for r in got] == [-408, 408, None]
+
+
+def test_entity_boost_by_hand(spark):
+    """The query's rows against plain Python over a made corpus: resolving, lifts of two or more entities, and what has no score."""
+    made = ["Alice Brown met the Baltic Board in June.", "The Baltic Board wrote to Alice Brown and Carl Stone.", "Carl Stone alone. Rain fell.", "nothing named here, rain", "we saw Dora Reed and the Baltic Board", None, "", *["rain"] * 4]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = content.entities(docs)
+    by_doc = {}
+    for r in found.select("doc_id", "entity").distinct().collect():
+        by_doc.setdefault(r.doc_id, set()).add(r.entity)
+    rarity = {r.entity: r.rarity for r in content.usable_entities(found, docs.count()).collect()}
+    question = "did Alice Brown ask the Baltic Board about rain"
+    asked = content.asked_entities(content.usable_entities(found, docs.count()), question)
+    names = {r.entity for r in asked.collect()}
+    assert names == {"alice brown", "baltic board"}
+    scores = spark.createDataFrame([(2, 1.0), (3, 0.5), (0, 0.25)], "doc_id long, score double")
+    out = retrieval.entity_boost(scores, found.join(asked, "entity").select("doc_id", "entity", "rarity"))
+    expected = {2: 1.0, 3: 0.5, 0: 0.25}
+    for d, held in by_doc.items():
+        shared = held & names
+        total = sum(rarity[e] for e in shared)
+        if shared:
+            expected[d] = expected.get(d, 0.0) + (0.2 * total / (1 + total) if len(shared) >= 2 else 0.0)
+    assert {r.doc_id: round(r.score, 9) for r in out.collect()} == {d: round(v, 9) for d, v in expected.items()} and {0, 1, 4} <= set(expected)
