@@ -54,13 +54,25 @@ def usable_entities(found: DataFrame, documents: int, share: float = 0.3, key: s
     return counts.crossJoin(F.broadcast(most)).where((F.col("df") >= 2) & (F.col("df") <= max(2, int(share * documents)))).select("entity", "df", (1 - F.col("df") / F.col("most")).alias("rarity"))
 
 
-def asked_entities(usable: DataFrame, query: str, cap: int = 10) -> DataFrame:
+def plain_words(docs: DataFrame, share: float = 0.2, text: str = "text") -> frozenset[str]:
+    """Words in more than a share of the documents, and the common ones: they tell no entity from another.
+
+    At most (mean distinct words of a document) / share of them come to the driver.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9'-]+"), F.lit(0)))
+    limit = docs.count() * share
+    often = docs.select(F.explode(words).alias("word")).groupBy("word").count().where(F.col("count") > limit)
+    return scan.COMMON | {r.word for r in often.select("word").collect()}
+
+
+def asked_entities(usable: DataFrame, query: str, cap: int = 10, plain: frozenset[str] = scan.COMMON) -> DataFrame:
     """The usable entities that the query's own (at most `cap`) stand for, each once.
 
     An entity stands for itself, else for the one that shares a content word with it and is rarest (by df, then name).
+    `plain` are words that are no content; plain_words() takes them from a corpus.
     """
     asked = scan.entities(query, cap)
-    words = [(a, w) for a in asked for w in sorted(scan.entity_words(a))]
+    words = [(a, w) for a in asked for w in sorted(scan.entity_words(a, plain))]
     spark = usable.sparkSession
     names = spark.createDataFrame([(a,) for a in asked], "asked string")
     exact = usable.join(F.broadcast(names), F.col("entity") == F.col("asked"))  # at most `cap` rows
