@@ -6,8 +6,8 @@ it adds the blank itself. From there on all is higher-order functions over the a
 * `array_intersect` of both sides' ends are the offsets that cut the tokens into groups;
 * the sorted union of the ends cuts the bytes into segments that belong to one A and one B token each, and two tokens that
   overlap share exactly one segment, so the segments are the links, each once;
-* the token of a byte is looked up in an array that holds each token's index as often as it has bytes, so every step is
-  linear in the text.
+* a byte's tokens are looked up in arrays that hold each token's id as often as it has bytes, and whether a group ends at
+  a byte in another, so every step is linear in the text.
 
 An id pair's count is the number of texts that hold it linked. Pairs with a count of at least 1 / HOT_SHARE of all counts
 are at most HOT_SHARE, so they are broadcast and the frequent keys never meet in one task; the links of rarer pairs are
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -115,39 +115,42 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return arrow(docs.select(ROW, "text")).mapInArrow(run, TOKENS)
 
 
-def _spread(sizes: Column) -> Column:
-    """The index of the token of each byte."""
-    return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body's lambdas read it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _listed(ids: str, first: Column, last: Column) -> Column:
-    """Decimal ids from one place to another, joined by commas."""
-    some = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(F.col(ids), i).cast("string")), ",")
-    return F.when(first == last, F.get(F.col(ids), first).cast("string")).otherwise(some)
+def _of_byte(side: str, factor: int) -> Column:
+    """The id of the token of each byte, times a factor."""
+    return F.flatten(F.zip_with(F.col(f"{side}_ids").cast("array<bigint>"), f"{side}_sizes", lambda x, n: F.array_repeat(x * factor if factor != 1 else x, n)))
 
 
-def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
-    """tokens -> ROW, n_a, n_b, n_groups, n_links, groups_sha256, links: pairs as a * b_size + b, one for each overlapping pair of tokens."""
-    parts = [F.col(c) for c in ("a_ids", "b_ids")]
-    parts += [_spread(F.col("a_sizes")).alias("a_of"), _spread(F.col("b_sizes")).alias("b_of")]
-    parts += [F.array_intersect("a_ends", "b_ends").alias("cuts"), F.sort_array(F.array_union("a_ends", "b_ends")).alias("ends")]
-    # The generator keeps the optimiser from computing these arrays anew for each element of a lambda.
-    held = tokens.select(ROW, F.explode(F.array(F.struct(*parts))).alias("t")).select(ROW, "t.*")
+def _marks(cuts: Column) -> Column:
+    """What follows the token that ends at each byte: a semicolon at the last byte of a group, else a comma."""
+    return F.flatten(F.transform(cuts, lambda c, k: F.concat(F.array_repeat(F.lit(","), c - F.coalesce(F.get(cuts, k - 1), F.lit(0)) - 1), F.array(F.lit(";")))))
+
+
+def _grouped(side: str, marks: Column) -> Column:
+    """Decimal ids joined by commas, an array with an entry for each group."""
+    marked = F.zip_with(F.col(f"{side}_ids").cast("array<string>"), f"{side}_ends", lambda x, end: F.concat(x, F.element_at(marks, end)))
+    return F.split(F.rtrim(F.array_join(marked, ""), F.lit(";")), ";")
 
-    def group(end: Column, k: Column) -> Column:
-        begin = F.when(k == 0, 0).otherwise(F.get("cuts", k - 1))
-        sides = [_listed(f"{s}_ids", F.get(f"{s}_of", begin), F.get(f"{s}_of", end - 1)) for s in "ab"]
-        return F.concat(sides[0], F.lit("|"), sides[1])
 
-    def link(end: Column) -> Column:
-        a, b = (F.get(f"{s}_ids", F.get(f"{s}_of", end - 1)).cast("long") for s in "ab")
-        return a * b_size + b
+def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
+    """tokens -> ROW, n_a, n_b, n_groups, found: struct<groups_sha256, links>; links are pairs as a * b_size + b, one for each overlapping pair of tokens."""
+    cuts, segments = F.array_intersect("a_ends", "b_ends"), F.sort_array(F.array_union("a_ends", "b_ends"))
+    groups = _let(_let(cuts, _marks), lambda marks: F.zip_with(_grouped("a", marks), _grouped("b", marks), lambda x, y: F.concat(x, F.lit("|"), y)))
+    of_byte = F.struct(_of_byte("a", b_size).alias("a"), _of_byte("b", 1).alias("b"))
+    links = _let(of_byte, lambda of: F.transform(segments, lambda end: F.element_at(of.a, end) + F.element_at(of.b, end)))
+    found = F.struct(F.sha2(F.array_join(groups, ";"), 256).alias("groups_sha256"), links.alias("links"))
+    counts = [F.size(c).cast("long").alias(n) for c, n in ((F.col("a_ids"), "n_a"), (F.col("b_ids"), "n_b"), (cuts, "n_groups"))]
+    return tokens.select(ROW, *counts, F.when(F.size("a_ids") > 0, found).alias("found"))
+
 
-    text = F.array_join(F.transform("cuts", group), ";")
-    return held.select(
-        ROW, *(F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("cuts", "n_groups"), ("ends", "n_links"))),
-        F.when(F.size("cuts") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), F.transform("ends", link).alias("links"),
-    )
+def opened(stored_groups: DataFrame) -> DataFrame:
+    """aligned(), once it is stored, with its struct as columns; before that each of them would compute the struct anew."""
+    links = F.coalesce("found.links", F.array().cast("array<bigint>"))
+    return stored_groups.select(ROW, "n_a", "n_b", "n_groups", F.size(links).cast("long").alias("n_links"), F.coalesce("found.groups_sha256", F.lit("")).alias("groups_sha256"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame, b_size: int) -> DataFrame:
@@ -177,7 +180,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     b_size = vocabulary_size(path_b)
     placed = docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     ids = stored(placed.select(ROW, "doc_id"), "alignment-ids")
-    found = stored(aligned(tokens(placed, path_a, path_b), b_size), "alignment")
+    found = opened(stored(aligned(tokens(placed, path_a, path_b), b_size), "alignment"))
     sums = link_sums(found, stored(pair_counts(found, b_size), "alignment-pairs"))
     out = ids.join(found.drop("links"), ROW).join(sums, ROW, "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256")
