@@ -10,8 +10,10 @@ the k in the sketch it has EXTRA + 1 or more, all of them in its signature: pair
 and no containing document is lost. Candidates are confirmed by exact containment of the shingles themselves.
 
 An item of fewer words than a shingle has one shingle, all its words, and is looked for among the documents' shingles of
-that many words. The sketches are few next to the documents. They are broadcast while their count is below a bound, else
-joined by a shuffle on the hash (adaptive execution splits a frequent one); candidate ids likewise.
+that many words. The largest hash of many sketches prunes little, so a document's hashes are also held against a bitmap of
+all sketches' low bits before they become rows: what no sketch holds goes there, and no collision does. The sketches are few
+next to the documents. They are broadcast while their count is below a bound, else joined by a shuffle on the hash (adaptive
+execution splits a frequent one); candidate ids likewise. Items' shingles are broadcast by a bound on their bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from docbasin.llm.common import read, stored
 
 #: Rows (of a few bytes each) up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of items' shingles up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Low bits of a hash by which documents' shingles are held against all sketches at once before they become rows.
+MAX_BITS = 18
 #: Shingles in an item's sketch beyond those of which a containing document has one at least.
 EXTRA = 1
 
@@ -60,8 +66,20 @@ def _part(shingles: Column) -> Column:
     return F.floor(F.log2(shingles)).cast("int")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _few(df: DataFrame, size: Column | None = None) -> bool:
+    """Whether a side may be broadcast: few rows of ids and hashes, or, with the size of each row, few bytes."""
+    if size is None:
+        return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (df.agg(F.sum(size).alias("bytes")).first().bytes or 0) <= BROADCAST_BYTES
+
+
+def seen_bits(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A bitmap of the low bits of `n` hashes, as a constant array of longs, and how many low bits it tells apart; MAX_BITS at most."""
+    bits = min(max(12, (32 * n - 1).bit_length()), MAX_BITS)
+    low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("held")).collect()  # 2 ** (MAX_BITS - 6) at most
+    held = dict.fromkeys(range(1 << (bits - 6)), 0) | {r.word: r.held for r in words}
+    return F.expr("array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for _, v in sorted(held.items())) + ")"), bits
 
 
 def sketches(items: DataFrame, size: int, percent: int) -> DataFrame:
@@ -82,7 +100,14 @@ def candidates(docs: DataFrame, items: DataFrame, size: int, percent: int) -> Da
     limits = [max((h for q, h in most.items() if q <= p), default=-(1 << 63)) for p in parts]
     part = _part(F.size("words") - (size - 1))
     limit = F.element_at(F.array(*map(F.lit, limits)), F.least(part, F.lit(max(parts))) + 1)
-    signed = docs.where(F.size("words") >= size).select("doc_id", part.alias("size_part"), F.array_distinct(F.filter(shingle_hashes(F.col("words"), size), lambda h: h <= limit)).alias("signature"))
+    bitmap, bits = seen_bits(sketch.select("hash").distinct(), sketch.select("hash").distinct().count())
+
+    def may_meet(h: Column) -> Column:
+        """Under the limit, and no sketch lacks its low bits."""
+        word = F.get(bitmap, F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
+        return (h <= limit) & (F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+    signed = docs.where(F.size("words") >= size).select("doc_id", part.alias("size_part"), F.array_distinct(F.filter(shingle_hashes(F.col("words"), size), may_meet)).alias("signature"))
     probes = signed.select("doc_id", "size_part", F.explode("signature").alias("hash"))
     near = F.broadcast(sketch) if _few(sketch) else sketch
     met = probes.join(near, (probes.hash == near.hash) & (probes.size_part >= near.part))
@@ -107,7 +132,8 @@ def contained(docs: DataFrame, items: DataFrame, *, size: int = 5, percent: int
         shingled = worded(again, "doc_id").select("doc_id", shingle_texts(F.col("words"), length).alias("there"))
         wanted = mine.select("item_id", shingle_texts(F.col("words"), length).alias("all"))
         counts = [F.size("all").cast("long").alias("n_shingles"), F.size(F.array_intersect("all", "there")).cast("long").alias("n_shared")]
-        checked = shingled.join(pairs, "doc_id").join(F.broadcast(wanted) if _few(wanted) else wanted, "item_id").select("doc_id", "item_id", *counts)
+        few = _few(wanted, F.octet_length(F.array_join("all", "")) + 16 * F.size("all") + 64)
+        checked = shingled.join(pairs, "doc_id").join(F.broadcast(wanted) if few else wanted, "item_id").select("doc_id", "item_id", *counts)
         held = checked.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
         out = held if out is None else out.unionByName(held)
     if out is None:

@@ -1,11 +1,13 @@
 """The operators on DataFrames: odd rows, and the queries against brute force on a small table."""
 
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from docbasin.llm import bpe, decontam, langid, lm, mainhtml, mpeg, neardup, pii, queries, toxicity, urlrules
 from docbasin.llm.common import read
@@ -244,3 +246,21 @@ def test_short_items_inside_long_documents(spark):
     docs = spark.createDataFrame([(1, "xx alpha beta gamma yy zz"), (2, "alpha beta gamma"), (3, "alpha gamma beta"), (4, None), (None, "alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Alpha, beta gamma!"), (2, "zz"), (3, ""), (4, "alpha beta gamma yy zz extra")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontam.contained(docs, items).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_decontamination_keeps_few_shingles_of_documents_for_a_thousand_items(spark):
+    """What is left of the documents' shingles before they become rows, and every contained item found."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(15, 60)))) for i in range(1000)]
+    docs = [(d, " ".join(rng.choices(words, k=800) + (items[d][1].split() if d < 60 else []) + rng.choices(words, k=200))) for d in range(120)]
+    docs_table, items_table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contained(docs_table, items_table).collect()}
+    assert found == {(d, d) for d in range(60)}
+    worded = decontam.worded(items_table, "item_id")
+    sketch = decontam.sketches(worded, 5, 80).distinct().cache()
+    bitmap, bits = decontam.seen_bits(sketch.select("hash").distinct(), sketch.select("hash").distinct().count())
+    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    hashes = decontam.worded(docs_table, "doc_id").select(F.explode(decontam.shingle_hashes(F.col("words"), 5)).alias("h"))
+    kept = hashes.where(F.getbit(F.get(bitmap, F.shiftright(low, 6).cast("int")), F.col("h").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    assert kept.count() < 0.1 * hashes.count()
