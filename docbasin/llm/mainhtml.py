@@ -188,8 +188,15 @@ class Bodyward(Dom):
         super().handle_starttag(tag, attrs)
 
 
+def closed(html: str) -> str:
+    """`html` with what follows its last > as text, but for its first tag: a parser reads to the end for each tag that isn't closed."""
+    end = html.rfind(">") + 1
+    first = html.find("<", end) + 1
+    return html if not first else html[:first] + html[first:].replace("<", "&lt;")
+
+
 def _read(html: str, heard: frozenset[str]) -> Dom:
-    dom = Bodyward(heard)
+    html, dom = closed(html), Bodyward(heard)
     try:
         dom.feed(html)
         dom.close()

@@ -45,8 +45,8 @@ SPELLED = {w: str(d) for d, ws in enumerate(["zero null cero zéro", "one eins u
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|punto|point)"
 # A plain "at" needs a domain behind it that ends in a spelled dot's label or in one of letters, so times ("at 9.30pm") are none.
-BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
-BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
+BRACKET_AT = re.compile(rf"(?:(?<!\s)\s+)?[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
+BRACKET_DOT = re.compile(rf"(?:(?<!\s)\s+)?[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
 PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*(?:\s+{_DOT}\s+[A-Za-z0-9-]|\.[A-Za-z][A-Za-z0-9-]))|(?<=[A-Za-z0-9])[_-]{_AT}[_-](?=[A-Za-z0-9]+[_-]{_DOT}[_-])", re.I)
 PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+{_DOT}\s+|[_-]{_DOT}[_-])(?=[A-Za-z0-9])", re.I)
 NUMBER_RUN = re.compile(rf"(?<!\w)(?:plus\s+)?(?:{_WORD}|[0-9]+)(?:[\s,.()-]{{1,3}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,3}})?(?:{_WORD}|[0-9]+))+(?!\w)", re.I)

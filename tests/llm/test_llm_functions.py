@@ -210,7 +210,7 @@ def test_plain_patterns_equal_their_definition():
         assert pii.plain(text) == brute(text), text
 
 
-@pytest.mark.parametrize("unit", ["1", "0", "1.", "a", "@", "+1", "1 ", "a@", "0" * 5000 + ".", "x [at] y.com ", "x\u200b@y.com ", "one two "])
+@pytest.mark.parametrize("unit", ["1", "0", "1.", "a", "@", "+1", "1 ", "a@", "0" * 5000 + ".", "x [at] y.com ", "x\u200b@y.com ", "one two ", " ", "[ ", "a dot b" + " " * 9000 + "x", "at  ", "plus  "])
 def test_long_runs_take_linear_time(unit):
     def seconds(n):
         text = unit * (n // len(unit))
@@ -363,7 +363,7 @@ def test_pages_written_by_hand():
         assert text == want.format(first, second) if want else first in text, html[:60]
 
 
-@pytest.mark.parametrize("unit", [("<div>", "</p>"), ("<ul><div>", "<li></li>"), ("<b>", "</div>")])
+@pytest.mark.parametrize("unit", [("<div>", "</p>"), ("<ul><div>", "<li></li>"), ("<b>", "</div>"), ("<a ", ""), ("<!-- ", ""), ("</a ", ""), ("<a href='x", ""), ("<p>&#", "")])
 def test_parsing_takes_linear_time(unit):
     def seconds(n):
         began = time.process_time()
@@ -374,6 +374,11 @@ def test_parsing_takes_linear_time(unit):
     assert seconds(20_000) < 40 * max(seconds(1000), 0.002) + 0.5
 
 
+def test_a_tag_that_is_never_closed_ends_the_page_as_text():
+    assert mainhtml.closed("<p>a</p> b") == "<p>a</p> b" and mainhtml.closed("<p>a <b") == "<p>a <b" and mainhtml.closed("") == ""
+    assert mainhtml.closed("<p>a <b c <d") == "<p>a <b c &lt;d"
+
+
 # Language ID, toxicity, near-duplicates, language model
 
 
