@@ -169,7 +169,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold: its row isn't learned from, isn't held out, and is judged like any other."""
     docs = read(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     found = identify(docs, profiles(docs.where(fold != 1)))
-    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -363,5 +363,6 @@ def score(docs: DataFrame, train: Column, *, broadcast_words: int = BROADCAST_WO
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold: its row isn't learned from, isn't held out, and is scored like any other."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 10
-    return score(read(spark, sf_dir, "documents"), fold != 0).select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(read(spark, sf_dir, "documents"), fold != 0).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

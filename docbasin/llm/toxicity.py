@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     most `chain_chars` characters, half of either label each. A toxic word is in at least 3 toxic documents and 0.5 % of
     them, at a share 40 times that among the clean ones, and there in as many different surroundings: copies of one
     document have a word's neighbours in common. So there are at most 200 times as many toxic words as a document has.
-    Rows without doc_id, label or text teach nothing. Without documents of both labels the chain knows no toxic words.
+    Of texts that share a doc_id the least counts. Rows without doc_id, label or text teach nothing. Without documents of both labels the chain knows no toxic words.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     if not len(chosen) or not chosen.toxic.sum() or chosen.toxic.all():
         return Chain(np.zeros(FEATURES), np.log(np.full((2, 2), 0.5)), np.log(np.full(2, 0.5)), np.array([-2.0, 0.0, 0.0]))
     ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
-    sample = stored(docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "labelled")
+    sample = stored(docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     n_toxic, n_clean = int(chosen.toxic.sum()), int((1 - chosen.toxic).sum())
     least = max(3, 0.005 * n_toxic)
     strong = word_counts(sample).where((F.col("in_toxic") >= least) & ((F.col("in_toxic") / n_toxic) >= 40 * (F.col("in_clean") + 0.5) / n_clean) & (F.col("word") != ""))
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, lexicon_docs: int
     sizes = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most lexicon_docs rows
     ids = [i for t in (0, 1) for i in drawn(sizes[sizes.toxic == t][["doc_id", "n"]].values.tolist(), chain_docs // 2, chain_chars // 2)]
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = sample.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
+    rows = sample.join(F.broadcast(wanted), "doc_id").toPandas().sort_values("doc_id", key=lambda c: c * 2654435761 % 4294967296)
     chain = fit_chain(rows.text.tolist(), rows.toxic.to_numpy(), lexicon)
     # The two classes were drawn evenly: back to their true odds.
     odds = (rows.toxic.sum() + 0.5) / ((1 - rows.toxic).sum() + 0.5)
@@ -314,6 +314,7 @@ def clean(docs: DataFrame, chain: Chain, *, threshold: float = 0.5) -> DataFrame
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out: its row has no label to learn from, and is scored like any other."""
     docs = read(spark, sf_dir, "documents")
     found = score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.begin, s.end)), ",").alias("spans"))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.begin, s.end)), ",").alias("spans"))
