@@ -6,8 +6,8 @@ it adds the blank itself. From there on all is higher-order functions over the a
 * `array_intersect` of both sides' ends are the offsets that cut the tokens into groups;
 * the sorted union of the ends cuts the bytes into segments that belong to one A and one B token each, and two tokens that
   overlap share exactly one segment, so the segments are the links, each once;
-* a byte's tokens are looked up in arrays that hold each token's id as often as it has bytes, and whether a group ends at
-  a byte in another, so every step is linear in the text.
+* a byte's tokens are looked up in arrays that hold each token's id, or end, as often as it has bytes, so every step is
+  linear in the text.
 
 An id pair's count is the number of texts that hold it linked. Pairs with a count of at least 1 / HOT_SHARE of all counts
 are at most HOT_SHARE, so they are broadcast and the frequent keys never meet in one task; the links of rarer pairs are
@@ -120,28 +120,24 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _of_byte(side: str, factor: int) -> Column:
-    """The id of the token of each byte, times a factor."""
-    return F.flatten(F.zip_with(F.col(f"{side}_ids").cast("array<bigint>"), f"{side}_sizes", lambda x, n: F.array_repeat(x * factor if factor != 1 else x, n)))
+def _of_byte(values: Column, sizes: Column) -> Column:
+    """What `values` say of the token of each byte."""
+    return F.flatten(F.zip_with(values, sizes, lambda x, n: F.array_repeat(x, n)))
 
 
-def _marks(cuts: Column) -> Column:
-    """What follows the token that ends at each byte: a semicolon at the last byte of a group, else a comma."""
-    return F.flatten(F.transform(cuts, lambda c, k: F.concat(F.array_repeat(F.lit(","), c - F.coalesce(F.get(cuts, k - 1), F.lit(0)) - 1), F.array(F.lit(";")))))
-
-
-def _grouped(side: str, marks: Column) -> Column:
-    """Decimal ids joined by commas, an array with an entry for each group."""
-    marked = F.zip_with(F.col(f"{side}_ids").cast("array<string>"), f"{side}_ends", lambda x, end: F.concat(x, F.element_at(marks, end)))
+def _grouped(side: str, other_ends: Column) -> Column:
+    """Decimal ids joined by commas, an array with an entry for each group: a token is its group's last where the other side's token ends too."""
+    marked = F.zip_with(F.col(f"{side}_ids").cast("array<string>"), f"{side}_ends", lambda x, end: F.concat(x, F.when(F.element_at(other_ends, end) == end, ";").otherwise(",")))
     return F.split(F.rtrim(F.array_join(marked, ""), F.lit(";")), ";")
 
 
 def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
     """tokens -> ROW, n_a, n_b, n_groups, found: struct<groups_sha256, links>; links are pairs as a * b_size + b, one for each overlapping pair of tokens."""
     cuts, segments = F.array_intersect("a_ends", "b_ends"), F.sort_array(F.array_union("a_ends", "b_ends"))
-    groups = _let(_let(cuts, _marks), lambda marks: F.zip_with(_grouped("a", marks), _grouped("b", marks), lambda x, y: F.concat(x, F.lit("|"), y)))
-    of_byte = F.struct(_of_byte("a", b_size).alias("a"), _of_byte("b", 1).alias("b"))
-    links = _let(of_byte, lambda of: F.transform(segments, lambda end: F.element_at(of.a, end) + F.element_at(of.b, end)))
+    ends = F.struct(*(_of_byte(F.col(f"{s}_ends"), F.col(f"{s}_sizes")).alias(s) for s in "ab"))
+    groups = _let(ends, lambda of: F.zip_with(_grouped("a", of.b), _grouped("b", of.a), lambda x, y: F.concat(x, F.lit("|"), y)))
+    ids = F.struct(*(_of_byte(F.col(f"{s}_ids").cast("array<bigint>"), F.col(f"{s}_sizes")).alias(s) for s in "ab"))
+    links = _let(ids, lambda of: F.transform(segments, lambda end: F.element_at(of.a, end) * b_size + F.element_at(of.b, end)))
     found = F.struct(F.sha2(F.array_join(groups, ";"), 256).alias("groups_sha256"), links.alias("links"))
     counts = [F.size(c).cast("long").alias(n) for c, n in ((F.col("a_ids"), "n_a"), (F.col("b_ids"), "n_b"), (cuts, "n_groups"))]
     return tokens.select(ROW, *counts, F.when(F.size("a_ids") > 0, found).alias("found"))
