@@ -74,3 +74,32 @@ def quota(used: DataFrame, limit: int) -> DataFrame:
 def share_contacts(invited: DataFrame, accepted: DataFrame) -> DataFrame:
     """(email, share_id) each -> email, shares: distinct shares of invited and accepted addresses together."""
     return invited.select("email", "share_id").union(accepted.select("email", "share_id")).groupBy("email").agg(F.count_distinct("share_id").alias("shares"))
+
+
+def shared_collections(collections: DataFrame, shares: DataFrame, members: DataFrame, user: str) -> DataFrame:
+    """collections (collection_id, ..., created_at), shares (share_id, collection_id, permission, is_active), members (share_id, user_id)
+    -> the collections that active shares give to the user, with permission and share_id, the oldest first."""
+    mine = members.where(F.col("user_id") == user).select("share_id")
+    given = shares.where("is_active").join(mine, "share_id").select("share_id", "collection_id", "permission")
+    return collections.join(given, "collection_id").orderBy("created_at", "collection_id", "share_id")
+
+
+def share_access(shares: DataFrame, members: DataFrame, now: str, permissions: list[str]) -> DataFrame:
+    """collection_id, user_id, permission: the strongest (first in `permissions`) of active shares that haven't expired; expires_at may be null."""
+    rank = F.array_position(F.array(*map(F.lit, permissions)), F.col("permission"))
+    open_ = shares.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))))
+    return open_.join(members, "share_id").groupBy("collection_id", "user_id").agg(F.min_by("permission", F.when(rank > 0, rank)).alias("permission"))
+
+
+def active_shares(emails: DataFrame, shares: DataFrame, members: DataFrame, exclude: str | None = None) -> DataFrame:
+    """emails (email), shares (share_id, invited_email, is_active), members (share_id, user_id) -> email, shares: how many active ones still connect it.
+
+    A share counts if it invited the address or if a member has it; case and outer blanks don't matter. The OR of the two is
+    the distinct union of two equi-joins, so no pairs of addresses and shares are compared.
+    """
+    wanted = emails.select(F.lower(F.trim("email")).alias("email")).distinct()
+    live = shares.where("is_active").where(F.col("share_id") != F.lit(exclude)) if exclude is not None else shares.where("is_active")
+    invited = live.select(F.lower("invited_email").alias("email"), "share_id").join(wanted, "email")
+    joined = members.select(F.lower("user_id").alias("email"), "share_id").join(wanted, "email").join(live.select("share_id"), "share_id").select("email", "share_id")
+    counted = invited.unionByName(joined).groupBy("email").agg(F.count_distinct("share_id").alias("shares"))
+    return wanted.join(counted, "email", "left").select("email", F.coalesce("shares", F.lit(0)).cast("long").alias("shares"))

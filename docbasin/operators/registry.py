@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbasin.operators.tables import MAX_ROWS, known
+from docbasin.session import stored
 
 ROW = "__row_number"
 FIELDS = "document_id string, sheet_name string, filename string, table_name string, row_count long, columns string"
 
 
 def numbered(table: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """`table` with __row_number from 1, in its files' order, or by `order` (unique). Numbers are dealt by partition: none holds the whole table."""
+    """`table` with __row_number from 1: by `order` (unique), else as its partitions come.
+
+    The ranges are written once, so each row has one partition and one place in it, however often the table is read; a
+    partition's rows are numbered after those of the partitions before. No task holds the whole table.
+    """
     if order:
         table = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = table.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(table.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))  # a row for each partition
-    return placed.join(F.broadcast(offsets), "__part").withColumn(ROW, (F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33) + F.col("__before") + 1).cast("long")).drop("__part", "__id", "__n", "__before")
+    own = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)
+    return placed.join(F.broadcast(offsets), "__part").withColumn(ROW, (own + F.col("__before") + 1).cast("long")).drop("__part", "__id", "__before")
 
 
 def samples(table: DataFrame, rows: int = 5, chars: int = 100) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,16 +122,60 @@ def find_literal(docs: DataFrame, needle: str, cap: int = 20, key: str = "doc_id
     return docs.where(hit).select(key, excerpt(F.col(text), needle, ignore_case=ignore_case).alias("excerpt")).orderBy(key).limit(cap)
 
 
-def find_regex(docs: DataFrame, pattern: str, cap: int = 20, key: str = "doc_id", text: str = "text", ignore_case: bool = True) -> DataFrame:
-    """key, match, position (from 1) of the first `cap` documents in key order."""
-    import re
+def same_in_java(pattern: str, ignore_case: bool) -> bool:
+    """Whether a pattern of Python's means the same to Java under the flags (?d) and, for ignoring case, (?iu).
 
+    Literals, sets of them, dots, groups without names, alternatives, repeats, and ^ and $ do. Classes like \\w and word
+    boundaries don't (Java's are ASCII's); nor do looks around, references, flags inside, \\A and \\Z, and, with case ignored,
+    ranges and letters beyond ASCII.
+    """
+    plain = {"LITERAL", "NOT_LITERAL", "ANY", "IN", "BRANCH", "SUBPATTERN", "MAX_REPEAT", "MIN_REPEAT", "AT", "RANGE", "NEGATE"}
+
+    def fits(tree) -> bool:
+        for op, arg in tree:
+            name = str(op)
+            if name not in plain:
+                return False
+            if name in ("LITERAL", "NOT_LITERAL") and ignore_case and arg > 127:
+                return False
+            if name == "RANGE" and ignore_case or name == "AT" and str(arg) not in ("AT_BEGINNING", "AT_END"):
+                return False
+            inner = {"IN": lambda: [arg], "BRANCH": lambda: arg[1], "MAX_REPEAT": lambda: [arg[2]], "MIN_REPEAT": lambda: [arg[2]], "SUBPATTERN": lambda: [arg[3]]}.get(name, list)()
+            if name == "SUBPATTERN" and (arg[1] or arg[2]) or not all(map(fits, inner)):
+                return False
+        return True
+
+    tree = re._parser.parse(pattern)
+    unnamed = not tree.state.groupdict and tree.state.flags == re.U
+    # A bracket or && inside a set is an operator to Java.
+    return unnamed and not re.search(r"\[[^\]]*(\[|&&)", pattern) and fits(tree)
+
+
+def find_regex(docs: DataFrame, pattern: str, cap: int = 20, key: str = "doc_id", text: str = "text", ignore_case: bool = True, seconds: float = 5.0) -> DataFrame:
+    """key, match, position (from 1) of the first `cap` documents in key order, as Python's `re.search` finds them.
+
+    A pattern that means the same to Java is matched there; any other in Arrow batches by Python, where a text that takes
+    more than `seconds` ends the query with an error.
+    """
     try:
         re.compile(pattern)
-    except re.error as e:
+    except (re.error, OverflowError) as e:
         raise ValueError(f"bad pattern: {e}") from e
-    p = F.lit(("(?i)" if ignore_case else "") + pattern)
-    return docs.where(F.regexp_like(text, p)).select(key, F.regexp_substr(text, p).alias("match"), F.instr(F.col(text), F.regexp_substr(text, p)).alias("position")).orderBy(key).limit(min(max(cap, 1), 100))
+    cap = min(max(cap, 1), 100)
+    if same_in_java(pattern, ignore_case):
+        p = F.lit(("(?iud)" if ignore_case else "(?d)") + pattern)
+        hits = docs.where(F.regexp_like(text, p)).select(key, F.regexp_substr(text, p).alias("match"), F.regexp_instr(text, p).alias("position"))
+        return hits.orderBy(key).limit(cap)
+
+    def search(texts: pd.Series) -> pd.DataFrame:
+        import regex
+
+        compiled = regex.compile(pattern, regex.IGNORECASE if ignore_case else 0)
+        found = [compiled.search(t, timeout=seconds) if t is not None else None for t in texts]
+        return pd.DataFrame({"match": [m[0] if m else None for m in found], "position": pd.array([m.start() + 1 if m else None for m in found], "Int32")})
+
+    hit = F.pandas_udf(search, "match string, position int")(F.col(text)).alias("hit")
+    return docs.select(key, hit).where("hit.match is not null").select(key, "hit.match", "hit.position").orderBy(key).limit(cap)
 
 
 def rank_fusion(hits: DataFrame, constant: int = 60) -> DataFrame:
@@ -175,6 +221,28 @@ def within_budget(rows: DataFrame, document: str, position: str, text: str, max_
     return rows.withColumn("used", total).withColumn("place", F.row_number().over(w)).where((F.col("used") <= max_chars) | (F.col("place") == 1))
 
 
+def entity_hits(held: DataFrame, asked: DataFrame, weight: float = 0.2, cap: int = 100, key: str = "doc_id") -> DataFrame:
+    """held (key, entity), asked (entity, rarity), the query's few entities -> key, n, lift of the `cap` keys that share most.
+
+    n entities are shared; two or more lift a score by weight * S / (1 + S), S the sum of their rarities.
+    """
+    s = F.coalesce(F.sum("rarity"), F.lit(0.0))
+    met = held.select(key, "entity").distinct().join(F.broadcast(asked.select("entity", "rarity")), "entity")  # the query's entities: ten at most
+    hits = met.groupBy(key).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.lit(weight) * s / (1 + s)).otherwise(0.0).alias("lift"))
+    return hits.orderBy(F.desc("n"), key).limit(cap)
+
+
+def entity_boost(scores: DataFrame, shared: DataFrame, weight: float = 0.2, key: str = "doc_id", most: int = 25) -> DataFrame:
+    """shared (key, entity, rarity) holds the query's entities in documents -> scores raised by weight * S / (1 + S), S the
+    rarities of two or more of them; and at most `most` documents without a score, those of most entities first, from 0.
+    """
+    s = F.coalesce(F.sum("rarity"), F.lit(0.0))
+    hits = shared.distinct().groupBy(key).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.lit(weight) * s / (1 + s)).otherwise(0.0).alias("lift"))
+    raised = scores.join(hits, key, "left").select(key, (F.col("score") + F.coalesce("lift", F.lit(0.0))).alias("score"))
+    added = hits.join(scores, key, "left_anti").orderBy(F.desc("n"), key).limit(most).select(key, F.col("lift").alias("score"))
+    return raised.unionByName(added)
+
+
 def entity_boost(scores: DataFrame, shared: DataFrame, weight: float = 0.2, key: str = "doc_id", most: int = 25) -> DataFrame:
     """shared (key, entity, rarity) holds the query's entities in documents -> scores raised by weight * S / (1 + S), S the
     rarities of two or more of them; and at most `most` documents without a score, those of most entities first, from 0.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from docbasin.functions.text import STOPWORDS, extension, query_tokens
 from docbasin.operators import catalog, content, governance, maintenance, registry, research, retrieval, search, tables
-from docbasin.sources import index
+from docbasin.session import shared_folder, stored
+from docbasin.sources import index, segments
+from docbasin.sources.segments import Snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,11 +43,11 @@ def query(sql: str | None = None):
 # Keyword search
 
 
-def bm25_sql(question: str = QUESTION) -> str:
+def bm25_sql(question: str = QUESTION, source: str = "documents") -> str:
     wanted = query_tokens(question)
     terms = ", ".join(f"('{t}', {wanted.count(t)})" for t in sorted(set(wanted)))
     return f"""
-w as (select doc_id, {TOKENS_SQL} as ws from documents), d as (select doc_id, ws, len(ws) as dl from w where len(ws) > 0),
+w as (select doc_id, {TOKENS_SQL} as ws from {source}), d as (select doc_id, ws, len(ws) as dl from w where len(ws) > 0),
 st as (select count(*) as n, avg(dl) as mean from d), qt(term, times) as (values {terms}),
 tf as (select doc_id, dl, term, times, len(list_filter(ws, lambda x: x = term)) as tf from d cross join qt),
 df as (select term, count(*) as df from tf where tf > 0 group by 1),
@@ -65,9 +68,9 @@ bm as (select query_id, doc_id, sum(times * (case when ln((n - df + 0.5) / (df +
   from tf join df using (term) cross join st where tf > 0 group by 1, 2)"""
 
 
-def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The documents' stored index: built by the first query of an application that needs it."""
-    return index.ensure(read(spark, sf_dir, "documents"))
+def _stored(spark, sf_dir) -> Snapshot:
+    """The documents' stored index, sources as its collections: built by the first query of an application that needs it, then kept up to date."""
+    return index.ensure(read(spark, sf_dir, "documents"), group="source")
 
 
 @query(f"with {bm25_sql()} select doc_id, round(score, 6) as score from (select * from bm order by score desc, doc_id limit 10)")
@@ -79,7 +82,7 @@ def bm25_scan(spark, sf_dir):
 
 @query(f"with {bm25_sql()} select doc_id, round(score, 6) as score from (select * from bm order by score desc, doc_id limit 10)")
 def bm25_topk(spark, sf_dir):
-    scores = index.scores(*_stored(spark, sf_dir), QUESTION)
+    scores = index.scores(_stored(spark, sf_dir), QUESTION)
     return retrieval.top(scores, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -93,7 +96,7 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"with w as (select doc_id, {TOKENS_SQL} as ws from documents), t as (select distinct doc_id, unnest(ws) as term from w) select term, count(*) as df from t group by 1")
 def token_df(spark, sf_dir):
-    return _stored(spark, sf_dir)[0].groupBy("term").agg(F.count("*").alias("df"))
+    return index.postings(_stored(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"with w as (select doc_id, {TOKENS_SQL} as ws from documents), t as (select distinct doc_id, unnest(ws) as term from w) select term, count(*) as df from t group by 1")
@@ -106,9 +109,8 @@ ASKED = ["pathetic moron clown", QUESTION, "thtion license license trash"]
 
 @query(f"with {bm25_many_sql(ASKED)} select query_id::bigint as query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, doc_id)::int as position from bm qualify position <= 5")
 def bm25_batch(spark, sf_dir):
-    postings, figures = _stored(spark, sf_dir)
     asked = spark.createDataFrame(list(enumerate(ASKED, 1)), "query_id long, query string")
-    return retrieval.bm25_search(postings, asked, 5, figures=figures).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+    return index.search(_stored(spark, sf_dir), asked, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
 # Vector and hybrid search
@@ -143,7 +145,7 @@ key as (select doc_id, score / max(score) over () as b from (select * from bm or
 select doc_id, round(0.7 * coalesce(s, 0.0) + 0.3 * coalesce(b, 0.0), 6) as score from sem full outer join key using (doc_id) order by 0.7 * coalesce(s, 0.0) + 0.3 * coalesce(b, 0.0) desc, doc_id limit 10""")
 def hybrid_topk(spark, sf_dir):
     sem = retrieval.knn(read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, [7]), 30).select(F.col("vec_id").alias("doc_id"), "score")
-    return retrieval.hybrid(sem, index.scores(*_stored(spark, sf_dir), QUESTION), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(sem, index.scores(_stored(spark, sf_dir), QUESTION), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {bm25_sql()}, q as (select embedding::double[] as v from embeddings where vec_id = 7),
@@ -156,7 +158,7 @@ def search_filtered(spark, sf_dir):
     """Hybrid search among two languages; toxic documents are hidden from what is found."""
     allowed = governance.filtered(read(spark, sf_dir, "documents"), formats=["EN", ".fr"], columns={"format": "lang"})
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    found = search.search(index.scores(*_stored(spark, sf_dir), QUESTION), vectors, _vector(spark, sf_dir, [7]), allowed=allowed, hidden=read(spark, sf_dir, "labels").where("toxic = 1"))
+    found = search.search(index.scores(_stored(spark, sf_dir), QUESTION), vectors, _vector(spark, sf_dir, [7]), allowed=allowed, hidden=read(spark, sf_dir, "labels").where("toxic = 1"))
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -169,16 +171,14 @@ b as (select *, row_number() over (partition by source order by score desc, doc_
 select source, round(top_score, 6) as top_score, place, doc_id, round(score, 6) as score, position from b join t using (source)""")
 def search_all(spark, sf_dir):
     """Sources as collections; each is searched by its own figures."""
-    docs = read(spark, sf_dir, "documents").where("source is not null")
-    placed = _stored(spark, sf_dir)[0].join(docs.select("doc_id", "source"), "doc_id")
-    found = search.search_all(placed, QUESTION, "source")
+    found = search.search_all(_stored(spark, sf_dir), QUESTION).withColumnRenamed("collection", "source")
     return found.withColumns({"top_score": F.round("top_score", 6), "score": F.round("score", 6)})
 
 
 @query(f"with {bm25_sql()}, t as (select * from bm order by score desc, doc_id limit 10) select t.doc_id, source, lang, round(score, 6) as score from t join documents using (doc_id)")
 def hit_lookup(spark, sf_dir):
     """Hits with their documents' columns: the join comes after the cut."""
-    best = retrieval.top(index.scores(*_stored(spark, sf_dir), QUESTION), 10)
+    best = retrieval.top(index.scores(_stored(spark, sf_dir), QUESTION), 10)
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return docs.join(F.broadcast(best), "doc_id").select("doc_id", "source", "lang", F.round("score", 6).alias("score"))  # ten rows
 
@@ -193,9 +193,8 @@ q(query_id) as (values (1), (2), (3)), c as (select query_id, count(distinct doc
 select (query_id - 1)::bigint as query_index, case when coalesce(n_strong, 0) > 0 then 'retrieved' when coalesce(n_evidence, 0) > 0 then 'weak_evidence' else 'no_selected_evidence' end as status, coalesce(n_evidence, 0) as n_evidence, coalesce(n_strong, 0) as n_strong from q left join c using (query_id)""")
 def research_coverage(spark, sf_dir):
     """Three questions, one keyword branch each: what the eight selected passages say to each of them."""
-    postings, figures = _stored(spark, sf_dir)
     asked = spark.createDataFrame(list(enumerate(RESEARCH)), "query_id long, query string")
-    hits = retrieval.bm25_search(postings, asked, 20, figures=figures).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = index.search(_stored(spark, sf_dir), asked, 20).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     listed = hits.select(F.col("query_id").cast("string").alias("branch"), F.col("query_id").alias("query_index"), F.col("position").alias("rank"), F.col("doc_id").alias("key"), F.col("text").alias("excerpt"))
     chosen = retrieval.diverse(retrieval.rank_fusion(listed), "key", 2, [F.desc("score"), F.col("key")])
     selected = listed.select("query_index", "key").join(chosen.select("key", "weak"), "key")
@@ -490,25 +489,26 @@ def cache_best(spark, sf_dir):
 # Registry of tables and catalogue
 
 
-REGISTRY = [("d1", "Sheet1", "holdings 2026.csv", "csv_data_d1", 2), ("HBIL178aef9d", "HBIL178aef9d", "HBIL178aef9d.csv", "csv_data_HBIL178aef9d", 2), ("d3", "b", "trades.xlsx", "xlsx_data_trades_b", 900), ("d3", "a", "trades.xlsx", "xlsx_data_trades_a", 10)]
-GUESS = "HBIL178aef9d - HBIL178aef9d.csv"
+GUESS = "Supplier#000000003 - Supplier#000000003.CSV"
 PLAIN = "regexp_replace(regexp_replace(lower(regexp_replace(trim({0}), '^[\"'']+|[\"'']+$', '', 'g')), '\\.(csv|xlsx|xls)$', ''), '[-_\\s.]+', '', 'g')"
 
 
-def _registry(spark) -> DataFrame:
-    return spark.createDataFrame([(*r, "[]") for r in REGISTRY], registry.FIELDS)
+def _registry(spark, sf_dir) -> DataFrame:
+    """Suppliers as registered tables: a document, a file and a table for each."""
+    s = read(spark, sf_dir, "supplier")
+    fields = {"document_id": F.col("s_name"), "sheet_name": F.lit("Sheet1"), "filename": F.concat("s_name", F.lit(".csv")), "table_name": F.concat(F.lit("csv_data_"), F.col("s_suppkey").cast("string")), "row_count": F.col("s_suppkey"), "columns": F.lit("[]")}
+    return s.select(*(c.alias(n) for n, c in fields.items()))
 
 
 def _suggest_sql() -> str:
-    rows = ", ".join("('" + "', '".join(r[:4]) + "')" for r in REGISTRY)
     guess = PLAIN.format(f"'{GUESS}'")
     scores = ", ".join(f"(case when {PLAIN.format(c)} = {guess} then 10000 when contains({PLAIN.format(c)}, {guess}) or contains({guess}, {PLAIN.format(c)}) then least(length({PLAIN.format(c)}), length({guess})) else 0 end)" for c in ("t", "f", "d"))
-    return f"with r(d, s, f, t) as (values {rows}) select t as table_name, f as filename, d as document_id, greatest({scores})::int as score from r where greatest({scores}) > 0 order by score desc, f, s limit 3"
+    return f"with r as (select s_name as d, 'Sheet1' as s, s_name || '.csv' as f, 'csv_data_' || s_suppkey as t from supplier) select t as table_name, f as filename, d as document_id, greatest({scores})::int as score from r where greatest({scores}) > 0 order by score desc, f, s limit 3"
 
 
 @query(_suggest_sql())
 def suggest_tables(spark, sf_dir):
-    return registry.suggest(_registry(spark), GUESS)
+    return registry.suggest(_registry(spark, sf_dir), GUESS)
 
 
 @query("select o_orderkey, o_totalprice from (select *, row_number() over (order by o_orderkey) as k from orders) where k <= 200")

@@ -1,8 +1,11 @@
-"""Session settings that every plan of the library relies on."""
+"""Session settings that every plan of the library relies on, and tables written to the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions; UTC and ANSI fix what dates and casts mean.
 SETTINGS = {
@@ -25,3 +28,18 @@ def session(name: str = "docbasin", master: str | None = None, conf: dict[str, s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only a local master does without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (root or f"file://{os.path.abspath('spark-warehouse')}/checkpoints").rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: its rows are computed once, and its lineage is cut."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

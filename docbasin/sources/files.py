@@ -5,13 +5,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docbasin.functions.scan import preamble
 from docbasin.operators.content import sections
 from docbasin.operators.registry import ROW, numbered
+from docbasin.operators.tables import DATES
+from docbasin.session import stored
 
 CODE = {"py": "python", "rb": "ruby", "js": "javascript", "ts": "typescript", "java": "java", "c": "c", "cpp": "cpp", "go": "go", "rs": "rust", "cs": "csharp"}
 PAGED = {"md": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl"}
@@ -44,45 +49,159 @@ def checked_formats(files: DataFrame) -> DataFrame:
     return files
 
 
-def sniff(lines: list[str]) -> tuple[str, int]:
-    """Separator and header row of the first lines of a file.
+def number_like(cell: str) -> bool:
+    """A number with thousands commas, currency or percent signs, or brackets for negative."""
+    return bool(re.fullmatch(r"[(+-]*[$€£]?\s*(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?\s*[kKmMbB%]?\)?", cell.strip()))
 
-    A header has three or more cells, half of them filled and four fifths of those text; the row after it must look
-    like data: three or more cells, two fifths of them numbers or dates.
+
+def date_like(cell: str) -> bool:
+    return any(re.match(shape, cell.strip()) for shape, _ in DATES)
+
+
+def sniff(lines: list[str], rows: list[list[str]] | None = None) -> tuple[str, int]:
+    """Separator and header row of the first lines of a file (or of `rows`, cells of a sheet).
+
+    The separator is what Python's own sniffer makes of the lines, a comma if it is at a loss. A header has three or more
+    filled cells, at least half of its cells, and four fifths of them text of under 80 characters; the row after it must look
+    like data: three or more cells, two fifths of them numbers or dates. Without one the first row is the header.
     """
-    sep = max(",;\t|", key=lambda s: (sum(line.count(s) for line in lines[:30]), -",;\t|".index(s)))
-    rows = list(csv.reader(io.StringIO("\n".join(lines[:30])), delimiter=sep))
+    sep = ","
+    if rows is None:
+        try:
+            sep = csv.Sniffer().sniff("\n".join(lines)[:8192], delimiters=",;\t|").delimiter
+        except csv.Error:
+            pass
+        rows = list(csv.reader(io.StringIO("\n".join(lines[:30]), newline=""), delimiter=sep))[:30]
+
+    def filled(row: list[str]) -> list[str]:
+        return [c.strip() for c in row if c.strip() and c.strip().lower() != "nan"]
 
-    def value(cell: str) -> bool:
-        return bool(cell.strip()) and cell.strip().replace(",", "").replace(".", "").replace("-", "").replace("/", "").replace("$", "").isdigit()
+    def typed(cells: list[str]) -> int:
+        return sum(number_like(c) or date_like(c) for c in cells)
 
     for i, row in enumerate(rows[:-1]):
-        filled, after = [c for c in row if c.strip()], [c for c in rows[i + 1] if c.strip()]
-        if len(filled) >= 3 and len(filled) >= 0.5 * len(row) and sum(not value(c) for c in filled) >= 0.8 * len(filled) and len(after) >= 3 and sum(value(c) for c in after) >= 0.4 * len(after):
+        own, after = filled(row), filled(rows[i + 1])
+        words = sum(not number_like(c) and not date_like(c) and len(c) < 80 for c in own)
+        if len(own) >= 3 and len(own) >= 0.5 * len(row) and words >= 0.8 * len(own) and len(after) >= 3 and typed(after) >= 0.4 * len(after):
             return sep, i
     return sep, 0
 
 
+#: Characters of a record of several lines at most: a quote that is never closed is an error, not a group of all that follows.
+RECORD_CHARS = 1 << 24
+
+
+def _line_codes(sep: str) -> Callable[[str], int]:
+    """What a line does to the state of being inside a quoted field: 2 keeps it, 0 leaves it outside, 3 inside, 1 changes it."""
+    other = f"[^{re.escape(sep)}\r]"
+    field = f'(?:"[^"]*+(?:""[^"]*+)*+"(?:(?!"){other}*+)|(?!"){other}++)?'
+    rest = f"(?:[{re.escape(sep)}\r]{field})*+"
+    outside = re.compile(field + rest)
+    closing, after = re.compile(r'[^"]*+(?:""[^"]*+)*+"(?!")'), re.compile(f"{other}*+{rest}")
+
+    def code(line: str) -> int:
+        if '"' not in line:
+            return 2
+        opened = outside.fullmatch(line) is None
+        end = closing.match(line)
+        stays = end is None or after.fullmatch(line, end.end()) is None
+        return opened + 2 * stays
+
+    return code
+
+
+def records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """path, record (from 1 in each file), text of the records of separated files; a record may hold newlines inside quotes.
+
+    Whether a line begins a record depends on all lines before it, so each line is reduced to what it does to the state
+    (inside quotes or not), lines are combined by block of the file, and blocks by a running combination over the file's
+    blocks, a row for each. Records of one line, nearly all, stay where they are; only lines of longer ones are shuffled.
+    """
+    classify = F.pandas_udf(lambda lines: lines.map(_line_codes(sep)).astype("int32"), "int")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), place.alias("line"), "value")
+    lines = stored(raw.withColumn("code", classify("value")), "csv-lines")
+    in_block = Window.partitionBy("path", "block").orderBy("line")
+    in_file = Window.partitionBy("path").orderBy("block")  # a row for each block
+    blocks = lines.groupBy("path", "block").agg(F.max_by(F.when(F.col("code").isin(0, 3), F.col("code")), F.when(F.col("code").isin(0, 3), F.col("line"))).alias("set"), F.max(F.when(F.col("code").isin(0, 3), F.col("line"))).alias("at"))
+    swaps = lines.join(blocks.select("path", "block", "at"), ["path", "block"]).where((F.col("code") == 1) & (F.col("at").isNull() | (F.col("line") > F.col("at")))).groupBy("path", "block").agg(F.count("*").alias("swaps"))
+    effect = blocks.join(swaps, ["path", "block"], "left").withColumn("swaps", F.coalesce("swaps", F.lit(0)) % 2)
+    effect = effect.select("path", "block", F.when(F.col("set").isNull(), F.when(F.col("swaps") == 1, 1).otherwise(2)).when((F.col("set") == 3) != (F.col("swaps") == 1), 3).otherwise(0).alias("code"))
+    entry = _with_state(effect, F.lit(0), in_file).select("path", "block", F.col("state").alias("entry"))
+    placed = _with_state(lines.join(entry, ["path", "block"]), F.col("entry"), in_block)
+    starts = placed.groupBy("path", "block").agg(F.sum((F.col("state") == 0).cast("long")).alias("n"))
+    offsets = starts.select("path", "block", (F.sum("n").over(in_file) - F.col("n")).alias("offset"))
+    counted = placed.join(offsets, ["path", "block"]).withColumn("record", F.col("offset") + F.sum((F.col("state") == 0).cast("long")).over(in_block))
+    ends_outside = ~(F.when(F.col("state") == 0, F.col("code").isin(1, 3)).otherwise(F.col("code").isin(2, 3)))
+    whole = (F.col("state") == 0) & ends_outside
+    several = counted.where(~whole)
+    longest = several.groupBy("path", "record").agg(F.sum(F.length("value") + 1).alias("chars")).agg(F.max("chars")).first()[0] or 0
+    if longest > RECORD_CHARS:
+        raise ValueError(f"a record of {longest} characters: a quote isn't closed")
+    joined = several.groupBy("path", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    out = counted.where(whole).select("path", "record", F.col("value").alias("text")).unionByName(joined)
+    return out.withColumn("text", F.regexp_replace("text", "\r$", ""))
+
+
+def _with_state(rows: DataFrame, entry: Column, window: Window) -> DataFrame:
+    """`rows` (code) with the state before each row of a window: what the last row that sets it says, or the state on entry, and the changes since."""
+    swap = (F.col("code") == 1).cast("int")
+    upto, earlier = F.sum(swap).over(window.rowsBetween(Window.unboundedPreceding, 0)), window.rowsBetween(Window.unboundedPreceding, -1)
+    # A set state less the changes so far: with the changes before a later row it is that row's state.
+    marked = rows.withColumn("__level", F.when(F.col("code").isin(0, 3), (F.col("code") == 3).cast("int") - upto))
+    level = F.coalesce(F.last("__level", ignorenulls=True).over(earlier), entry)
+    return marked.withColumn("state", F.pmod(level + F.coalesce(F.sum(swap).over(earlier), F.lit(0)), F.lit(2)).cast("int")).drop("__level")
+
+
+def cells(found: DataFrame, sep: str = ",") -> DataFrame:
+    """records() -> path, record, part, cells: as Python's csv reads them. A bare carriage return ends a row too: `part` counts its rows."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, r, i, row) for p, r, t in zip(b["path"], b["record"], b["text"], strict=True) for i, row in enumerate(csv.reader(io.StringIO(t, newline=""), delimiter=sep)) if row]
+            yield pd.DataFrame(rows, columns=["path", "record", "part", "cells"])
+
+    return found.mapInPandas(run, "path string, record long, part int, cells array<string>")
+
+
+def read_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """path, record, part, cells below the sniffed header, and the header's names. The first 30 lines and records come to the driver."""
+    sep, _ = sniff([r.value for r in spark.read.text(path).limit(30).collect()])
+    all_rows = cells(records(spark, path, sep), sep)
+    head = [list(r["cells"]) for r in all_rows.where(F.col("record") <= 30).orderBy("path", "record", "part").limit(30).collect()]
+    if not head:
+        return all_rows, []
+    at = sniff([], head)[1]
+    first = all_rows.orderBy("path", "record", "part").limit(at + 1).collect()[-1]
+    names = [n.strip() or f"column_{i + 1}" for i, n in enumerate(head[at])]
+    return all_rows.where((F.col("record") > first.record) | ((F.col("record") == first.record) & (F.col("part") > first.part))), names
+
+
+def named_cells(rows: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """`keep` and a text column for each name, null where a row is short; rows that repeat the header go."""
+    each = [F.trim(F.coalesce(F.get("cells", i), F.lit(""))) for i in range(len(names))]
+    same = sum((F.when((F.lower(c) == n.lower()) & (c != ""), 1).otherwise(0) for c, n in zip(each, names, strict=True)), F.lit(0))
+    filled = sum((F.when(c != "", 1).otherwise(0) for c in each), F.lit(0))
+    kept = rows.where(~((filled >= 3) & (same >= 0.6 * filled)))
+    unique, seen = [], set()
+    for n in names:
+        while n in seen:
+            n += "_2"
+        seen.add(n)
+        unique.append(n)
+    return kept.select(*keep, *(F.nullif(F.get("cells", i), F.lit("")).alias(n) for i, n in enumerate(unique)))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text under the sniffed header's names; rows that repeat the header go. Only the first 30 lines come to the driver."""
-    head = [r.value for r in spark.read.text(path).limit(30).collect()]
-    sep, at = sniff(head)
-    names = next(csv.reader([head[at]], delimiter=sep)) if head else []
-    names = [n.strip() or f"column_{i + 1}" for i, n in enumerate(names)]
-    if not names:
-        return spark.createDataFrame([], "value string")
-    schema = ", ".join(f"`_{i}` string" for i in range(len(names)))
-    rows = spark.read.csv(path, sep=sep, schema=schema)
-    if at:
-        # The preamble lies at the file's beginning; rows that repeat it further on are data.
-        begin = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line"), "value")
-        whole = begin.where((F.col("block") > 0) | (F.col("line") > at)).select("value")
-        rows = whole.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
-    cells = [F.trim(F.coalesce(F.col(f"_{i}"), F.lit(""))) for i in range(len(names))]
-    same = sum((F.when((F.lower(c) == n.lower()) & (c != ""), 1).otherwise(0) for c, n in zip(cells, names, strict=True)), F.lit(0))
-    filled = sum((F.when(c != "", 1).otherwise(0) for c in cells), F.lit(0))
-    rows = rows.where(~((filled >= 3) & (same >= 0.6 * filled)))
-    return rows.toDF(*names)
+    """All cells as text under the sniffed header's names; rows above the header and rows that repeat it go."""
+    rows, names = read_rows(spark, path)
+    return named_cells(rows, names, []) if names else spark.createDataFrame([], "value string")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """read_csv() with __row_number, in the order of files and records."""
+    rows, names = read_rows(spark, path)
+    return numbered(named_cells(rows, names, ["path", "record", "part"]), ["path", "record", "part"]).drop("path", "record", "part")
 
 
 def csv_metadata(spark: SparkSession, path: str) -> dict:
@@ -94,9 +213,10 @@ def csv_metadata(spark: SparkSession, path: str) -> dict:
 
 def csv_prose(spark: SparkSession, path: str, per_page: int = 50) -> DataFrame:
     """page, text: `a | b` lines, so many rows a page; the header and a rule on the first page. A page is gathered by its number, so none holds more than its rows."""
-    rows = read_csv(spark, path)
-    head = " | ".join(rows.columns)
-    lines = numbered(rows.select(F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in rows.columns)).alias("line")))
+    rows = read_table(spark, path)
+    columns = [c for c in rows.columns if c != ROW]
+    head = " | ".join(columns)
+    lines = rows.select(ROW, F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in columns)).alias("line"))
     paged = lines.groupBy((F.floor((F.col(ROW) - 1) / per_page) + 1).cast("int").alias("page")).agg(F.array_join(F.sort_array(F.collect_list(F.struct(ROW, "line"))).getField("line"), "\n").alias("text"))
     return paged.select("page", F.when(F.col("page") == 1, F.concat(F.lit(f"{head}\n{'-' * len(head)}\n"), "text")).otherwise(F.col("text")).alias("text"))
 

@@ -1,77 +1,228 @@
-"""A stored keyword index: postings in folders by a hash of the term, sorted by term, and the corpus figures."""
+"""A stored keyword index over a segmented store: postings in folders by a hash of the term, and figures that add up.
+
+A segment holds postings (key, length, term, tf, file, and a group if the index has one) split by `bucket`, each folder sorted
+by term; bucket -1 has a row for each document, without a term. `sizes` has documents and words by group, negative for what
+a later segment kills. So adding, replacing and deleting documents writes what changes, and figures are right at once.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import os
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from docbasin.functions.text import tokens
 from docbasin.operators import retrieval
+from docbasin.session import shared_folder
+from docbasin.sources.segments import Conflict, Files, Snapshot, Write, compact, latest
 
 #: Folders of an index: a search reads those of its terms only.
 BUCKETS = 64
-_BUILT: dict[tuple[str, str], str] = {}
+DOCUMENTS = -1
+#: Terms of a batch of queries up to which they are broadcast (a short string and two numbers each).
+BROADCAST_TERMS = 200_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only a local master does without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (root or f"file://{os.path.abspath('spark-warehouse')}/checkpoints").rstrip("/")
+def bucket(term: Column) -> Column:
+    return F.when(term.isNull(), DOCUMENTS).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS))).cast("int")
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def rows_of(docs: DataFrame, key: str, text: str = "text", group: str | None = None, file: str | None = None) -> DataFrame:
+    """docs -> the index's rows: one for each term of a document, and one without a term for the document itself.
 
+    `key` is unique: rows that share one are different documents of that key. A document without tokens is not indexed.
+    """
+    about = [F.col(group).cast("string").alias("collection") if group else F.lit(None).cast("string").alias("collection"), F.col(file).alias("file") if file else F.lit(None).cast("string").alias("file")]
+    words = docs.select(key, *about, F.explode(F.array(tokens(F.col(text)))).alias("words")).where(F.size("words") > 0)
+    each = words.select(key, "collection", "file", F.size("words").cast("long").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    counted = each.groupBy(key, "collection", "file", "length", "term").agg(F.count("*").alias("tf"))
+    return counted.select(key, "collection", F.when(F.col("term").isNull(), F.col("file")).alias("file"), "length", "term", "tf", bucket(F.col("term")).alias("bucket"))
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Postings of `docs` under `path`, and figures (n, mean). A frequent term's postings are written by several tasks."""
-    rows = retrieval.postings(docs, key, text).withColumn("bucket", bucket(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths = docs.sparkSession.read.parquet(f"{path}/postings").select(key, "length").distinct()
-    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/figures")
 
+def _ordered(rows: DataFrame, key: str) -> DataFrame:
+    """A frequent term's postings are written by several tasks."""
+    return rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term")
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/figures")
 
+def _sizes(documents: DataFrame, sign: int = 1) -> DataFrame:
+    return documents.groupBy("collection").agg((F.count("*") * sign).alias("n"), (F.sum("length") * sign).alias("total"))
 
-def ensure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """postings, figures of a table of files: built once for an application and a list of files, then read."""
-    spark = docs.sparkSession
-    files = hashlib.sha256("\n".join([key, text, *sorted(docs.inputFiles())]).encode()).hexdigest()[:16]
-    name = (spark.sparkContext.applicationId, files)
-    if name not in _BUILT:
-        path = f"{shared_folder(spark)}/keyword-{name[0]}-{files}"
-        write(docs, path, key, text)
-        _BUILT[name] = path
-    return read(spark, _BUILT[name])
+
+def change(base: Snapshot, new: DataFrame | None, gone: DataFrame | None = None, notes: dict | None = None, files: DataFrame | None = None) -> Snapshot:
+    """A version with `new` (rows of rows_of()) in the place of the same keys' documents, and without the keys `gone`."""
+    key = base.key
+    job = Write(base)
+    added = None
+    if new is not None:
+        written = job.add("postings", _ordered(new, key), "bucket")
+        added = written.where(F.col("bucket") == DOCUMENTS)
+    keys = added.select(key) if added is not None else None
+    if gone is not None:
+        keys = gone.select(key) if keys is None else keys.unionByName(gone.select(key))
+    dead = job.kill("postings", keys, [DOCUMENTS])
+    parts = [_sizes(added)] if added is not None else []
+    if job.n_dead:
+        old = base.rows("postings", [DOCUMENTS]).withColumnRenamed("segment", "of")
+        parts.append(_sizes(old.join(dead, [key, "of"], "left_semi"), -1))
+    if not parts:
+        return base
+    sizes = job.add("sizes", (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).coalesce(1))
+    if files is not None:
+        job.add("files", files)
+    more = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    held = base.notes.get("figures", [0, 0])
+    return job.commit({"figures": [held[0] + more.n, held[1] + more.total], **(notes or {})})
+
+
+def upsert(base: Snapshot, docs: DataFrame, text: str = "text", group: str | None = None) -> Snapshot:
+    """Documents added, each in the place of the same key's; one without tokens only takes the old one away."""
+    return change(base, rows_of(docs, base.key, text, group), docs)
+
+
+def delete(base: Snapshot, ids: DataFrame) -> Snapshot:
+    return change(base, None, ids)
+
+
+def compacted(base: Snapshot, keep: int = 0) -> Snapshot:
+    """The index in fewer segments, without dead rows."""
+    newest = [s["id"] for s in base.segments if "files" in s["tables"]][-1:]
+    return compact(base, {"files": lambda _: base.rows("files", segments=newest).drop("segment").coalesce(1), "postings": lambda r: _ordered(r, base.key), "sizes": lambda r: r.groupBy("collection").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).coalesce(1)}, keep)
 
 
-def replace(index: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings with those of `docs` in the place of the same documents' old ones; documents without tokens are only taken out."""
-    kept = index.select(key, "length", "term", "tf").join(docs.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(retrieval.postings(docs, key, text))
+def figures(index: Snapshot) -> tuple[int, float]:
+    """Live documents and their mean length."""
+    n, total = index.notes.get("figures", [0, 0])
+    return n, total / n if n else 0.0
 
 
-def remove(index: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    return index.join(ids.select(key), key, "left_anti")
+def sizes(index: Snapshot) -> DataFrame:
+    """collection, n, mean of live documents; a row for each collection."""
+    rows = index.rows("sizes").groupBy("collection").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return rows.where("n > 0").select("collection", "n", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def scores(index: DataFrame, figures: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """key, score: BM25 of one query from the stored postings of its terms."""
+def postings(index: Snapshot, terms: list[str] | None = None) -> DataFrame:
+    """Live postings, of some terms or all; only the terms' folders are read."""
+    if "postings" not in index.tables:
+        return index.spark.createDataFrame([], f"{index.key} long, collection string, length long, term string, tf long")
+    parts = list(range(BUCKETS)) if terms is None else _buckets(index.spark, terms)
+    rows = index.rows("postings", parts)
+    if terms is not None:
+        rows = rows.where(F.col("term").isin(terms))
+    return index.living(rows.drop("file")).select(index.key, "collection", "length", "term", "tf")
+
+
+def documents(index: Snapshot) -> DataFrame:
+    """key, collection, length of live documents with tokens."""
+    return index.living(index.rows("postings", [DOCUMENTS])).select(index.key, "collection", "length")
+
+
+def _buckets(spark: SparkSession, terms: list[str]) -> list[int]:
+    asked = spark.range(1).select(*(bucket(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)))
+    return list(asked.first()) if terms else []
+
+
+def _weights(asked: dict[str, int], df: dict[str, int], n: int) -> Column:
+    def idf(d: int) -> float:
+        return max(math.log((n - d + 0.5) / (d + 0.5)), 0.0) or 1e-6
+
+    return F.create_map(*(F.lit(x) for t, d in sorted(df.items()) for x in (t, asked[t] * idf(d))))[F.col("term")]
+
+
+def scores(index: Snapshot, query: str) -> DataFrame:
+    """key, score: BM25 of one query. Its terms' document frequencies, a row each, are counted first."""
     wanted = retrieval.query_tokens(query)
-    terms = sorted(set(wanted))
-    if not terms:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    mine = index.where(F.col("term").isin(terms))
-    if "bucket" in index.columns:
-        mine = mine.where(F.col("bucket").isin(*(bucket(F.lit(t)) for t in terms)))
-    asked = F.create_map(*(x for t in terms for x in (F.lit(t), F.lit(float(wanted.count(t))))))
-    frequency = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    known = F.broadcast(frequency.crossJoin(figures))  # figures: one row
-    part = asked[F.col("term")] * retrieval.idf(F.col("n"), F.col("df")) * retrieval.term_score(F.col("tf"), F.col("length"), F.col("mean"))
-    return mine.join(known, "term").groupBy(key).agg(F.sum(part).alias("score"))
+    asked = {t: wanted.count(t) for t in sorted(set(wanted))}
+    mine = postings(index, list(asked))
+    df = {r.term: r.df for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()} if asked else {}
+    if not df:
+        return mine.select(index.key, F.lit(0.0).alias("score")).limit(0)
+    n, mean = figures(index)
+    part = _weights(asked, df, n) * retrieval.term_score(F.col("tf"), F.col("length"), F.lit(mean))
+    return mine.groupBy(index.key).agg(F.sum(part).alias("score"))
+
+
+def search(index: Snapshot, queries: DataFrame, k: int = 10) -> DataFrame:
+    """queries (query_id, query) -> query_id, key, score, position: the k best of each query. Folders of no query's term aren't read."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    parts = [r.bucket for r in asked.select(bucket(F.col("term")).alias("bucket")).distinct().collect()]  # BUCKETS at most
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = index.living(index.rows("postings", parts))
+    terms = asked.select("term").distinct()
+    frequency = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n, mean = figures(index)
+    weighed = asked.join(frequency, "term").select("query_id", "term", (F.col("times") * retrieval.idf(F.lit(n), F.col("df"))).alias("weight"))
+    part = F.col("weight") * retrieval.term_score(F.col("tf"), F.col("length"), F.lit(mean))
+    scored = rows.join(F.broadcast(weighed) if few else weighed, "term").groupBy("query_id", index.key).agg(F.sum(part).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), index.key)
+    return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
+
+
+def status(docs: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and modification time of the files that a DataFrame reads."""
+    spark, out = docs.sparkSession, []
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for name in sorted(docs.inputFiles()):
+        where = path(spark._jvm.java.net.URI(name))
+        s = where.getFileSystem(conf).getFileStatus(where)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return out
+
+
+def _same_name(path: Column) -> Column:
+    """A file's path as readers and listings both write it: escapes undone, one slash after the scheme."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def ensure(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str | None = None) -> Snapshot:
+    """The index of a table of files, of one application: built at first, and brought up to date where files have changed since.
+
+    A file counts as changed by its length or modification time. Documents of changed and vanished files are replaced or
+    taken out; files that are the same are not read. If rows don't tell their file, everything is read again.
+    """
+    spark = docs.sparkSession
+    plan = hashlib.sha256(f"{docs.semanticHash()}|{key}|{text}|{group}".encode()).hexdigest()[:16]
+    root = f"{shared_folder(spark)}/keyword-{spark.sparkContext.applicationId}-{plan}"
+    now = status(docs)
+    seen = hashlib.sha256(repr(now).encode()).hexdigest()
+    for _ in range(3):
+        base = latest(spark, root, key)
+        if base.notes.get("files") == seen:
+            return base
+        try:
+            return _synced(base, docs, text, group, now, seen)
+        except Conflict:  # another thread was first
+            continue
+    raise Conflict(root)
+
+
+def _synced(base: Snapshot, docs: DataFrame, text: str, group: str | None, now: list[tuple], seen: str) -> Snapshot:
+    spark = docs.sparkSession
+    listed = spark.createDataFrame(now, "path string, length long, modified long").withColumn("path", _same_name(F.col("path")))
+    try:
+        placed = docs.withColumn("__file", _same_name(F.col("_metadata.file_path")))
+    except AnalysisException:
+        placed = None
+    gone = None
+    if base.version:
+        documents_now = base.living(base.rows("postings", [DOCUMENTS]))
+        gone = documents_now.select(base.key)
+        if placed is not None:
+            newest = [s["id"] for s in base.segments if "files" in s["tables"]][-1:]
+            before = base.rows("files", segments=newest).drop("segment")
+            same = ["path", "length", "modified"]
+            stale = before.join(listed, same, "left_anti").select(F.col("path").alias("file"))
+            gone = documents_now.join(stale, "file", "left_semi").select(base.key)
+            fresh = listed.join(before, same, "left_anti").select(F.col("path").alias("__file"))
+            placed = placed.join(fresh, "__file", "left_semi")
+    rows = rows_of(placed, base.key, text, group, "__file") if placed is not None else rows_of(docs, base.key, text, group)
+    return change(base, rows, gone, {"files": seen}, listed.coalesce(1))
+
+
+def forget(base: Snapshot) -> None:
+    """Removes a store."""
+    Files(base.spark, base.root).remove("")

@@ -7,7 +7,12 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docbasin.operators.registry import numbered
+from docbasin.session import stored
+from docbasin.sources.files import named_cells, sniff
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -67,3 +72,36 @@ def office_pages(spark: SparkSession, path: str) -> DataFrame:
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,xlsx}").load(path)
     return raw.select("path", "content").mapInPandas(run, "path string, section int, text string")
+
+
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, row (from 1), cells of the .xlsx files below a folder; a file that is none has no rows."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, data in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows += [(p, name, i, row) for name, sheet in xlsx_sheets(data) for i, row in enumerate(sheet, 1) if any(c.strip() for c in row)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)
+    return raw.select("path", "content").mapInPandas(run, "path string, sheet string, row long, cells array<string>")
+
+
+def sheet_tables(spark: SparkSession, path: str) -> dict[tuple[str, str], DataFrame]:
+    """(path, sheet) -> the sheet as a table of texts with __row_number, below the header that its first 30 rows show."""
+    rows = stored(sheet_rows(spark, path), "sheet-rows")
+    first = Window.partitionBy("path", "sheet").orderBy("row")
+    heads: dict[tuple[str, str], list] = {}
+    for r in rows.withColumn("k", F.row_number().over(first)).where("k <= 30").orderBy("path", "sheet", "row").collect():  # 30 rows a sheet
+        heads.setdefault((r.path, r.sheet), []).append(r)
+    out = {}
+    for (p, sheet), head in heads.items():
+        at = sniff([], [list(r["cells"]) for r in head])[1]
+        names = [n.strip() or f"column_{i + 1}" for i, n in enumerate(head[at]["cells"])]
+        own = rows.where((F.col("path") == p) & (F.col("sheet") == sheet) & (F.col("row") > head[at].row))
+        out[p, sheet] = numbered(named_cells(own, names, ["row"]), ["row"]).drop("row")
+    return out

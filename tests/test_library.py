@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docbasin.functions import requests, scan
-from docbasin.operators import catalog, content, registry, research, retrieval, search, tables
-from docbasin.sources import files, index
+from docbasin.operators import catalog, content, governance, registry, research, retrieval, search, tables
+from docbasin.sources import files, index, segments
 
 TEXTS = ["alpha beta gamma", "beta beta delta", "gamma delta epsilon zeta", "alpha alpha alpha beta", "omega", "the of"]
 
@@ -20,18 +20,13 @@ def scores(frame):
     return {r.doc_id: round(r.score, 9) for r in frame.collect()}
 
 
-def test_stored_index_equals_a_scan_and_follows_changes(spark, docs, tmp_path):
-    path = f"file://{tmp_path}/index"
-    index.write(docs, path)
-    postings, figures = index.read(spark, path)
+def test_stored_index_equals_a_scan(spark, docs, tmp_path):
+    stored = index.upsert(segments.latest(spark, f"file://{tmp_path}/index", "doc_id"), docs, group="box")
     for query in ("alpha delta", "beta beta", "nothing", "the", ""):
-        assert scores(index.scores(postings, figures, query)) == scores(retrieval.bm25_scores(docs, query)), query
-    assert "PartitionFilters" in index.scores(postings, figures, "alpha")._jdf.queryExecution().toString()
-    new = spark.createDataFrame([(1, "epsilon"), (2, "the"), (9, "alpha")], "doc_id long, text string")
-    after = index.replace(postings, new)
-    now = docs.select("doc_id", "text").join(new, "doc_id", "left_anti").unionByName(new)
-    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, retrieval.postings(now).select("doc_id", "length", "term", "tf").collect()))
-    assert index.remove(after, new).where("doc_id in (1, 2, 9)").isEmpty()
+        assert scores(index.scores(stored, query)) == scores(retrieval.bm25_scores(docs, query)), query
+    asked = spark.createDataFrame([(1, "alpha delta"), (2, "nothing"), (3, "beta beta")], "query_id long, query string")
+    batch = {(r.query_id, r.doc_id): round(r.score, 9) for r in index.search(stored, asked).collect()}
+    assert batch == {(q, d): s for q, text in ((1, "alpha delta"), (3, "beta beta")) for d, s in scores(retrieval.bm25_scores(docs, text)).items()}
 
 
 def test_search_filters_hides_widens_and_reranks(spark, docs):
@@ -51,17 +46,42 @@ def test_search_filters_hides_widens_and_reranks(spark, docs):
     def broken(pool):
         raise RuntimeError
 
-    assert search.search(keyword, vectors, asked, mode="semantic", k=1, rerank=broken).first().doc_id == 0
+    def broken_in_tasks(pool):
+        return pool.select("doc_id", F.pandas_udf(lambda t: 1 / 0, "double")("score").alias("score"))
+
+    for bad in (broken, broken_in_tasks):
+        assert search.search(keyword, vectors, asked, mode="semantic", k=1, rerank=bad).first().doc_id == 0
+    some = search.search(keyword, vectors, asked, mode="semantic", k=3, rerank=lambda pool: pool.where("doc_id = 2"))
+    assert [r.doc_id for r in some.collect()] == [2, 0, 1]
+    wrong = keyword.select("doc_id", F.raise_error(F.lit("the caller's own")).cast("double").alias("score"))
+    with pytest.raises(Exception, match="the caller's own"):
+        search.search(wrong, vectors, None, mode="keyword", k=1, rerank=broken).collect()
     with pytest.raises(ValueError):
         search.search(keyword, vectors, asked, mode="odd")
 
 
-def test_search_all_keeps_collections_apart(docs):
-    placed = retrieval.postings(docs).join(docs.select("doc_id", "box"), "doc_id")
-    found = search.search_all(placed, "beta", "box", 1).collect()
+def test_entities_raise_and_add_what_shares_them(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "doc_id long, embedding array<double>")
+    asked = pd.DataFrame({"query_id": [0], "vector": [[1.0, 0.0]]})
+    held = spark.createDataFrame([(3, "a"), (3, "b"), (0, "a"), (7, "a"), (7, "b"), (7, "c"), (8, "c")], "doc_id long, entity string")
+    wanted = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.0)], "entity string, rarity double")
+    hits = retrieval.entity_hits(held, wanted, cap=3)
+    assert [(r.doc_id, r.n, round(r.lift, 6)) for r in hits.collect()] == [(7, 3, 0.1), (3, 2, 0.1), (0, 1, 0.0)]
+    keyword = spark.createDataFrame([], "doc_id long, score double")
+    got = {r.doc_id: round(r.score, 6) for r in search.search(keyword, vectors, asked, mode="semantic", k=2, shared=hits).collect()}
+    assert got == {0: 1.0, 1: round(1 / 2**0.5, 6)}
+    found = spark.createDataFrame([(0, 0.05), (1, 0.04)], "doc_id long, score double")
+    got = {r.doc_id: round(r.score, 6) for r in search.with_entities(found, hits, vectors, asked, 4).collect()}
+    assert got == {0: 0.05, 1: 0.04, 3: round(1 / 10**0.5 + 0.1, 6), 7: 0.1}
+    assert [r.doc_id for r in search.with_entities(found, hits, vectors, None, 4, most=1).orderBy("doc_id").collect()] == [0, 1, 7]
+
+
+def test_search_all_keeps_collections_apart(spark, docs, tmp_path):
+    stored = index.upsert(segments.latest(spark, f"file://{tmp_path}/index", "doc_id"), docs, group="box")
+    found = search.search_all(stored, "beta", 1).collect()
     want = {box: retrieval.top(retrieval.bm25_scores(docs.where(F.col("box") == box), "beta"), 1).first() for box in "ab"}
-    assert {r.box: (r.doc_id, round(r.score, 9)) for r in found} == {b: (w.doc_id, round(w.score, 9)) for b, w in want.items()}
-    assert search.search_all(placed, "the", "box").isEmpty()
+    assert {r.collection: (r.doc_id, round(r.score, 9)) for r in found} == {b: (w.doc_id, round(w.score, 9)) for b, w in want.items()}
+    assert search.search_all(stored, "the").isEmpty()
 
 
 def test_registry(spark, tmp_path):
@@ -207,3 +227,141 @@ def test_entity_boost_by_hand(spark):
         if shared:
             expected[d] = expected.get(d, 0.0) + (0.2 * total / (1 + total) if len(shared) >= 2 else 0.0)
     assert {r.doc_id: round(r.score, 9) for r in out.collect()} == {d: round(v, 9) for d, v in expected.items()} and {0, 1, 4} <= set(expected)
+
+
+QUOTED = [
+    'a,b,c\n1,"two\nlines",3\n4,"say ""hi"", then\n\n""bye""",6\n7,8 "mid" quote,9\n',
+    'x,"y\r\nz",w\r\n"1","2","3"\r\n,"",\r\n',
+    '"only\none\nfield\n"\n\n"a"b"c",d,"e\n,f"g\nh,i,j',
+    'p,q,r\n"open"\n"closed, ""twice""\nand ""more"",",t,u\nv,w,x\n',
+    "bare\rreturn,s,t\nu,\"v\rw\",x\n",
+]
+
+
+def test_records_equal_pythons_wherever_the_file_is_cut(spark, tmp_path, monkeypatch):
+    import csv
+    import io
+
+    for i, text in enumerate(QUOTED):
+        (tmp_path / f"q{i}.csv").write_bytes(text.encode())
+    want = [(f"q{i}.csv", r) for i, text in enumerate(QUOTED) for r in csv.reader(io.StringIO(text, newline="")) if r]
+    before = {n: spark.conf.get(n, None) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+    real, cuts = files.stored, []
+
+    def cut_small(size):
+        def run(df, name):
+            try:
+                for n, v in zip(before, (str(size), "0", "1"), strict=True):
+                    spark.conf.set(n, v)
+                cuts.append(df.rdd.getNumPartitions())
+                return real(df, name)
+            finally:
+                for n, v in before.items():
+                    spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+        return run
+
+    for size in [2, 5, 10_000]:
+        monkeypatch.setattr(files, "stored", cut_small(size))
+        got = files.cells(files.records(spark, str(tmp_path))).collect()
+        placed = sorted((r.path.rsplit("/", 1)[1], r.record, r.part, list(r["cells"])) for r in got)
+        assert [(p, c) for p, _, _, c in placed] == want, size
+    assert cuts[0] > 100 and cuts[1] > 40
+
+
+def test_quoted_cells_become_a_table_and_a_quote_left_open_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.csv").write_text('Report,,\nName,Note,Price,Qty\nann,"one\ntwo, three",1.5,7\nbob,,2,\nName,Note,Price,Qty\n"c""d",x,3,8\n')
+    table = files.read_table(spark, str(tmp_path / "t.csv"))
+    assert [tuple(r) for r in table.orderBy(registry.ROW).collect()] == [("ann", "one\ntwo, three", "1.5", "7", 1), ("bob", None, "2", None, 2), ('c"d', "x", "3", "8", 3)]
+    monkeypatch.setattr(files, "RECORD_CHARS", 20)
+    (tmp_path / "o.csv").write_text('a,b,c\n1,"never closed,3\n' + "4,5,6\n" * 10)
+    with pytest.raises(ValueError, match="isn't closed"):
+        files.records(spark, str(tmp_path / "o.csv"))
+
+
+def test_every_row_is_numbered_once(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    want = [r.o_orderkey for r in orders.select("o_orderkey").orderBy("o_orderkey").collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = registry.numbered(orders, ["o_orderkey"]).select(registry.ROW, "o_orderkey").orderBy(registry.ROW).collect()
+            assert [r[registry.ROW] for r in got] == list(range(1, len(want) + 1)) and [r.o_orderkey for r in got] == want
+        assert {r[0] for r in registry.numbered(orders).select(registry.ROW).collect()} == set(range(1, len(want) + 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def money():
+    def number(t):
+        return pd.to_numeric(t.str.replace(r"[$,]", "", regex=True), errors="coerce")
+
+    return tables.TypeExtension("currency", "double", lambda t: t.str.match(r"^-?\$[\d,]+(\.\d+)?$"), lambda t: number(t.where(t.str.contains("$", regex=False))))
+
+
+def percent():
+    return tables.TypeExtension("percent", "double", lambda t: t.str.match(r"^-?[\d.]+%$"), lambda t: pd.to_numeric(t.str.rstrip("%"), errors="coerce").where(t.str.endswith("%")))
+
+
+def test_type_extensions_and_roles(spark):
+    rows = [("$1,591.20", "5%", "$10", "2.5", "1", "yes"), ("$3", "7.5%", "(408.80)", "1%", "2", "no"), ("$4.5", "n/a", "20", "3", "$3", "yes"), ("$5", "x", "$1,000", "x", "4", "no"), ("x", "1%", "30", "4", "5", "yes"), ("$7", "2%", "$2", "5", "6", "no")]
+    table = spark.createDataFrame(rows, "price string, rate string, mixed string, plain string, whole string, flag string")
+    extensions = [money(), percent()]
+    got = {r.column: r.type for r in tables.infer_types(table, extensions).collect()}
+    assert got == {"price": "currency", "rate": "percent", "mixed": "real", "plain": "real", "whole": "real", "flag": "boolean"}
+    assert {r.column: r.type for r in tables.infer_types(table).collect()} == {"price": "text", "rate": "text", "mixed": "text", "plain": "text", "whole": "integer", "flag": "boolean"}
+    typed = [tuple(r) for r in tables.coerce(table, got, extensions=extensions).select("price", "price__raw", "rate", "mixed", "whole").collect()]
+    assert typed[0] == (1591.2, "$1,591.20", 5.0, 10.0, 1.0) and typed[1][3] == -408.8 and typed[2] == (4.5, "$4.5", None, 20.0, 3.0) and typed[4][:2] == (None, "x")
+    found = tables.roles(tables.infer_types(table), [lambda c, t: "share" if "rate" in c else None, lambda c, t: "label" if t == "text" else None])
+    assert {r.column: r.role for r in found.collect()} == {"price": "label", "rate": "share", "mixed": "label", "plain": "label", "whole": None, "flag": None}
+    big = spark.createDataFrame([("9007199254740993",), ("-9,007,199,254,740,995",), ("1e3",)], "n string")
+    assert [r.n for r in tables.coerce(big, {"n": "integer"}).collect()] == [9007199254740993, -9007199254740995, 1000]
+
+
+def test_profiles_take_the_first_values_in_order(spark):
+    rows = [(i, float(i) if i % 3 else None, float("nan") if i == 1 else float(-i)) for i in range(1, 31)]
+    table = spark.createDataFrame(rows, "k long, a double, b double").repartition(5)
+    got = {r.column: r.asDict() for r in tables.column_profile(table, ["a", "b"], "k", most=4).collect()}
+    assert got["a"] == {"column": "a", "nulls": 10, "distinct": 4, "n": 4, "min": 1.0, "max": 5.0, "mean": 3.0, "total": 12.0, "p25": 2.0, "p50": 4.0, "p75": 4.0}
+    assert got["b"]["nulls"] == 1 and got["b"]["min"] == -5.0 and got["b"]["total"] == -14.0
+    small = [(r.column, r.k, r.v) for r in tables.first_values(table, ["a"], "k", most=5, block=2).orderBy("k").collect()]
+    assert small == [("a", i, v) for i, v in enumerate(["1.0", "2.0", "4.0", "5.0", "7.0"], 1)]
+    assert tables.column_profile(table.limit(0), ["a"], "k").first().n == 0
+
+
+PATTERNS = ["b+c", "(?<=a)b", "(?P<x>b)c", r"c\Z", "c$", "^a.c", r"\bword\b", r"\d+", "[^a-c]+", "é", "(a|b)(c|d)?", "x{2,3}?", r"(b)\1", "straSSe", "k", "s+t", "a[[b]", "(?i)ABC", "a.b"]
+
+
+@pytest.mark.parametrize("ignore", [True, False])
+def test_patterns_find_what_python_finds(spark, ignore):
+    import re
+
+    texts = ["abc", "abbcc", "a\nc", "abc\n", "ABC", "word sword", "x٣٤ 12", "É é", "xxxx", "bb", "straße STRASSE", "K kelvin", "ſt st", "a[b", "a\r\nc ", "a\rb", "a\u0085b", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    routes = set()
+    for p in PATTERNS:
+        routes.add(retrieval.same_in_java(p, ignore))
+        compiled = re.compile(p, re.I if ignore else 0)
+        want = [(i, m[0], m.start() + 1) for i, t in enumerate(texts) if t is not None and (m := compiled.search(t))]
+        assert [tuple(r) for r in retrieval.find_regex(docs, p, ignore_case=ignore).collect()] == want, p
+    assert routes == {True, False}
+    with pytest.raises(ValueError):
+        retrieval.find_regex(docs, "(")
+    slow = spark.createDataFrame([(1, "a" * 60 + "!")], "doc_id long, text string")
+    with pytest.raises(Exception, match="(?i)timed? ?out"):
+        retrieval.find_regex(slow, r"(?=a)(a|aa)+$\Z", seconds=0.2).collect()
+
+
+def test_shares(spark):
+    shares = spark.createDataFrame([("s1", "c1", "read", True, "Ann@x.org", None), ("s2", "c1", "readwrite", True, "bob@x.org", "2020-01-01"), ("s3", "c2", "read", False, "ann@x.org", None), ("s4", "c2", "readwrite", True, None, "2999-01-01")], "share_id string, collection_id string, permission string, is_active boolean, invited_email string, expires_at string").withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    members = spark.createDataFrame([("s1", "ann@x.org"), ("s2", "ANN@x.org"), ("s3", "ann@x.org"), ("s4", "eve@x.org"), ("s2", "ann@x.org")], "share_id string, user_id string")
+    emails = spark.createDataFrame([(" ann@X.org ",), ("eve@x.org",), ("nobody@x.org",), ("bob@x.org",)], "email string")
+    counted = governance.active_shares(emails, shares, members)
+    assert {tuple(r) for r in counted.collect()} == {("ann@x.org", 2), ("eve@x.org", 1), ("nobody@x.org", 0), ("bob@x.org", 1)}
+    assert {r.email: r.shares for r in governance.active_shares(emails, shares, members, exclude="s1").collect()}["ann@x.org"] == 1
+    assert "NestedLoop" not in counted._jdf.queryExecution().executedPlan().toString()
+    access = governance.share_access(shares, members, "2026-01-01", ["readwrite", "read"])
+    assert {tuple(r) for r in access.collect()} == {("c1", "ann@x.org", "read"), ("c2", "eve@x.org", "readwrite")}
+    collections = spark.createDataFrame([("c1", 2), ("c2", 1)], "collection_id string, created_at int")
+    assert [(r.collection_id, r.permission) for r in governance.shared_collections(collections, shares, members, "ann@x.org").collect()] == [("c1", "read"), ("c1", "readwrite")]

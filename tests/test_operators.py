@@ -93,11 +93,20 @@ REFUSED = [
     "with a as (select * from secret_other) select * from a", "select * from t where id in (select id from secret_other)",
     "select * from (with secret_other as (select 1 as id) select * from t) x, secret_other", "select reflect('java.lang.System', 'currentTimeMillis')",
     "select transform(id) using 'cat' as (x) from t", "with a as (select 1) insert into t select * from a", "show tables", "select * from read_files('/x')",
+    "select * from identifier('secret_other')", "select * from identifier('secret'||'_other')", "select * from identifier('parquet.`{path}`')",
+    "select identifier('java_method')('java.lang.System', 'getProperty', 'user.home') from t", "select identifier('reflect')('java.lang.System', 'currentTimeMillis') from t",
+    "select try_reflect('java.lang.System', 'exit', 1)", "select system.builtin.java_method('a', 'b')", "select own_udf(id) from t", "select input_file_name() from t", "select current_user()",
+    "select * from range(1000000000000)", "select explode(sequence(1, 1000000000000))", "select explode(sequence(1, id * 1000000000)) from t", "select * from t lateral view explode(sequence(1, 10000000)) as y",
+    "select repeat('x', 1000000000)", "select array_repeat(id, 100000000) from t", "select lpad('x', 2000000000, 'y')", "select explode(sequence(timestamp'2000-01-01', timestamp'2100-01-01', interval 1 second))",
+    "with a as (select * from identifier('secret_other')) select * from a", "select (select max(id) from identifier('secret_other'))", "select * from range(5) union all select * from range(0, 9000000000)",
     "select * from t; select 1", "select 1 from global_temp.x", "select a.* from t lateral view explode(array(1)) z as y, secret_other a", "select (1", "drop table t",
 ]
 ALLOWED = {
     "select * from t": 10, "with a as (select id from t), b as (select * from a) select * from b where id > (select min(id) from a)": 9,
     "select id, y from t lateral view explode(array(1, 2)) z as y": 20, "select * from T union select * from t": 10, "select * from range(5)": 5, "select 'insert ; drop' as x from t": 10,
+    "select id, sum(id) over (order by id) as s, row_number() over w as k from t window w as (partition by id % 2 order by id)": 10, "select * from (values (1, 'a'), (2, 'b')) v(x, y) join t on x = id": 2,
+    "select explode(sequence(1, 12)) as y": 12, "select explode(sequence(date'2026-01-01', date'2026-12-31', interval 1 month)) as y": 12, "select transform(array(id, 2), x -> x + 1) as a, lpad(id, 5, '0') as b from t": 10,
+    "select id % 2 as k, count(distinct id) as n, max(id) filter (where id > 3) as m from t group by rollup(id % 2) having count(*) > 0": 3, "select * from t where id in (select id from t where id < 3) order by id limit 2 offset 1": 2,
     "with recursive r as (select 1 as n union all select n + 1 from r where n < 5) select * from r": 5, "select id from t;;": 10,
 }
 
@@ -106,6 +115,7 @@ def test_guarded_sql(spark, sf_dir):
     view = {"t": spark.range(10)}
     spark.range(3).createOrReplaceTempView("secret_other")
     spark.range(7).createOrReplaceTempView("t")
+    spark.udf.register("own_udf", lambda x: x, "long")
     for sql in REFUSED:
         with pytest.raises(ValueError):
             tables.query(spark, sql.format(path=f"{sf_dir}/nation.parquet"), view)
@@ -117,6 +127,22 @@ def test_guarded_sql(spark, sf_dir):
     assert not tables.result(spark, "select id from t", view, 10)["truncated"]
 
 
+def test_a_function_in_the_place_of_sparks_own_is_refused(spark):
+    other = spark.newSession()
+    other.udf.register("levenshtein", lambda a, b: 0, "int")
+    with pytest.raises(ValueError):
+        tables.query(other, "select levenshtein('a', 'b')", {"t": other.range(1)})
+    assert tables.query(spark, "select levenshtein('a', 'b') as d", {"t": spark.range(1)}).first().d == 1
+
+
+def test_threads_see_their_own_views(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: tables.query(spark, "select count(*) as n from same_name", {"same_name": spark.range(n)}).first().n, range(1, 17)))
+    assert got == list(range(1, 17))
+
+
 def test_entities_of_the_query_are_resolved_boosted_and_add_documents(spark):
     texts = ["met Alice Johnson about Titan Renewal", "for Alice Johnson and Titan Renewal", "of Zeta and Omega", "with Zeta and Omega", "plain budget words", "budget of Titan Renewal", *["filler"] * 14]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
