@@ -97,10 +97,11 @@ def knn(vectors: DataFrame, queries: pd.DataFrame, k: int = 10, key: str = "vec_
             m = np.array(b[vector].tolist(), np.float64)
             s = asked @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
             keys, n = b[key].to_numpy(), min(k, len(b))
-            best = np.stack([np.lexsort((keys, -own))[:n] for own in s])
+            places = np.unique(keys, return_inverse=True)[1]
+            best = np.stack([np.lexsort((places, -own))[:n] for own in s])
             yield pd.DataFrame({"query_id": np.repeat(ids, n), key: keys[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
+    found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"query_id long, `{key}` {vectors.schema[key].dataType.simpleString()}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docbasin.functions.text import STOPWORDS, extension, query_tokens
+from docbasin.functions.text import STOPWORDS, extension, ocr_cleaned, query_tokens
 from docbasin.operators import catalog, content, governance, maintenance, registry, research, retrieval, search, tables
 from docbasin.session import shared_folder, stored
-from docbasin.sources import index, segments
+from docbasin.sources import files, index, segments, store
 from docbasin.sources.segments import Snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,6 +536,173 @@ def cache_use(spark, sf_dir):
     return marked.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count("*").alias("cached"), F.sum("hit").alias("hits"))
 
 
+# Stores that change
+
+
+CHANGED = """(select * from (select doc_id, text from documents where doc_id not in (select item_id from benchmark) union all select item_id, text from benchmark) c where doc_id not in (select doc_id from labels where toxic = 1))"""
+
+
+def _changed_index(spark, sf_dir) -> Snapshot:
+    """An index of the documents, then benchmark items in the place of documents of their ids, then without toxic documents, then compacted."""
+    base = segments.latest(spark, f"{shared_folder(spark)}/changing-{uuid.uuid4().hex}", "doc_id")
+    base = index.upsert(base, read(spark, sf_dir, "documents"))
+    base = index.upsert(base, read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return index.delete(base, read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+
+
+@query(f"with {bm25_sql(source=CHANGED)} select doc_id, round(score, 6) as score from (select * from bm order by score desc, doc_id limit 10)")
+def index_changes(spark, sf_dir):
+    scores = index.scores(_changed_index(spark, sf_dir), QUESTION)
+    return retrieval.top(scores, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {bm25_sql(source=CHANGED)} select (select n from st) as documents, round((select mean from st), 6) as mean_length, doc_id, round(score, 6) as score from bm")
+def index_compacted(spark, sf_dir):
+    """All hits after compaction, and the figures."""
+    whole = index.compacted(_changed_index(spark, sf_dir))
+    n, mean = index.figures(whole)
+    return index.scores(whole, QUESTION).select(F.lit(n).cast("long").alias("documents"), F.round(F.lit(mean), 6).alias("mean_length"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers as documents, by nation."""
+    text = lambda who: F.concat(F.lit("Today we met Mary Jones from "), who, F.lit(" again. Nobody came."))
+    customers = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("document_id"), F.concat("c_name", F.lit(".txt")).alias("filename"), text(F.col("c_mktsegment")).alias("text"), F.col("c_nationkey").alias("n_nationkey"))
+    suppliers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("document_id"), F.concat("s_name", F.lit(".txt")).alias("filename"), text(F.lit("ACME")).alias("text"), F.col("s_nationkey").alias("n_nationkey"))
+    return customers, suppliers
+
+
+def embedded(texts: pd.Series) -> pd.Series:
+    """A vector that only depends on the text: what stands in for a model."""
+    import hashlib
+
+    return texts.map(lambda t: [b / 255 + 0.01 for b in hashlib.sha256(t.encode()).digest()[:8]])
+
+
+@query(f"""with n as (select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey),
+p as (select 'c' || c_custkey as id, case when r_name = 'ASIA' then 'Moved. ' else '' end || 'Today we met Mary Jones from ' || c_mktsegment || ' again. Nobody came.' as text, case when r_name = 'ASIA' then 3 else 2 end as e from customer join n on c_nationkey = n_nationkey where r_name <> 'AFRICA'
+  union all select 's' || s_suppkey, 'Today we met Mary Jones from ACME again. Nobody came.', 2 from supplier),
+t as (select distinct id, unnest({TOKENS_SQL}) as term from p)
+select * from (values ('documents', (select count(*) from p)), ('chunks', (select count(*) from p)), ('vectors', (select count(*) from p)), ('postings', (select count(*) from t)), ('entities', (select count(*) from p) * 2)) v("table", n)""")
+def ingest_counts(spark, sf_dir):
+    """Customers; then they and suppliers, of which only the suppliers are new; then customers of Asia with another text; then Africa's taken out."""
+    customers, suppliers = _people(spark, sf_dir)
+    regions = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    of = lambda name: customers.join(F.broadcast(regions.where(F.col("r_name") == name)), "n_nationkey")  # noqa: E731 a row for each nation
+    base = store.opened(spark, f"{shared_folder(spark)}/people-{uuid.uuid4().hex}")
+    base = store.ingest(base, customers, embedded)
+    base = store.ingest(base, customers.unionByName(suppliers), embedded)
+    base = store.ingest(base, of("ASIA").withColumn("text", F.concat(F.lit("Moved. "), "text")), embedded)
+    base = store.remove(base, of("AFRICA"))
+    return store.counts(base)
+
+
+# Rows and types
+
+
+@query("select *, row_number() over (order by o_orderkey) as __row_number from orders")
+def numbered_orders(spark, sf_dir):
+    return registry.numbered(read(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+@query("""with l as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_returnflag) as k from lineitem),
+u as (select 'l_extendedprice' as "column", l_extendedprice as v, k from l union all select 'l_discount', case when l_returnflag <> 'N' then l_discount end, k from l),
+f as (select "column", v from u where v is not null qualify row_number() over (partition by "column" order by k) <= 2000),
+s as (select "column", count(distinct v) as "distinct", count(*) as n, min(v) as min, max(v) as max, sum(v::decimal(28, 6)) as t, list_sort(list(v)) as vs from f group by 1)
+select "column", (select count(*) from u where u."column" = s."column" and v is null) as nulls, "distinct", n, min, max, round(t::double / n, 4) as mean, round(t::double, 4) as total,
+  vs[round_even(0.25 * (n - 1), 0)::int + 1] as p25, vs[round_even(0.5 * (n - 1), 0)::int + 1] as p50, vs[round_even(0.75 * (n - 1), 0)::int + 1] as p75 from s""")
+def profile_first(spark, sf_dir):
+    """The first 2,000 values in source order, of one column with gaps."""
+    lines = read(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag"]
+    lines = registry.numbered(lines.select(*order), order).withColumn("l_discount", F.when(F.col("l_returnflag") != "N", F.col("l_discount")))
+    found = tables.column_profile(lines, ["l_extendedprice", "l_discount"], registry.ROW)
+    return found.withColumns({"mean": F.round("mean", 4), "total": F.round("total", 4)})
+
+
+def _money(t: pd.Series) -> pd.Series:
+    return pd.to_numeric(t.where(t.str.contains("$", regex=False)).str.replace(r"[$,]", "", regex=True), errors="coerce")
+
+
+CURRENCY = tables.TypeExtension("currency", "double", lambda t: t.str.match(r"^-?\$[\d,]+(\.\d+)?$"), _money)
+PERCENT = tables.TypeExtension("percent", "double", lambda t: t.str.match(r"^-?[\d.]+%$"), lambda t: pd.to_numeric(t.where(t.str.endswith("%")).str.rstrip("%"), errors="coerce"))
+
+
+@query("""select unnest(['price', 'rate', 'mixed', 'qty']) as "column", count(*) as n, unnest(['currency', 'percent', 'real', 'integer']) as type, unnest(['amount', 'share', 'amount', null]) as role from lineitem""")
+def type_extensions(spark, sf_dir):
+    """Prices with a sign, discounts with a percent sign, a column of both plain and signed numbers, and quantities."""
+    line = read(spark, sf_dir, "lineitem")
+    price, whole = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    cells = line.select(F.concat(F.lit("$"), price).alias("price"), F.concat((F.col("l_discount") * 100).cast("decimal(18,2)").cast("string"), F.lit("%")).alias("rate"), F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("$"), whole)).otherwise(whole).alias("mixed"), whole.alias("qty"))
+    kinds = stored(tables.infer_types(cells, [CURRENCY, PERCENT]), "types")  # a row for each column
+    return tables.roles(kinds, [lambda c, t: "share" if t == "percent" else None, lambda c, t: "amount" if c in ("price", "mixed") else None])
+
+
+@query("select p_partkey as key, p_name || chr(10) || p_brand || ', \"' || p_type || '\"' as note, p_size::varchar as size, p_retailprice::decimal(18, 2)::varchar as price from part")
+def quoted_records(spark, sf_dir):
+    """Parts written as CSV with newlines, commas and quotes inside cells, read back by records."""
+    part = read(spark, sf_dir, "part")
+    note = F.concat("p_name", F.lit("\n"), "p_brand", F.lit(', "'), "p_type", F.lit('"'))
+    cell = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), cell, F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(18,2)").cast("string"))
+    where = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    part.select(line.alias("value")).write.text(where)
+    rows = files.cells(files.records(spark, where))
+    return rows.select(F.get("cells", 0).cast("long").alias("key"), *(F.get("cells", i).alias(n) for i, n in ((1, "note"), (2, "size"), (3, "price"))))
+
+
+# Patterns, shares, entities, scanned pages
+
+
+@query("with m as (select doc_id, instr(text, 'MIT License') as p from documents where contains(text, 'MIT License')) select doc_id, 'License' as match, (p + 4)::int as position from m order by doc_id limit 20")
+def regex_python(spark, sf_dir):
+    """A look behind, which only Python's route takes."""
+    return retrieval.find_regex(read(spark, sf_dir, "documents"), "(?<=MIT )License", ignore_case=False)
+
+
+@query("""with s as (select s_suppkey::varchar as share_id, 'person' || (s_suppkey % 40) || '@x.org' as invited, s_acctbal > 0 as live from supplier),
+m as (select (l_suppkey)::varchar as share_id, 'person' || (l_partkey % 40) || '@x.org' as member from lineitem where l_discount > 0.09),
+e as (select distinct 'person' || (n_nationkey * 2) || '@x.org' as email from nation)
+select email, count(distinct case when live and (invited = email or member = email) then s.share_id end) as shares from e cross join s left join m on m.share_id = s.share_id group by 1""")
+def active_shares(spark, sf_dir):
+    """Suppliers as shares, line items as memberships; an address counts where it was invited or is a member."""
+    def mail(c):
+        return F.concat(F.lit("person"), c.cast("string"), F.lit("@x.org"))
+
+    shares = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("share_id"), mail(F.col("s_suppkey") % 40).alias("invited_email"), (F.col("s_acctbal") > 0).alias("is_active"))
+    members = read(spark, sf_dir, "lineitem").where("l_discount > 0.09").select(F.col("l_suppkey").cast("string").alias("share_id"), mail(F.col("l_partkey") % 40).alias("user_id"))
+    return governance.active_shares(read(spark, sf_dir, "nation").select(mail(F.col("n_nationkey") * 2).alias("email")), shares, members)
+
+
+NAMED = "what of Acme Building and Nation7"
+
+
+@query(f"""with q as (select embedding::double[] as v from embeddings where vec_id = 7), e as (select c_custkey as doc_id, unnest(['acme ' || lower(c_mktsegment), 'nation' || c_nationkey]) as entity from customer),
+df as (select entity, count(*) as df from e group by 1), u as (select entity, 1 - df / (select max(df) from df) as rarity from df where df >= 2 and df <= greatest(2, floor(0.3 * (select count(*) from customer)))),
+h as (select doc_id, count(*) as n, case when count(*) >= 2 then 0.2 * sum(rarity) / (1 + sum(rarity)) else 0.0 end as lift from e join u using (entity) where entity in ('acme building', 'nation7') group by 1 order by n desc, doc_id limit 100),
+c as (select vec_id as doc_id, {COSINE} as s from embeddings e cross join q), f as (select * from c order by s desc, doc_id limit 10),
+o as (select h.doc_id, coalesce(s, 0.0) + lift as score from (select * from h where doc_id not in (select doc_id from f) order by n desc, doc_id limit 25) h left join c using (doc_id)),
+a as (select f.doc_id, s + coalesce(lift, 0.0) as score from f left join h using (doc_id) union all select * from o)
+select doc_id, round(score, 6) as score from (select * from a order by score desc, doc_id limit 10)""")
+def entity_search(spark, sf_dir):
+    """Vector search over customers' notes, raised by and completed with what names the query's entities."""
+    text = F.concat(F.lit("we heard of Acme "), F.initcap("c_mktsegment"), F.lit(" and Nation"), "c_nationkey", F.lit(" today"))
+    docs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    held = stored(content.entities(docs), "entities")
+    asked = content.asked_entities(content.usable_entities(held, docs.count()), NAMED)
+    vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    found = search.search(docs.select("doc_id", F.lit(0.0).alias("score")), vectors, _vector(spark, sf_dir, [7]), mode="semantic", shared=retrieval.entity_hits(held, asked))
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("select s_suppkey as doc_id, s_name || chr(10) || 'Total | ' || s_suppkey || ' | USD' || chr(10) || 'Sep 1' || chr(10) || 'Ref: a-b' as text from supplier")
+def ocr_lines(spark, sf_dir):
+    """Pages of suppliers with a case of each rule: only four lines of each stay."""
+    noise = ["|--+--|", "=====", "| -- | == |", "|  :: | _ |", ".,'", "a1", "x-2", "1234-5", "I l O x", "--ab--", "c; 12", "§§§§", "~~ ~~"]
+    text = F.concat(F.lit("\n".join(noise[:6]) + "\n  "), "s_name", F.lit("  \n| Total :|  "), "s_suppkey", F.lit(" | USD |\n" + "\n".join(noise[6:]) + "\nSep 1\nRef: \t a-b\n\n"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), ocr_cleaned(text).alias("text"))
+
+
 # Scanners on made texts, whose results SQL can say
 
 

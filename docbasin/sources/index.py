@@ -112,7 +112,7 @@ def postings(index: Snapshot, terms: list[str] | None = None) -> DataFrame:
     rows = index.rows("postings", parts)
     if terms is not None:
         rows = rows.where(F.col("term").isin(terms))
-    return index.living(rows.drop("file")).select(index.key, "collection", "length", "term", "tf")
+    return index.living(rows).drop("file", "segment", "bucket")
 
 
 def documents(index: Snapshot) -> DataFrame:
@@ -132,17 +132,21 @@ def _weights(asked: dict[str, int], df: dict[str, int], n: int) -> Column:
     return F.create_map(*(F.lit(x) for t, d in sorted(df.items()) for x in (t, asked[t] * idf(d))))[F.col("term")]
 
 
-def scores(index: Snapshot, query: str) -> DataFrame:
-    """key, score: BM25 of one query. Its terms' document frequencies, a row each, are counted first."""
+def scores(index: Snapshot, query: str, unit: str | None = None) -> DataFrame:
+    """key, score: BM25 of one query. Its terms' document frequencies, a row each, are counted first.
+
+    `unit` is what the postings are of, if not of the store's key: chunks of documents, say.
+    """
+    unit = unit or index.key
     wanted = retrieval.query_tokens(query)
     asked = {t: wanted.count(t) for t in sorted(set(wanted))}
     mine = postings(index, list(asked))
     df = {r.term: r.df for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()} if asked else {}
     if not df:
-        return mine.select(index.key, F.lit(0.0).alias("score")).limit(0)
+        return mine.select(unit, F.lit(0.0).alias("score")).limit(0)
     n, mean = figures(index)
     part = _weights(asked, df, n) * retrieval.term_score(F.col("tf"), F.col("length"), F.lit(mean))
-    return mine.groupBy(index.key).agg(F.sum(part).alias("score"))
+    return mine.groupBy(unit).agg(F.sum(part).alias("score"))
 
 
 def search(index: Snapshot, queries: DataFrame, k: int = 10) -> DataFrame:
