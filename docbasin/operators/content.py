@@ -128,9 +128,69 @@ def code_chunks(files: DataFrame, language: str, key: str = "doc_id", text: str
     return files.select(key, text).mapInPandas(run, f"{typed(files, key)}, kind string, name string, first_line int, last_line int, text string")
 
 
+def chunk_pages(pages: DataFrame, size: int = 600, overlap: int = 100, key: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """key, page, chunk_index (from 0 on each page), text; blank pages have no chunks."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, p, i, c) for k, p, t in zip(b[key], b[page], b[text], strict=True) if t is not None and t.strip() for i, c in enumerate(scan.chunks(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=[key, page, "chunk_index", "text"])
+
+    return pages.select(key, page, text).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, chunk_index int, text string")
+
+
+def policy_pages(pages: DataFrame, rules: list[tuple] | None = None, key: str = "document_id", page: str = "page_number", text: str = "text", code: str | None = None) -> DataFrame:
+    """key, page, score, flagged, critical, hits (category -> matches), findings; `code` names a boolean column: of code only secrets and credentials count."""
+    chosen = rules or scan.POLICY
+    names = ["category", "rule", "severity", "place", "excerpt"]
+
+    def run(batches):
+        for b in batches:
+            of = b[code] if code else [False] * len(b)
+            found = [scan.policy_report(t or "", chosen, bool(c)) for t, c in zip(b[text], of, strict=True)]
+            yield pd.DataFrame({key: b[key], page: b[page], **{n: [f[n] for f in found] for n in ("score", "flagged", "critical", "hits")}, "findings": [[dict(zip(names, x, strict=True)) for x in f["findings"]] for f in found]})
+
+    finding = "findings array<struct<category:string,rule:string,severity:string,place:int,excerpt:string>>"
+    columns = [key, page, text, *([code] if code else [])]
+    return pages.select(*columns).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, score double, flagged boolean, critical boolean, hits map<string,long>, {finding}")
+
+
 def document_policy(pages: DataFrame, key: str = "document_id") -> DataFrame:
-    """Page results of `policy` (key, page columns) folded by document: the largest score, whether any page is flagged or critical, the pages flagged."""
-    return pages.groupBy(key).agg(F.max("score").alias("score"), F.bool_or("flagged").alias("flagged"), F.bool_or("critical").alias("critical"), F.count_if("flagged").alias("flagged_pages"))
+    """Page results of `policy` or `policy_pages` folded by document: the largest score, whether any page is flagged or critical, the
+    pages flagged, and, of policy_pages, the matches of each category on all pages."""
+    totals = [F.max("score").alias("score"), F.bool_or("flagged").alias("flagged"), F.bool_or("critical").alias("critical"), F.count_if("flagged").alias("flagged_pages")]
+    out = pages.groupBy(key).agg(*totals)
+    if "hits" not in pages.columns:
+        return out
+    each = pages.select(key, F.explode("hits").alias("category", "n")).groupBy(key, "category").agg(F.sum("n").alias("n"))
+    hits = each.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("hits"))  # a few categories
+    return out.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.create_map().cast("map<string,bigint>")))
+
+
+#: Categories that quarantine a document on a second opinion alone.
+CRITICAL = {c for c, _, _, severity, _ in scan.POLICY if severity == "critical"}
+
+
+def decided(documents: DataFrame, action: str = "flag", opinions: DataFrame | None = None, key: str = "document_id") -> DataFrame:
+    """document_policy() -> with status and suggested. opinions (key, categories array, confidence): a second reader's view.
+
+    An opinion with categories flags a document from a confidence of 0.5 on, and counts as critical from 0.7 on if one of
+    them is. Critical documents are quarantined even under `flag`; under `off` all are clear.
+    """
+    if action not in ("off", "flag", "quarantine", "reject"):
+        raise ValueError(f"unknown action {action!r}")
+    rows = documents
+    flags, critical = F.lit(False), F.lit(False)
+    if opinions is not None:
+        rows = rows.join(opinions.select(key, F.col("categories").alias("__said"), F.col("confidence").alias("__sure")), key, "left")
+        said, sure = F.coalesce(F.size("__said") > 0, F.lit(False)), F.coalesce("__sure", F.lit(0.0))
+        flags = said & (sure >= 0.5)
+        critical = F.coalesce(F.arrays_overlap("__said", F.array(*map(F.lit, sorted(CRITICAL)))), F.lit(False)) & (sure >= 0.7)
+    after = {"off": "clear", "flag": "flagged", "quarantine": "quarantined", "reject": "rejected"}[action]
+    clear = F.lit(action == "off") | ~(F.col("flagged") | flags)
+    status = F.when(clear, "clear").when(F.col("critical") | critical, "rejected" if action == "reject" else "quarantined").otherwise(after)
+    hint = F.exists(F.map_keys("hits"), lambda c: c.isin(sorted(scan.IN_CODE)))
+    return rows.select(*documents.columns, status.alias("status"), F.when(hint, "confidential").alias("suggested"))
 
 
 def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -103,3 +103,31 @@ def active_shares(emails: DataFrame, shares: DataFrame, members: DataFrame, excl
     joined = members.select(F.lower("user_id").alias("email"), "share_id").join(wanted, "email").join(live.select("share_id"), "share_id").select("email", "share_id")
     counted = invited.unionByName(joined).groupBy("email").agg(F.count_distinct("share_id").alias("shares"))
     return wanted.join(counted, "email", "left").select("email", F.coalesce("shares", F.lit(0)).cast("long").alias("shares"))
+
+
+def usage_totals(events: DataFrame, by: str, sums: list[str], *, user: str = "user_id", time: str = "ts", cached: str | None = None, since: str | None = None) -> DataFrame:
+    """key (user, null as anonymous, or day), turns, a sum for each of `sums` (null: 0), cache_hits, last_used; ordered by key."""
+    key = F.coalesce(F.col(user).cast("string"), F.lit("anonymous")) if by == "user" else F.date_format(time, "yyyy-MM-dd")
+    rows = events.where(F.col(time) >= F.lit(since).cast("timestamp")) if since else events
+    hits = [F.count_if(cached).alias("cache_hits")] if cached else []
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("turns"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), *hits, F.max(time).alias("last_used")).orderBy("key")
+
+
+def corpus_state(documents: DataFrame) -> DataFrame:
+    """documents (num_pages, num_chunks, num_bytes, upload_timestamp, policy_status) -> counts and the version that changes with them."""
+    held = F.count_if(F.coalesce(F.col("policy_status") == "quarantined", F.lit(False)))
+    sums = {n: F.coalesce(F.sum(n), F.lit(0)) for n in ("num_pages", "num_chunks", "num_bytes")}
+    version = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.max("upload_timestamp").cast("string"), F.lit("")), sums["num_chunks"].cast("string"), held.cast("string"))
+    return documents.agg(F.count("*").alias("documents"), *(c.alias(n) for n, c in sums.items()), held.alias("quarantined"), version.alias("version"))
+
+
+def overview(documents: DataFrame, by: str, names: int = 50) -> DataFrame:
+    """documents (filename, num_pages, num_chunks, upload_timestamp) -> by, documents, num_pages, num_chunks, first, last, listed.
+
+    `listed` are the first names, and how many more there are. Only the first names of each part of the table are shuffled.
+    """
+    totals = documents.groupBy(by).agg(F.count("*").alias("documents"), F.coalesce(F.sum("num_pages"), F.lit(0)).alias("num_pages"), F.coalesce(F.sum("num_chunks"), F.lit(0)).alias("num_chunks"), F.min("upload_timestamp").alias("first"), F.max("upload_timestamp").alias("last"))
+    ranked = documents.select(by, "filename", F.row_number().over(Window.partitionBy(by).orderBy("filename")).alias("k")).where(F.col("k") <= names)
+    listed = ranked.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "filename"))), lambda x: x.filename), ", ").alias("listed"))
+    more = F.when(F.col("documents") > names, F.concat(F.lit(" (+"), (F.col("documents") - names).cast("string"), F.lit(" more)"))).otherwise("")
+    return totals.join(listed.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by").withColumn("listed", F.concat(F.coalesce("listed", F.lit("")), more))

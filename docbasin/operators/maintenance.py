@@ -27,6 +27,36 @@ def add_documents(documents: DataFrame, rows: DataFrame, blocked: DataFrame | No
     return out.withColumn("status", status).drop("there", "bad")
 
 
+#: Characters that a document written by a caller may have.
+MAX_CHARS = 2_000_000
+
+
+def write_documents(documents: DataFrame, rows: DataFrame, mode: str = "create") -> tuple[DataFrame, DataFrame]:
+    """documents and rows (filename, text) -> the table with the rows written, and filename, document_id, status of each.
+
+    create: a name that is there already is an error (`exists`, nothing is written); replace: the new text takes its place;
+    append: it goes behind the old text after an empty line. A content that another name holds is a `duplicate` and isn't
+    written; a text over MAX_CHARS is `too_long`. Names are unique in either table.
+    """
+    if mode not in ("create", "replace", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    old = documents.select("filename", F.col("text").alias("before"), F.lit(True).alias("there"))
+    both = rows.select("filename", F.coalesce("text", F.lit("")).alias("text")).join(old, "filename", "left")
+    gap = F.when(F.endswith("before", F.lit("\n\n")), "").when(F.endswith("before", F.lit("\n")), "\n").otherwise("\n\n")
+    text = F.when(F.col("there") & F.lit(mode == "append"), F.concat(F.coalesce("before", F.lit("")), gap, "text")).otherwise(F.col("text"))
+    made = both.select("filename", "there", F.length("text").alias("given"), text.alias("text"))
+    made = made.withColumn("content_hash", F.sha2("text", 256)).withColumn("document_id", F.substr("content_hash", F.lit(1), F.lit(16)))
+    holders = documents.select(F.sha2("text", 256).alias("content_hash"), F.col("filename").alias("holder")).groupBy("content_hash").agg(F.min("holder").alias("first"), F.max("holder").alias("last"))
+    made = made.join(holders, "content_hash", "left")
+    other = F.col("first").isNotNull() & ((F.col("first") != F.col("filename")) | (F.col("last") != F.col("filename")))
+    there = F.coalesce("there", F.lit(False))
+    done = {"create": "created", "replace": "replaced", "append": "appended"}[mode]
+    status = F.when(F.col("given") > MAX_CHARS, "too_long").when(there & F.lit(mode == "create"), "exists").when(other, "duplicate").when(there, done).otherwise("created")
+    said = made.withColumn("status", status)
+    written = said.where(F.col("status").isin("created", "replaced", "appended")).select("filename", "text", "content_hash", "document_id")
+    return upsert(documents, written, "filename"), said.select("filename", "document_id", "status")
+
+
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
     """Every table without the documents' rows."""
     return {name: frame.join(ids.select(key), key, "left_anti") if key in frame.columns else frame for name, frame in tables.items()}

@@ -215,6 +215,28 @@ def around(rows: DataFrame, anchors: DataFrame, document: str, position: str, wi
     return placed.join(at, [document, "place"], "left_semi")
 
 
+def context(chunks: DataFrame, document_id, *, chunk_id=None, page: int | None = None, window: int = 1, max_chars: int = 12_000) -> DataFrame:
+    """chunks (document_id, chunk_id, page_number, chunk_index, text) of one document, in reading order: those around a chunk, of a page, or all.
+
+    Of them the first that fit into max_chars (500 to 40,000; a separator counts one), the first always; `truncated` says
+    whether some did not. One document's chunks are ordered by one task.
+    """
+    mine = chunks.where(F.col("document_id") == document_id)
+    reading = Window.partitionBy("document_id").orderBy("page_number", "chunk_index")
+    placed = mine.withColumn("place", F.row_number().over(reading))
+    if chunk_id is not None:
+        anchor = F.max(F.when(F.col("chunk_id") == chunk_id, F.col("place"))).over(Window.partitionBy("document_id"))
+        placed = placed.withColumn("anchor", anchor).where(F.abs(F.col("place") - F.col("anchor")) <= max(window, 0)).drop("anchor")
+    elif page is not None:
+        placed = placed.where(F.col("page_number") == page)
+    limit = min(max(max_chars, 500), 40_000)
+    running = F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).over(Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("place").over(Window.partitionBy("document_id"))
+    fits = placed.select("*", running.alias("used"), first.alias("first")).withColumn("fits", (F.col("used") <= limit) | (F.col("place") == F.col("first")))
+    cut = fits.withColumn("truncated", ~F.bool_and("fits").over(Window.partitionBy("document_id")))
+    return cut.where("fits").select("document_id", "chunk_id", "page_number", "chunk_index", "text", "used", "truncated").orderBy("page_number", "chunk_index")
+
+
 def within_budget(rows: DataFrame, document: str, position: str, text: str, max_chars: int) -> DataFrame:
     """Of each document the first rows that fit into `max_chars` (a separator counts one); the first always."""
     w = Window.partitionBy(document).orderBy(position)

@@ -703,6 +703,91 @@ def ocr_lines(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), ocr_cleaned(text).alias("text"))
 
 
+# Policy over pages, context, writes, usage and state
+
+
+@query("""with s as (select s_suppkey as k, s_suppkey % 3 = 0 as key, s_suppkey % 2 = 0 as dump, s_suppkey % 5 as o from supplier)
+select k as document_id, case when key or dump then 0.6 else 0.0 end::double as score, dump as flagged, false as critical, dump::int::bigint as flagged_pages,
+  concat_ws(',', case when dump then 'credential_dump:2' end, case when key then 'secrets:1' end) as hits,
+  case when not (dump or o in (0, 1)) then 'clear' when o = 0 then 'quarantined' else 'flagged' end as status, case when key or dump then 'confidential' end as suggested from s""")
+def policy_fold(spark, sf_dir):
+    """Two pages a supplier, and a second reader's opinion on two fifths of them."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"), "s_name")
+    page = lambda n, text: s.select("document_id", F.lit(n).alias("page_number"), text.alias("text"))
+    key = F.when(F.col("document_id") % 3 == 0, "-----BEGIN RSA PRIVATE KEY-----").otherwise("nothing")
+    dump = F.when(F.col("document_id") % 2 == 0, "fullz here and cvv dumps").otherwise("plain words")
+    pages = page(1, F.concat("s_name", F.lit(" "), key)).unionByName(page(2, dump))
+    folded = content.document_policy(content.policy_pages(pages))
+    of = F.col("document_id") % 5
+    opinions = s.where(of <= 2).select("document_id", F.array(F.when(of == 0, "csae").otherwise("spam")).alias("categories"), F.when(of == 0, 0.8).when(of == 1, 0.6).otherwise(0.4).alias("confidence"))
+    return content.decided(folded, "flag", opinions).withColumn("hits", F.array_join(F.transform(F.map_entries("hits"), lambda e: F.concat_ws(":", e.key, e.value.cast("string"))), ","))
+
+
+@query("""select s_suppkey as document_id, 'credential_dump' as category, 'card_dump_terms' as rule, 'high' as severity, (length(s_name) + 1)::int as place, 'fullz' as excerpt from supplier
+  union all select s_suppkey, 'drug_trade', 'darknet_market', 'medium', (length(s_name) + 7)::int, 'dark web market' from supplier where s_suppkey % 2 = 1""")
+def policy_findings(spark, sf_dir):
+    """Findings with their places; in code, every other supplier here, only secrets and credentials count."""
+    pages = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"), F.lit(1).alias("page_number"), F.concat("s_name", F.lit(" fullz dark web market")).alias("text"), (F.col("s_suppkey") % 2 == 0).alias("is_code"))
+    return content.policy_pages(pages, code="is_code").select("document_id", F.explode("findings").alias("f")).select("document_id", "f.*")
+
+
+@query("select o_orderkey as document_id, unnest([1, 3])::int as page_number, 0 as chunk_index, unnest(['Order ' || o_orderkey, ' Status ' || o_orderstatus || ' ']) as text from orders")
+def chunk_by_page(spark, sf_dir):
+    """Three pages an order, of which the second is blank; a page that fits a chunk stays as it is."""
+    pages = F.array(F.struct(F.lit(1).alias("page_number"), F.concat(F.lit("Order "), "o_orderkey").alias("text")), F.struct(F.lit(2).alias("page_number"), F.lit(" \n ").alias("text")), F.struct(F.lit(3).alias("page_number"), F.concat(F.lit(" Status "), "o_orderstatus", F.lit(" ")).alias("text")))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.explode(pages).alias("p")).select("document_id", "p.*")
+    return content.chunk_pages(rows)
+
+
+CHAT = "(select min(conv_id) from conversations)"
+
+
+@query(f"with c as (select conv_id || ':' || turn as chunk_id, turn, sum(length(text) + 1) over (order by turn) as used, row_number() over (order by turn) as p from conversations where conv_id = {CHAT}) select chunk_id, used::bigint as used, not (select bool_and(used <= 500 or p = 1) from c) as truncated from c where used <= 500 or p = 1")
+def context_read(spark, sf_dir):
+    """The whole first conversation, as far as 500 characters go."""
+    rows = read(spark, sf_dir, "conversations")
+    first = rows.agg(F.min("conv_id").alias("c")).first().c
+    chunks = rows.select(F.col("conv_id").alias("document_id"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.lit(1).alias("page_number"), F.col("turn").alias("chunk_index"), "text")
+    return retrieval.context(chunks, first, max_chars=100).select("chunk_id", "used", "truncated")
+
+
+@query("""with n as (select n_name, 'Nation ' || n_nationkey || case when n_nationkey % 2 = 0 then chr(10) else '' end as text, n_regionkey from nation),
+r as (select r_name as filename, 'Region' as text from region where r_regionkey = 0 union all select n_name, 'more' from nation where n_regionkey = 1)
+select n_name as filename, text || case when n_regionkey = 1 then case when text like '%' || chr(10) then chr(10) else chr(10) || chr(10) end || 'more' else '' end as text from n union all select filename, text from r where filename not in (select n_name from nation)""")
+def write_append(spark, sf_dir):
+    """Nations as documents; a line more for those of one region, and a region that is new."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    text = F.concat(F.lit("Nation "), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "\n").otherwise(""))
+    documents = nation.select(F.col("n_name").alias("filename"), text.alias("text"))
+    rows = region.where("r_regionkey = 0").select(F.col("r_name").alias("filename"), F.lit("Region").alias("text")).unionByName(nation.where("n_regionkey = 1").select(F.col("n_name").alias("filename"), F.lit("more").alias("text")))
+    return maintenance.write_documents(documents, rows, "append")[0].select("filename", "text")
+
+
+@query("select coalesce(user_id::varchar, 'anonymous') as key, count(*) as turns, coalesce(sum((props::json->>'k')::bigint), 0)::bigint as tokens, count(*) filter (where event_type = 'click') as cache_hits, max(ts) as last_used from events group by 1")
+def usage_totals(spark, sf_dir):
+    events = read(spark, sf_dir, "events").withColumns({"tokens": F.get_json_object("props", "$.k").cast("long"), "hit": F.col("event_type") == "click"})
+    return governance.usage_totals(events, "user", ["tokens"], cached="hit")
+
+
+STATE = "select doc_id, source, n_chars, coalesce(toxic, 0) as toxic, lpad(doc_id::varchar, 8, '0') as filename from documents left join labels using (doc_id)"
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return docs.select("source", F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("filename"), F.lit(1).alias("num_pages"), F.ceil(F.col("n_chars") / 600).alias("num_chunks"), F.col("n_chars").alias("num_bytes"), F.col("n_chars").alias("upload_timestamp"), F.when(F.col("toxic") == 1, "quarantined").alias("policy_status"))
+
+
+@query(f"with s as ({STATE}) select count(*) as documents, count(*) as num_pages, sum(ceil(n_chars / 600))::bigint as num_chunks, sum(n_chars)::bigint as num_bytes, count(*) filter (where toxic = 1) as quarantined, count(*)::varchar || ':' || max(n_chars)::varchar || ':' || sum(ceil(n_chars / 600))::bigint::varchar || ':' || (count(*) filter (where toxic = 1))::varchar as version from s")
+def corpus_state(spark, sf_dir):
+    return governance.corpus_state(_state(spark, sf_dir))
+
+
+@query(f"""with s as ({STATE}) select source, count(*) as documents, count(*)::bigint as num_pages, sum(ceil(n_chars / 600))::bigint as num_chunks, min(n_chars) as first, max(n_chars) as last,
+  array_to_string((list(filename order by filename))[1:50], ', ') || case when count(*) > 50 then ' (+' || (count(*) - 50)::varchar || ' more)' else '' end as listed from s group by 1""")
+def overview_sources(spark, sf_dir):
+    return governance.overview(_state(spark, sf_dir), "source")
+
+
 # Scanners on made texts, whose results SQL can say
 
 

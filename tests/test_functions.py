@@ -158,3 +158,26 @@ def test_names_and_headers():
     assert [safe_name(n) for n in ("Trade Date", "1st", "a-b", "")] == ["Trade_Date", "_1st", "a_b", "column"]
     assert sniff(["Report;;", "Name;Qty;Price", "a;1;2.5", "b;3;4"]) == (";", 1)
     assert sniff(["a,b", "c,d"]) == (",", 0)
+
+
+def test_scans_take_linear_time():
+    import time
+
+    texts = {"policy": lambda n: scan.policy("x" * n), "pascal": lambda n: scan.code_symbols("procedure x;\n" * (n // 12), "pascal"), "bodies": lambda n: scan.code_symbols("procedure x;\n" * (n // 24) + "begin\nend;\n" * (n // 24), "pascal"), "tags": lambda n: scan.html_sections("<a " * (n // 3))}
+    for name, run in texts.items():
+        def seconds(n, run=run):
+            began = time.process_time()
+            run(n)
+            return time.process_time() - began
+
+        seconds(2000)
+        assert seconds(200_000) < 30 * max(seconds(20_000), 0.005) + 0.5, name
+
+
+def test_policy_in_code_and_its_findings():
+    text = "-----BEGIN RSA PRIVATE KEY----- and dark web market " + "loli " * 5
+    found = scan.policy_report(text)
+    assert found["critical"] and found["hits"] == {"secrets": 1, "drug_trade": 1, "csae": 5}
+    assert [f[3] for f in found["findings"] if f[0] == "csae"] == [52, 57, 62]
+    assert scan.policy_report(text, code=True)["hits"] == {"secrets": 1} and not scan.policy_report(text, code=True)["flagged"]
+    assert len(scan.policy_report("x fullz " + "k" * 5)["findings"][0][4]) == 5
