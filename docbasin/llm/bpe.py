@@ -25,11 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docbasin.llm.common import arrow, pieces, read
+from docbasin.llm.common import arrow, pieces, read, trim
 
 #: Bounds of a task's tables: states of the transducer, and words in each of two generations of kept encodings.
 MAX_STATES = 200_000
 MAX_WORDS = 150_000
+#: A stage among others keeps so many times fewer: its workers have served the stages before.
+STAGE_SHARE = 4
 #: Moves of the decoder that are kept: a state and a token each.
 MAX_MOVES = 100_000
 #: Bits of a token in a move of the transducer, which is one number: the next state, then the token.
@@ -271,8 +273,8 @@ class StreamingDecoder:
 class Tokenizer:
     """Pattern and transducer together; encodings of words are kept, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, max_words: int = MAX_WORDS):
-        self.fst = Transducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, max_words: int = MAX_WORDS, max_states: int = MAX_STATES):
+        self.fst = Transducer(load_ranks(path), max_states)
         self.find = regex.compile(pattern).findall
         self.max_words, self.kept, self.older = max_words, {}, {}
         self.names = [str(i) for i in range(len(self.fst.bytes_of))]
@@ -309,8 +311,8 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+def tokenizer(path: str, pattern: str, max_words: int = MAX_WORDS, max_states: int = MAX_STATES) -> Tokenizer:
+    return Tokenizer(path, pattern, max_words, max_states)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
@@ -350,7 +352,7 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes), "n_tokens long", "token_ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
+        tok = tokenizer(path, pattern, MAX_WORDS // STAGE_SHARE, MAX_STATES // STAGE_SHARE)
         for piece in pieces(batches):
             found = [tok.encode(t or "") for t in piece["text"].to_pylist()]
             for text, ids in zip(piece["text"].to_pylist(), found, strict=True):
@@ -358,6 +360,7 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     raise ValueError("a text doesn't come back from its tokens")
             yield pa.RecordBatch.from_arrays([*(piece[c] for c in rest), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=[*rest, "n_tokens", "token_ids"])
         tok.forget()
+        trim()
 
     return arrow(docs.select("text", *rest)).mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -44,8 +45,17 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
                 begin, total = i, 0
             total += int(n)
         yield batch.slice(begin)
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that nothing uses back to the system: workers wait idle between tasks."""
     gc.collect()
-    pa.default_memory_pool().release_unused()  # workers wait idle between tasks
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int, rows: int) -> Iterator[pa.RecordBatch]:
