@@ -35,6 +35,12 @@ def filtered(documents: DataFrame, *, ids: list | None = None, formats: list[str
     return out
 
 
+def named_like(documents: DataFrame, part: str, name: str = "filename") -> DataFrame:
+    """Documents whose name holds a text, ignoring case; % and _ in it stand for themselves."""
+    plain = part.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return documents.where(F.col(name).ilike(f"%{plain}%"))
+
+
 def usage(events: DataFrame, by: str, *, user: str = "user_id", time: str = "ts", value: str = "value", since: str | None = None) -> DataFrame:
     """Turns, sum and last time by user (null: anonymous) or by day."""
     key = F.coalesce(F.col(user).cast("string"), F.lit("anonymous")) if by == "user" else F.date_format(time, "yyyy-MM-dd")

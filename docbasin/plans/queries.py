@@ -250,7 +250,7 @@ def recent_docs(spark, sf_dir):
 
 @query(r"select page_id, url from pages where url ilike '%\_source=%' escape '\'")
 def filename_like(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where(F.col("url").ilike(r"%\_source=%")).select("page_id", "url")
+    return governance.named_like(read(spark, sf_dir, "pages"), "_SOURCE=", "url").select("page_id", "url")
 
 
 @query("select d.doc_id, coalesce(l.toxic, 0) as toxic from documents d left join labels l on d.doc_id = l.doc_id where coalesce(l.toxic, 0) <> 1")
@@ -788,6 +788,152 @@ def overview_sources(spark, sf_dir):
     return governance.overview(_state(spark, sf_dir), "source")
 
 
+# Catalogue and maintenance over the tables: customers as documents of collections (their nations), orders as jobs and searches
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Customers as documents: status by balance, label by segment."""
+    c = read(spark, sf_dir, "customer")
+    status = F.when(F.col("c_acctbal") < -500, "quarantined").when(F.col("c_acctbal") < 0, "flagged").when(F.col("c_acctbal") < 1000, "clear")
+    return c.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename"), F.col("c_nationkey").cast("string").alias("collection_id"), status.alias("policy_status"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("upload_timestamp"), F.col("c_mktsegment").alias("label"), F.sha2("c_name", 256).alias("content_hash"))
+
+
+DOCS_SQL = "d as (select c_custkey as document_id, c_name as filename, c_nationkey::varchar as collection_id, case when c_acctbal < -500 then 'quarantined' when c_acctbal < 0 then 'flagged' when c_acctbal < 1000 then 'clear' end as policy_status, c_acctbal::decimal(18, 2)::varchar as upload_timestamp, c_mktsegment as label, sha256(c_name) as content_hash from customer)"
+
+
+@query(f"with {DOCS_SQL} select document_id, policy_status, upload_timestamp from d where policy_status in ('flagged', 'quarantined')")
+def review_queue(spark, sf_dir):
+    return maintenance.review_queue(_documents(spark, sf_dir)).select("document_id", "policy_status", "upload_timestamp")
+
+
+@query(f"with {DOCS_SQL} select document_id, filename from d where filename like '%7' and coalesce(policy_status, 'clear') <> 'quarantined' and document_id = (select min(document_id) from d where filename like '%7')")
+def document_by_id(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    first = docs.where(F.col("filename").endswith("7")).agg(F.min("document_id")).first()[0]
+    return catalog.document(docs, first).select("document_id", "filename")
+
+
+@query(f"with {DOCS_SQL} select document_id, filename, case when label = 'BUILDING' then null else policy_status end as policy_status, case when label = 'BUILDING' then 'restricted' else label end as label from d")
+def governance_update(spark, sf_dir):
+    """A label set, a status cleared to null, all other columns and rows left alone."""
+    return maintenance.set_where(_documents(spark, sf_dir), F.col("label") == "BUILDING", policy_status=None, label="restricted").select("document_id", "filename", "policy_status", "label")
+
+
+@query(f"with {DOCS_SQL} select document_id, filename from d where content_hash not in (select sha256(c_name) from customer where c_acctbal < -900) union all select -s_suppkey, s_name from supplier where sha256(s_name) not in (select content_hash from d)")
+def documents_added(spark, sf_dir):
+    """Customers and suppliers offered for ingest to an empty catalogue of suppliers' names; blocked contents stay out."""
+    docs = _documents(spark, sf_dir)
+    blocked = docs.where(F.col("upload_timestamp").cast("double") < -900).select("content_hash")
+    rows = docs.select(F.col("filename").alias("text"), "filename", F.col("document_id").alias("id")).unionByName(read(spark, sf_dir, "supplier").select(F.col("s_name").alias("text"), F.col("s_name").alias("filename"), (-F.col("s_suppkey")).alias("id")))
+    said = maintenance.add_documents(docs.limit(0), rows, blocked)
+    return said.where("status = 'new'").select(F.col("id").alias("document_id"), "filename")
+
+
+@query("select collection_id, max_by(permission, r) as permission from (select s_nationkey::varchar as collection_id, 'read' as permission, 1 as r from supplier union all select c_nationkey::varchar, 'write', 2 from customer where c_acctbal > 9900 union all select n_nationkey::varchar, 'owner', 3 from nation where n_regionkey = 2) group by 1")
+def visible_collections(spark, sf_dir):
+    team = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("collection_id"), F.lit("read").alias("permission"))
+    shared = read(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("string").alias("collection_id"), F.lit("write").alias("permission"))
+    own = read(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").cast("string").alias("collection_id"), F.lit("owner").alias("permission"))
+    return maintenance.visible_collections([team, shared, own])
+
+
+@query("select o_orderkey as job_id, case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'done' end as status from orders where o_orderstatus in ('O', 'P')")
+def active_jobs(spark, sf_dir):
+    return catalog.active_jobs(_jobs(spark, sf_dir))
+
+
+@query("select o_orderkey as job_id, case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'done' end as status from orders order by o_orderkey desc limit 200")
+def recent_jobs(spark, sf_dir):
+    return catalog.recent_jobs(_jobs(spark, sf_dir), 500)
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"))
+
+
+@query("select event_id as search_id, ts as timestamp, (props::json->>'k')::bigint as k from events order by ts desc, event_id desc limit 50")
+def search_history(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("search_id"), F.col("ts").alias("timestamp"), F.col("props").alias("payload"))
+    return catalog.recent_history(events, "k long").select("search_id", "timestamp", F.col("payload.k").alias("k"))
+
+
+@query("select conv_id as document_id, turn as chunk_index from conversations qualify row_number() over (partition by conv_id order by turn) = 1 order by conv_id limit 6")
+def starters(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    return maintenance.starters(rows).select("document_id", "chunk_index")
+
+
+@query(f"with {DOCS_SQL} select document_id, collection_id from d union all select document_id, 'copy' from d where collection_id = '3'")
+def collection_cloned(spark, sf_dir):
+    return catalog.cloned(_documents(spark, sf_dir).select("document_id", "collection_id"), "3", "copy", 10, 20, 100)
+
+
+@query(f"with {DOCS_SQL} select document_id, collection_id from d where collection_id <> '3'")
+def collection_cleared(spark, sf_dir):
+    return catalog.cleared({"documents": _documents(spark, sf_dir), "regions": read(spark, sf_dir, "region")}, "3")["documents"].select("document_id", "collection_id")
+
+
+@query(f"with {DOCS_SQL} select document_id from d where document_id not in (select s_suppkey from supplier)")
+def documents_deleted(spark, sf_dir):
+    gone = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"))
+    return maintenance.delete_documents({"documents": _documents(spark, sf_dir)}, gone)["documents"].select("document_id")
+
+
+@query(f"with {DOCS_SQL} select document_id, label from d where collection_id in ('1', '4') and document_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def selected_sources(spark, sf_dir):
+    """What a token's scope, a selection and a filter leave together."""
+    docs = _documents(spark, sf_dir)
+    scoped = catalog.scoped(docs.withColumn("restricted", F.lit(True)), ["1", "4"])
+    return catalog.selected(scoped, ["BUILDING", "MACHINERY"], ["BUILDING"], "label").select("document_id", "label")
+
+
+@query("select n_name as name, 'T' || n_regionkey as topic from nation")
+def expertise(spark, sf_dir):
+    people = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("person_id"), F.col("n_name").alias("name"))
+    topics = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("person_id"), F.concat(F.lit("T"), "n_regionkey").alias("topic"))
+    return catalog.expertise(people, topics)
+
+
+@query("select count(*) as entries, coalesce(sum((props::json->>'k')::bigint), 0)::bigint as hits from events")
+def cache_totals(spark, sf_dir):
+    return catalog.cache_stats(read(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("hits")))
+
+
+@query("select event_id as entry_id, 'u' || coalesce(user_id, 0) as scope_key from events where coalesce(user_id, 0) <> 7")
+def cache_cleared(spark, sf_dir):
+    """A scope's entries go, with and without settings; scopes that begin alike stay."""
+    scope = F.concat(F.lit("u"), F.coalesce("user_id", F.lit(0)).cast("string"))
+    entries = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.when(F.col("event_id") % 2 == 0, F.concat(scope, F.lit("#x"))).otherwise(scope).alias("scope_key"))
+    left = catalog.cache_cleared(entries, "u7")
+    return left.select("entry_id", F.regexp_replace("scope_key", "#x$", "").alias("scope_key"))
+
+
+@query("with r as (select 'c' || s_suppkey as document_id, s_name as filename, 'csv_' || s_suppkey as table_name, row_number() over (order by s_name) as k from supplier) select document_id, table_name from r where document_id = 'c3'")
+def table_resolved(spark, sf_dir):
+    """A table by its file's name."""
+    tables_ = read(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("document_id"), F.lit("s").alias("sheet_name"), F.col("s_name").alias("filename"), F.concat(F.lit("csv_"), "s_suppkey").alias("table_name"), F.lit(1).alias("row_count"), F.lit("[]").alias("columns"))
+    return registry.resolve(tables_, "Supplier#000000003").select("document_id", "table_name")
+
+
+@query("select 'csv_' || s_suppkey as table_name, 20 as chars, sum(20) over (order by s_name)::bigint as used from supplier where s_suppkey % 3 <> 0 qualify used <= 200")
+def tables_inlined(spark, sf_dir):
+    """Small tables in listing order while their texts fit."""
+    s = read(spark, sf_dir, "supplier")
+    listed = s.select(F.concat(F.lit("csv_"), "s_suppkey").alias("table_name"), F.col("s_name").alias("filename"), F.lit("s").alias("sheet_name"), F.when(F.col("s_suppkey") % 3 == 0, 151).otherwise(150).alias("row_count"))
+    texts = s.select(F.concat(F.lit("csv_"), "s_suppkey").alias("table_name"), F.repeat(F.lit("x"), 20).alias("json"))
+    return registry.inlined(listed, texts, 150, 200).select("table_name", "chars", F.col("used").cast("long").alias("used"))
+
+
+@query("select conv_id || ':' || turn as chunk_id, conv_id as document_id, turn, 'c' || conv_id as filename from conversations where turn = 1")
+def hits_described(spark, sf_dir):
+    """Hits with their chunk and their document's name."""
+    chunks = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_id"), "turn")
+    documents = chunks.select("document_id", F.concat(F.lit("c"), "document_id").alias("filename")).distinct()
+    hits = chunks.where("turn = 1").select("chunk_id", F.lit(1.0).alias("score"))
+    return catalog.described(hits, chunks, documents).select("chunk_id", "document_id", "turn", "filename")
+
+
 # Scanners on made texts, whose results SQL can say
 
 
