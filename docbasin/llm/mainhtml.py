@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docbasin.llm.common import arrow, pieces, read
 
 #: Pages made for fitting; rounds, depth and learning rate of the trees; bins of a feature.
-SPECIMENS, ROUNDS, DEPTH, RATE, BINS = 400, 40, 4, 0.25, 32
+SPECIMENS, ROUNDS, DEPTH, RATE, BINS = 400, 80, 4, 0.25, 32
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -327,6 +327,11 @@ def specimen(rng: np.random.Generator) -> str:
         items = [f'<a href="/x">{prose(1, 3)}</a>' for _ in range(rng.integers(lo, hi + 1))]
         return pick("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", " ".join(items), "".join(f"<p>{i}</p>" for i in items))
 
+    def references() -> str:
+        """A list of links that is part of an article."""
+        tag = pick("ul", "ol")
+        return f"<{tag}>" + "".join(f'<li>{pick("", "", prose(1, 6))}<a href="/r">{prose(1, 5)}</a>{pick("", prose(1, 8))}</li>' for _ in range(rng.integers(1, 7))) + f"</{tag}>"
+
     def named(group: int) -> str:
         token = pick(*sorted(TOKENS[group]))
         return pick(f' class="{token}"', f' id="{token}"', f' class="x-{token} b{rng.integers(9)}"', f' class="{token}-box"')
@@ -352,7 +357,7 @@ def specimen(rng: np.random.Generator) -> str:
     def article() -> str:
         body = [f"<h1>{prose(2, 14)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(int(rng.integers(1, 4) if rng.random() < 0.4 else rng.integers(2, 30))):
-            body.append(pick(*[f"<p>{prose(2, 120)}</p>"] * 8, f"<p>{prose(1, 6)}</p>", f"<p><b>{prose(2, 12)}<br>", f"<h2>{prose(1, 8)}</h2>", "<ul>" + "".join(f"<li>{prose(2, 25)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>", f"<blockquote><p>{prose(5, 40)}</p></blockquote>", f"<pre>{prose(3, 30)}</pre>", f'<p>{prose(3, 30)} <a href="/y">{prose(1, 4)}</a> {prose(3, 30)}</p>', f"<table><tr><td>{prose(1, 5)}</td><td>{prose(1, 5)}</td></tr></table>", f"{prose(5, 60)}"))
+            body.append(pick(*[f"<p>{prose(2, 120)}</p>"] * 8, f"<p>{prose(1, 6)}</p>", f"<p><b>{prose(2, 12)}<br>", f"<h2>{prose(1, 8)}</h2>", "<ul>" + "".join(f"<li>{prose(2, 25)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>", f"<blockquote><p>{prose(5, 40)}</p></blockquote>", f"<pre>{prose(3, 30)}</pre>", f'<p>{prose(3, 30)} <a href="/y">{prose(1, 4)}</a> {prose(3, 30)}</p>', f"<table><tr><td>{prose(1, 5)}</td><td>{prose(1, 5)}</td></tr></table>", f"{prose(5, 60)}", references()))
         for kind in ("ad", "share", "notice", "side", "form"):
             if rng.random() < 0.15:
                 body.insert(int(rng.integers(len(body) + 1)), extras[kind]())

@@ -374,6 +374,15 @@ def test_parsing_takes_linear_time(unit):
     assert seconds(20_000) < 40 * max(seconds(1000), 0.002) + 0.5
 
 
+@pytest.mark.parametrize("tag", ["ul", "ol"])
+def test_a_list_of_links_inside_an_article_stays(tag):
+    first, second = " ".join(["Leaves are picked by hand in spring."] * 8), " ".join(["Water is boiled, then left to cool."] * 7)
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav>"
+    refs = f"<{tag}><li><a href='/1'>Ref one</a></li><li><a href='/2'>Ref two</a></li></{tag}>"
+    html = f"<html><body>{menu}<article><h1>On tea</h1><p>{first}</p>{refs}<p>{second}</p></article><footer><p>(c) us</p></footer></body></html>"
+    assert page_text(html)[0] == f"On tea {first} Ref one Ref two {second}"
+
+
 def test_a_tag_that_is_never_closed_ends_the_page_as_text():
     assert mainhtml.closed("<p>a</p> b") == "<p>a</p> b" and mainhtml.closed("<p>a <b") == "<p>a <b" and mainhtml.closed("") == ""
     assert mainhtml.closed("<p>a <b c <d") == "<p>a <b c &lt;d"
