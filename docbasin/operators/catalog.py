@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docbasin.operators.content import form_fields
 from docbasin.operators.governance import visible
 
 
@@ -93,6 +94,15 @@ def chunks_of(chunks: DataFrame, document_id: str, limit: int = 1000) -> DataFra
     return chunks.where(F.col("document_id") == document_id).orderBy("page_number", "chunk_index").limit(limit)
 
 
+def inspected(chunks: DataFrame, documents: DataFrame, document_id: str, limit: int = 1000) -> DataFrame:
+    """chunks_of() with the form fields of each chunk's text (a map), for documents whose text was recognised (method ocr or hybrid); else none."""
+    mine = chunks_of(chunks, document_id, limit).join(documents.select("document_id", "method"), "document_id")
+    found = form_fields(mine.where(F.col("method").isin("ocr", "hybrid")), key="chunk_id")
+    fields = found.groupBy("chunk_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))  # 50 a chunk at most
+    none = F.create_map().cast("map<string,string>")
+    return mine.join(fields, "chunk_id", "left").withColumn("fields", F.coalesce("fields", none)).drop("method").orderBy("page_number", "chunk_index")
+
+
 def cache_stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 

@@ -91,6 +91,19 @@ def rows(table: DataFrame, names: dict[str, str] | None = None, limit: int = 200
     return first.select(*(F.col(f"`{c}`").alias((names or {}).get(c, c)) for c in table.columns if c != ROW and not c.endswith("__raw")))
 
 
+TABULAR = ("csv", "tsv", "xlsx", "xls")
+
+
+def as_json(table: DataFrame, filename: str, rows: int = 150) -> DataFrame:
+    """json: a table's rows in source order as one text, without raw companions; no row if it has more than `rows` or its file is no table's."""
+    columns = [c for c in table.columns if c != ROW and not c.endswith("__raw")]
+    if filename.rsplit(".", 1)[-1].lower() not in TABULAR:
+        return table.sparkSession.createDataFrame([], "json string")
+    first = table.where(F.col(ROW) <= rows + 1)  # so many at most are gathered
+    held = first.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(ROW, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row")))).alias("all"))
+    return held.where(F.col("n") <= rows).select(F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["row"]), ","), F.lit("]")).alias("json"))
+
+
 def inlined(registry: DataFrame, texts: DataFrame, rows: int = 150, budget: int = 60_000) -> DataFrame:
     """registry and texts (table_name, json) -> table_name, chars, used of small tables whose texts fit the budget, in listing order."""
     small = registry.where(F.col("row_count") <= rows).join(texts, "table_name").withColumn("chars", F.length("json"))

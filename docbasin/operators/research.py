@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docbasin.functions.requests import clean_queries, literals
@@ -61,3 +63,28 @@ def across(hits: dict[str, DataFrame | Exception], most: int = 8) -> tuple[DataF
             own = h.withColumn("collection_id", F.lit(c))
             out = own if out is None else out.unionByName(own)
     return out, failed
+
+
+def chosen_collections(wanted: list[str], available: list[str], most: int = 8) -> list[str]:
+    """The collections to search: those named, each once, or, for ["*"], the first `most` of those available."""
+    names = list(dict.fromkeys(wanted))
+    if names == ["*"]:
+        return list(available)[:most]
+    if not 1 <= len(names) <= most or "*" in names:
+        raise ValueError(f"1 to {most} collections, or * alone")
+    if odd := [n for n in names if n not in available]:
+        raise ValueError(f"unknown: {', '.join(odd)}")
+    return names
+
+
+def across_collections(spark: SparkSession, searches: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """As across(), from functions that search a collection each: a search is evaluated here (its hits are a top-k), so one that
+    fails when it runs is recorded by the kind of its failure and the others go on."""
+    found: dict[str, DataFrame | Exception] = {}
+    for name, search in searches.items():
+        try:
+            hits = search()
+            found[name] = spark.createDataFrame(hits.collect(), hits.schema)
+        except Exception as e:  # whatever one collection's search raises
+            found[name] = e
+    return across(found)

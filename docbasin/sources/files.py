@@ -221,20 +221,34 @@ def csv_prose(spark: SparkSession, path: str, per_page: int = 50) -> DataFrame:
     return paged.select("page", F.when(F.col("page") == 1, F.concat(F.lit(f"{head}\n{'-' * len(head)}\n"), "text")).otherwise(F.col("text")).alias("text"))
 
 
-def export_bundle(tables: dict[str, DataFrame], path: str, name: str) -> None:
-    """Tables as Parquet folders and a manifest; quarantined documents stay behind where a table says which they are."""
+def export_bundle(tables: dict[str, DataFrame], path: str, name: str, signature: str | None = None, key: str = "document_id") -> None:
+    """Tables as Parquet folders and a manifest with the signature of the vectors' model; quarantined documents stay behind in every table."""
     spark = next(iter(tables.values())).sparkSession
+    hidden = None
+    for frame in tables.values():
+        if "policy_status" in frame.columns and key in frame.columns:
+            own = frame.where(F.col("policy_status") == "quarantined").select(key)
+            hidden = own if hidden is None else hidden.unionByName(own)
     for table, frame in tables.items():
         kept = frame.where(F.coalesce("policy_status", F.lit("clear")) != "quarantined") if "policy_status" in frame.columns else frame
+        if hidden is not None and key in frame.columns:
+            kept = kept.join(hidden.distinct(), key, "left_anti").select(*frame.columns)
         kept.write.mode("overwrite").parquet(f"{path}/{table}")
-    manifest = json.dumps({"name": name, "tables": sorted(tables)})
+    manifest = json.dumps({"name": name, "tables": sorted(tables), "signature": signature})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
-def import_bundle(spark: SparkSession, path: str, blocked: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a bundle; documents whose content_hash is blocked stay out."""
+def import_bundle(spark: SparkSession, path: str, blocked: DataFrame | None = None, signature: str | None = None, key: str = "document_id") -> dict[str, DataFrame]:
+    """The tables of a bundle; documents whose content_hash is blocked stay out of every table. Vectors come along only if both
+    sides' models have the same signature; postings never do, as they are built anew."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
-    out = {t: spark.read.parquet(f"{path}/{t}") for t in manifest["tables"]}
+    names = [t for t in manifest["tables"] if t not in ("postings", "sizes") and (t != "vectors" or (signature is not None and manifest.get("signature") == signature))]
+    out = {t: spark.read.parquet(f"{path}/{t}") for t in names}
     if blocked is not None:
-        out = {t: f.join(blocked.select("content_hash"), "content_hash", "left_anti") if "content_hash" in f.columns else f for t, f in out.items()}
+        bad = [f.join(blocked.select("content_hash"), "content_hash", "left_semi").select(key) for f in out.values() if {"content_hash", key} <= set(f.columns)]
+        for t, f in out.items():
+            kept = f.join(blocked.select("content_hash"), "content_hash", "left_anti").select(*f.columns) if "content_hash" in f.columns else f
+            for ids in bad:
+                kept = kept.join(ids.distinct(), key, "left_anti").select(*f.columns) if key in f.columns else kept
+            out[t] = kept
     return out

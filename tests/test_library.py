@@ -365,3 +365,33 @@ def test_shares(spark):
     assert {tuple(r) for r in access.collect()} == {("c1", "ann@x.org", "read"), ("c2", "eve@x.org", "readwrite")}
     collections = spark.createDataFrame([("c1", 2), ("c2", 1)], "collection_id string, created_at int")
     assert [(r.collection_id, r.permission) for r in governance.shared_collections(collections, shares, members, "ann@x.org").collect()] == [("c1", "read"), ("c1", "readwrite")]
+
+
+def test_bundles_leave_out_what_is_hidden_blocked_or_of_another_model(spark, tmp_path):
+    documents = spark.createDataFrame([("d1", "h1", None), ("d2", "h2", "quarantined"), ("d3", "h3", "clear")], "document_id string, content_hash string, policy_status string")
+    vectors = spark.createDataFrame([(d, [1.0]) for d in ("d1", "d2", "d3")], "document_id string, embedding array<double>")
+    path = f"file://{tmp_path}/bundle"
+    files.export_bundle({"documents": documents, "vectors": vectors, "postings": vectors}, path, "b", "local::m")
+    same = files.import_bundle(spark, path, documents.where("document_id = 'd3'"), "local::m")
+    assert {t: {r.document_id for r in f.collect()} for t, f in same.items()} == {"documents": {"d1"}, "vectors": {"d1"}}
+    assert set(files.import_bundle(spark, path, signature="other")) == {"documents"} == set(files.import_bundle(spark, path))
+
+
+def test_collections_of_a_search_and_searches_that_fail_when_they_run(spark):
+    assert research.chosen_collections(["*"], list("abcdefghij")) == list("abcdefgh") and research.chosen_collections(["b", "a", "b"], ["a", "b"]) == ["b", "a"]
+    for bad in ([], ["a", "*"], ["x"], list("abcdefghi")):
+        with pytest.raises(ValueError):
+            research.chosen_collections(bad, list("abcdefghi"))
+    good = spark.createDataFrame([("k", 1.0)], "key string, score double")
+    found, failed = research.across_collections(spark, {"a": lambda: good, "b": lambda: good.select("key", F.raise_error(F.lit("x")).cast("double").alias("score"))})
+    assert [tuple(r) for r in found.collect()] == [("k", 1.0, "a")] and list(failed) == ["b"]
+
+
+def test_small_tables_as_json_and_fields_of_recognised_chunks(spark):
+    table = spark.createDataFrame([(2, "b", None, "x"), (1, "a", 1.5, "y")], f"{registry.ROW} long, name string, v double, v__raw string")
+    assert registry.as_json(table, "t.CSV").first().json == '[{"name":"a","v":1.5},{"name":"b","v":null}]'
+    assert registry.as_json(table, "t.csv", rows=1).isEmpty() and registry.as_json(table, "t.pdf").isEmpty()
+    chunks = spark.createDataFrame([("d1", "d1:0", 1, 0, "Order: 7\nStatus: open"), ("d1", "d1:1", 2, 0, "plain"), ("d2", "d2:0", 1, 0, "Order: 9")], "document_id string, chunk_id string, page_number int, chunk_index int, text string")
+    documents = spark.createDataFrame([("d1", "ocr"), ("d2", "text")], "document_id string, method string")
+    assert [(r.chunk_id, r.fields) for r in catalog.inspected(chunks, documents, "d1").collect()] == [("d1:0", {"Order": "7", "Status": "open"}), ("d1:1", {})]
+    assert [r.fields for r in catalog.inspected(chunks, documents, "d2").collect()] == [{}]
