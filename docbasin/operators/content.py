@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbasin.functions import scan
+from docbasin.session import arrow
+
+#: Characters of text that are scanned before their rows leave Python; a longer text is a piece of its own.
+PIECE_CHARS = 1 << 20
 
 
 def typed(docs: DataFrame, key: str) -> str:
@@ -16,13 +20,26 @@ def typed(docs: DataFrame, key: str) -> str:
     return f"`{key}` {docs.schema[key].dataType.simpleString()}"
 
 
+def pieces(batches: Iterator[pd.DataFrame], text: str, limit: int = PIECE_CHARS) -> Iterator[pd.DataFrame]:
+    """The rows of `batches` again, in their order, in frames of at most `limit` characters of `text`."""
+    for b in batches:
+        begin, total = 0, 0
+        for i, t in enumerate(b[text]):
+            n = len(t) if t is not None else 0
+            if total and total + n > limit:
+                yield b.iloc[begin:i]
+                begin, total = i, 0
+            total += n
+        yield b.iloc[begin:]
+
+
 def _split(docs: DataFrame, key: str, text: str, split: Callable[[str], list[str]], name: str) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             rows = [(k, i, p) for k, t in zip(b[key], b[text], strict=True) if t is not None for i, p in enumerate(split(t))]
             yield pd.DataFrame(rows, columns=[key, name, "text"])
 
-    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, {name} int, text string")
+    return arrow(docs.select(key, text)).mapInPandas(run, f"{typed(docs, key)}, {name} int, text string")
 
 
 def chunk(docs: DataFrame, size: int = 600, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,11 +104,11 @@ def policy(docs: DataFrame, action: str = "flag", rules: list[tuple] | None = No
     chosen = rules or scan.POLICY
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             found = [scan.policy(t or "", chosen) for t in b[text]]
             yield pd.DataFrame({key: b[key], "score": [f["score"] for f in found], "flagged": [f["flagged"] for f in found], "critical": [f["critical"] for f in found], "categories": [",".join(f["categories"]) for f in found], "suggested": [f["suggested"] for f in found]})
 
-    found = docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, critical boolean, categories string, suggested string")
+    found = arrow(docs.select(key, text)).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, critical boolean, categories string, suggested string")
     after = {"off": "clear", "flag": "flagged", "quarantine": "quarantined", "reject": "rejected"}[action]
     status = F.when(~F.col("flagged") | F.lit(action == "off"), "clear").when(F.col("critical") & F.lit(action == "flag"), "quarantined").otherwise(after)
     return found.withColumn("status", status)
@@ -99,21 +116,21 @@ def policy(docs: DataFrame, action: str = "flag", rules: list[tuple] | None = No
 
 def injection(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             found = [scan.injection(t or "") for t in b[text]]
             yield pd.DataFrame({key: b[key], "score": [f["score"] for f in found], "flagged": [f["flagged"] for f in found], "categories": [",".join(f["categories"]) for f in found]})
 
-    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, categories string")
+    return arrow(docs.select(key, text)).mapInPandas(run, f"{typed(docs, key)}, score double, flagged boolean, categories string")
 
 
 def form_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, likelihood, form_like."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             yield pd.DataFrame({key: b[key], "likelihood": [scan.form_likelihood(t or "") for t in b[text]]})
 
-    found = docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, likelihood double")
+    found = arrow(docs.select(key, text)).mapInPandas(run, f"{typed(docs, key)}, likelihood double")
     return found.withColumn("form_like", F.col("likelihood") >= scan.FORM_LIKE)
 
 
@@ -121,22 +138,22 @@ def code_chunks(files: DataFrame, language: str, key: str = "doc_id", text: str
     """key, kind, name, first_line, last_line, text."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             rows = [(k, c["kind"], c["name"], c["begin"], c["end"], c["text"]) for k, t in zip(b[key], b[text], strict=True) for c in scan.code_chunks(t or "", language, size, overlap)]
             yield pd.DataFrame(rows, columns=[key, "kind", "name", "first_line", "last_line", "text"])
 
-    return files.select(key, text).mapInPandas(run, f"{typed(files, key)}, kind string, name string, first_line int, last_line int, text string")
+    return arrow(files.select(key, text)).mapInPandas(run, f"{typed(files, key)}, kind string, name string, first_line int, last_line int, text string")
 
 
 def chunk_pages(pages: DataFrame, size: int = 600, overlap: int = 100, key: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
     """key, page, chunk_index (from 0 on each page), text; blank pages have no chunks."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             rows = [(k, p, i, c) for k, p, t in zip(b[key], b[page], b[text], strict=True) if t is not None and t.strip() for i, c in enumerate(scan.chunks(t, size, overlap))]
             yield pd.DataFrame(rows, columns=[key, page, "chunk_index", "text"])
 
-    return pages.select(key, page, text).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, chunk_index int, text string")
+    return arrow(pages.select(key, page, text)).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, chunk_index int, text string")
 
 
 def policy_pages(pages: DataFrame, rules: list[tuple] | None = None, key: str = "document_id", page: str = "page_number", text: str = "text", code: str | None = None) -> DataFrame:
@@ -145,14 +162,14 @@ def policy_pages(pages: DataFrame, rules: list[tuple] | None = None, key: str =
     names = ["category", "rule", "severity", "place", "excerpt"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             of = b[code] if code else [False] * len(b)
             found = [scan.policy_report(t or "", chosen, bool(c)) for t, c in zip(b[text], of, strict=True)]
             yield pd.DataFrame({key: b[key], page: b[page], **{n: [f[n] for f in found] for n in ("score", "flagged", "critical", "hits")}, "findings": [[dict(zip(names, x, strict=True)) for x in f["findings"]] for f in found]})
 
     finding = "findings array<struct<category:string,rule:string,severity:string,place:int,excerpt:string>>"
     columns = [key, page, text, *([code] if code else [])]
-    return pages.select(*columns).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, score double, flagged boolean, critical boolean, hits map<string,long>, {finding}")
+    return arrow(pages.select(*columns)).mapInPandas(run, f"{typed(pages, key)}, {typed(pages, page)}, score double, flagged boolean, critical boolean, hits map<string,long>, {finding}")
 
 
 def document_policy(pages: DataFrame, key: str = "document_id") -> DataFrame:
@@ -195,15 +212,15 @@ def decided(documents: DataFrame, action: str = "flag", opinions: DataFrame | No
 
 def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             yield pd.DataFrame([(k, n, v) for k, t in zip(b[key], b[text], strict=True) for n, v in scan.form_fields(t or "").items()], columns=[key, "field", "value"])
 
-    return docs.select(key, text).mapInPandas(run, f"{typed(docs, key)}, field string, value string")
+    return arrow(docs.select(key, text)).mapInPandas(run, f"{typed(docs, key)}, field string, value string")
 
 
 def code_symbols(files: DataFrame, language: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             yield pd.DataFrame([(k, s["name"], s["kind"], s["begin"], s["end"]) for k, t in zip(b[key], b[text], strict=True) for s in scan.code_symbols(t or "", language)], columns=[key, "name", "kind", "first_line", "last_line"])
 
-    return files.select(key, text).mapInPandas(run, f"{typed(files, key)}, name string, kind string, first_line int, last_line int")
+    return arrow(files.select(key, text)).mapInPandas(run, f"{typed(files, key)}, name string, kind string, first_line int, last_line int")

@@ -38,6 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (root or f"file://{os.path.abspath('spark-warehouse')}/checkpoints").rstrip("/")
 
 
+#: Rows of an Arrow batch between the JVM and a Python scanner of texts: few, as a batch's buffers are held whole on both sides.
+BATCH_ROWS = 300
+
+
+def arrow(df: DataFrame) -> DataFrame:
+    """`df`, about to be scanned in Python: from here on its session's Arrow batches have at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: its rows are computed once, and its lineage is cut."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

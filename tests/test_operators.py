@@ -222,3 +222,14 @@ def test_sensitivity_and_quota(spark):
     levels = spark.createDataFrame([("public", "internal"), (None, "restricted"), ("odd", None)], "own string, coll string")
     assert [r[0] for r in levels.select(governance.sensitivity(F.col("own"), F.col("coll"))).collect()] == ["public", "restricted", "internal"]
     assert tuple(governance.quota(spark.createDataFrame([(150,)], "used long"), 100).first()) == (150, 0, 100.0)
+
+
+def test_scanners_hold_few_texts_at_once(spark):
+    """Batches are cut by rows and by characters, whatever the table's size; rows and their order stay."""
+    from docbasin.operators import content
+
+    texts = ["a" * 700_000, None, "b" * 600_000, "c", "d" * 1_500_000, "e"]
+    cut = list(content.pieces([pd.DataFrame({"k": range(6), "text": texts})], "text"))
+    assert [list(p["k"]) for p in cut] == [[0, 1], [2, 3], [4], [5]] and [list(p["k"]) for p in content.pieces([pd.DataFrame({"k": [], "text": []})], "text")] == [[]]
+    content.chunk(spark.range(3).selectExpr("id as doc_id", "'word' as text"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 300
