@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,14 +92,14 @@ class TypeExtension:
 
 
 def _over_known(fn: Callable[[pd.Series], pd.Series], missing):
-    """`fn` over the values of a series that aren't null, the others `missing`."""
+    """`fn` over a series' values that aren't null, each different one once; the others are `missing`."""
 
     def run(cells: pd.Series) -> pd.Series:
-        there = cells.notna()
-        out = pd.Series([missing] * len(cells), index=cells.index, dtype=object)
-        if there.any():
-            out[there] = [None if v is None or v != v else v for v in fn(cells[there])]
-        return out
+        codes, texts = pd.factorize(cells)  # null: -1, the last of what is looked up
+        own = [None if v is None or v != v else v for v in fn(pd.Series(texts, dtype=cells.dtype))] if len(texts) else []
+        looked_up = np.empty(len(own) + 1, object)
+        looked_up[:] = [*own, missing]
+        return pd.Series(looked_up[codes], index=cells.index, dtype=object)
 
     return run
 

@@ -203,3 +203,14 @@ def test_rules_are_only_run_where_their_strings_are(monkeypatch):
 def test_strings_that_a_pattern_needs():
     assert scan.needles(r"\b(?:red|blue)\s+Cars?\b") == (("blue", "red"), ("car",))
     assert scan.needles(r"a*|b") == () and scan.needles(r"[^x]\d+") == () and scan.needles(r"(?:ab)?c") == (("c",),)
+
+
+def test_an_extension_sees_each_different_cell_once():
+    import pandas as pd
+
+    from docbasin.operators.tables import _over_known
+
+    seen = []
+    fn = lambda t: seen.extend(t) or pd.to_numeric(t.str.rstrip("%"), errors="coerce")
+    assert list(_over_known(fn, None)(pd.Series(["1%", None, "x", "1%", "2%", "x"], index=[5, 6, 7, 8, 9, 1]))) == [1.0, None, None, 1.0, 2.0, None]
+    assert sorted(seen) == ["1%", "2%", "x"] and list(_over_known(fn, False)(pd.Series([None, None], dtype=object))) == [False, False]
