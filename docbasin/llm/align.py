@@ -1,40 +1,43 @@
 """Alignment of two tokenizers' tokens over the same bytes: groups between common token ends, and links of overlapping tokens.
 
-Python only tokenises: a byte-level BPE (A) over a blank and the text, a sentence-piece model (B) over the text, to which
-it adds the blank itself. From there on all is higher-order functions over the arrays of token ends:
-
-* `array_intersect` of both sides' ends are the offsets that cut the tokens into groups;
-* the sorted union of the ends cuts the bytes into segments that belong to one A and one B token each, and two tokens that
-  overlap share exactly one segment, so the segments are the links, each once;
-* a byte's tokens are looked up in arrays that hold each token's id, or end, as often as it has bytes, so every step is
-  linear in the text.
-
-An id pair's count is the number of texts that hold it linked. Pairs with a count of at least 1 / HOT_SHARE of all counts
-are at most HOT_SHARE, so they are broadcast and the frequent keys never meet in one task; the links of rarer pairs are
-shuffled by pair. The largest count of each A id is a row for each entry of A's vocabulary.
+Python tokenises with a byte-level BPE (A) over a blank and the text and a sentence-piece model (B) over the text, to which
+it adds the blank itself. Neither has a token that reaches over a blank between two visible characters, so a text is cut
+there (`apart` looks whether the two models allow that), and each different word of a piece of the table is tokenised and
+aligned once: both sides' tokens end where a word ends, so a text's groups and links are its words', one after the other.
+
+* offsets where both sides' tokens end cut the tokens into groups;
+* the union of the ends cuts the bytes into segments that belong to one A and one B token each, and two tokens that
+  overlap share exactly one segment, so the segments are the links, each once.
+
+From there on links are rows. An id pair's count is the number of texts that hold it linked. Pairs with a count of at least
+1 / HOT_SHARE of all counts are at most HOT_SHARE, so they are broadcast and the frequent keys never meet in one task; the
+links of rarer pairs are shuffled by pair. The largest count of each A id is a row for each entry of A's vocabulary.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import arrow, pieces, read, stored
+from docbasin.llm.common import arrow, gathered, read, stored
 
 #: The least share of all counts, as its inverse, from which a pair is looked up in a broadcast table (24 bytes a pair).
 HOT_SHARE = 100_000
-#: Bytes of text that are tokenised at once.
-PIECE_BYTES = 1 << 19
+#: Bytes of text whose different words are aligned at once, words that a tokenizer takes at once, and rows of a batch of results.
+PIECE_BYTES, AT_ONCE, OUT_ROWS = 1 << 23, 2000, 300
 ROW = "row number of the alignment"
-TOKENS = f"`{ROW}` long, a_ids array<int>, a_sizes array<int>, a_ends array<int>, b_ids array<int>, b_sizes array<int>, b_ends array<int>"
+ALIGNED = f"`{ROW}` long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<bigint>"
 
 
 def byte_values() -> dict[str, int]:
@@ -75,78 +78,140 @@ def vocabulary_size(path_b: str) -> int:
     return len(sentence_piece(path_b)[1])
 
 
-def _ends(sizes: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """Byte offsets after each token, counted in its own text."""
-    total = np.cumsum(sizes)
-    first = np.concatenate([[0], np.cumsum(per_text)[:-1]]).astype(np.int64)
-    before = np.where(first > 0, np.concatenate([[0], total])[first], 0)
-    return total - np.repeat(before, per_text)
-
-
-def _equal(ids: list[list[int]], table: list[bytes], wanted: list[bytes]) -> np.ndarray:
-    """Whether each text's tokens are joined to the bytes wanted."""
-    return np.array([b"".join(map(table.__getitem__, own)) == w for own, w in zip(ids, wanted, strict=True)], bool)
-
-
-def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """docs (ROW, text) -> ROW and the ids, sizes and ends (in bytes of a blank and the text) of both sides' tokens.
-
-    A null or empty text, and one that either side's tokens don't give back byte by byte, has none.
+@lru_cache(maxsize=2)
+def apart(path_a: str, path_b: str) -> bool:
+    """Whether texts may be cut before a blank between visible characters: A splits words by its usual pattern, and B takes texts
+    as they are and has no piece with a blank behind another character."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path_a) as file:
+        a = json.load(file)
+    b = sentencepiece_model_pb2.ModelProto()
+    with open(path_b, "rb") as file:
+        b.ParseFromString(file.read())
+    split = a["pre_tokenizer"] or {}
+    plain_a = a["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and all(t["special"] for t in a["added_tokens"])
+    rules = b.normalizer_spec
+    plain_b = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces and rules.escape_whitespaces and b.trainer_spec.model_type == b.trainer_spec.BPE
+    return plain_a and plain_b and not any(x.type == x.USER_DEFINED or re.search("[^▁]▁", x.piece) for x in b.pieces)
+
+
+def words(texts: pa.Array, cut: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A blank and each text, cut into words: words per text (0 of a null or empty text), each word's index in the dictionary, the dictionary."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    some = pc.greater(pc.binary_length(texts), 0)
+    whole = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(some), pa.scalar("", pa.large_string()))])
+    if not len(whole):
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int64), whole
+    _, offsets, data = whole.buffers()
+    own = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    letters = np.frombuffer(data, np.uint8)[: own[-1]]
+    begins = np.zeros(len(letters), bool)
+    if cut:  # a blank after a visible ASCII character and before what is no blank or control character
+        begins[1:-1] = (letters[1:-1] == 32) & (letters[:-2] > 32) & (letters[:-2] < 127) & (letters[2:] > 32)
+    begins[own[:-1]] = True
+    at = np.flatnonzero(begins)
+    coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, own[-1])), data).dictionary_encode()
+    per_text = np.zeros(len(texts), np.int64)
+    per_text[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(at, own))
+    return per_text, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(_before(sizes)), values)
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """How many there are before each, and in all."""
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _joined(sizes: np.ndarray, values: pa.Array, by: str) -> pa.Array:
+    """The next `sizes` of the strings, joined."""
+    return pc.binary_join(_lists(sizes, values), pa.scalar(by, pa.large_string()))
+
+
+def _encoded(dictionary: pa.Array, encode: Callable[[list[str]], Iterable[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens per word, and all ids."""
+    counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for i in range(0, len(dictionary), AT_ONCE):
+        own = list(encode(dictionary.slice(i, AT_ONCE).to_pylist()))
+        counts.append(np.fromiter(map(len, own), np.int64, len(own)))
+        ids.append(np.fromiter(chain.from_iterable(own), np.int32, int(counts[-1].sum())))
+    return np.concatenate(counts), np.concatenate(ids)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each begin on, as many as its size."""
+    return np.repeat(begin - _before(size)[:-1], size) + np.arange(size.sum())
+
+
+def _given_back(dictionary: pa.Array, counts: np.ndarray, ids: np.ndarray, table: list[bytes]) -> np.ndarray:
+    """Whether each word's tokens are joined to its bytes."""
+    size, begin = np.array([len(x) for x in table], np.int64), _before([len(x) for x in table])
+    letters, own = np.frombuffer(dictionary.buffers()[2] or b"", np.uint8), pc.binary_length(dictionary).to_numpy()
+    good = np.diff(_before(size[ids])[_before(counts)]) == own
+    mine = ids[np.repeat(good, counts)]
+    written = np.frombuffer(b"".join(table), np.uint8)[_spread(begin[mine], size[mine])]
+    word = np.repeat(np.flatnonzero(good), own[good])
+    good[word[written != letters[: own.sum()][np.repeat(good, own)]]] = False
+    return good
+
+
+def _word_by_word(dictionary: pa.Array, path_a: str, path_b: str) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Array, np.ndarray]:
+    """Words -> whether both sides give them back, what they have of n_a, n_b, n_groups and n_links, their groups as text, and all their links in turn."""
+    (a, a_bytes), (b, b_bytes) = byte_level(path_a), sentence_piece(path_b)
+    dictionary = pa.concat_arrays([dictionary])
+    found = {
+        "a": _encoded(dictionary, lambda some: (e.ids for e in a.encode_batch_fast(some, add_special_tokens=False))),
+        "b": _encoded(dictionary, lambda some: b.encode([w[1:] for w in some], num_threads=1)),
+    }
+    good = _given_back(dictionary, *found["a"], a_bytes) & _given_back(dictionary, *found["b"], b_bytes)
+    size = np.where(good, pc.binary_length(dictionary).to_numpy(), 0)
+    ids, ends, marks, counts = {}, {}, {}, {}
+    for side, table in (("a", a_bytes), ("b", b_bytes)):
+        n, of = found[side]
+        counts[f"n_{side}"], ids[side] = np.where(good, n, 0), of[np.repeat(good, n)]
+        ends[side] = np.cumsum(np.array([len(x) for x in table], np.int64)[ids[side]])
+        marks[side] = np.zeros(int(size.sum()) + 1, bool)
+        marks[side][ends[side]] = True
+    cuts, segments = np.flatnonzero(marks["a"] & marks["b"]), np.flatnonzero(marks["a"] | marks["b"])
+    token = {s: ids[s][np.searchsorted(ends[s], segments)].astype(np.int64) for s in "ab"}
+    last = _before(size)  # where words end: a word's cuts and segments end after its first byte, up to its last
+    counts |= {n: np.diff(np.searchsorted(x, last, "right")) for n, x in (("n_groups", cuts), ("n_links", segments))}
+    sides = [_joined(np.diff(np.searchsorted(ends[s], cuts, "right"), prepend=0), pa.array(ids[s]).cast(pa.large_string()), ",") for s in "ab"]
+    groups = pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string()))
+    return good, counts, _joined(counts["n_groups"], groups, ";"), token["a"] * len(b_bytes) + token["b"]
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """docs (ROW, text) -> ROW, n_a, n_b, n_groups, groups_sha256, links: pairs as a * b_size + b, one for each overlapping pair of tokens.
+
+    A null or empty text, and one that either side's tokens don't give back byte by byte, has no tokens: zeros, '' and no links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (a, a_bytes), (b, b_bytes) = byte_level(path_a), sentence_piece(path_b)
-        size = {"a": np.array([len(x) for x in a_bytes], np.int32), "b": np.array([len(x) for x in b_bytes], np.int32)}
-        for batch in pieces(batches, limit=PIECE_BYTES):
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            wanted = [f" {t}".encode() for t in texts]
-            found = {"a": [e.ids for e in a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], "b": b.encode(texts, num_threads=1)}
-            good = np.array([bool(t) for t in texts]) & _equal(found["a"], a_bytes, wanted) & _equal(found["b"], b_bytes, wanted)
-            columns = [batch[ROW]]
-            for side in "ab":
-                kept = [own if ok else [] for own, ok in zip(found[side], good, strict=True)]
-                per_text = np.array([len(own) for own in kept], np.int64)
-                ids = np.fromiter(chain.from_iterable(kept), np.int32, int(per_text.sum()))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32())
-                sizes = size[side][ids]
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, sizes, _ends(sizes, per_text))]
-            yield pa.RecordBatch.from_arrays(columns, names=[ROW, *(f"{s}_{n}" for s in "ab" for n in ("ids", "sizes", "ends"))])
-
-    return arrow(docs.select(ROW, "text")).mapInArrow(run, TOKENS)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body's lambdas read it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _of_byte(values: Column, sizes: Column) -> Column:
-    """What `values` say of the token of each byte."""
-    return F.flatten(F.zip_with(values, sizes, lambda x, n: F.array_repeat(x, n)))
-
-
-def _grouped(side: str, other_ends: Column) -> Column:
-    """Decimal ids joined by commas, an array with an entry for each group: a token is its group's last where the other side's token ends too."""
-    marked = F.zip_with(F.col(f"{side}_ids").cast("array<string>"), f"{side}_ends", lambda x, end: F.concat(x, F.when(F.element_at(other_ends, end) == end, ";").otherwise(",")))
-    return F.split(F.rtrim(F.array_join(marked, ""), F.lit(";")), ";")
-
-
-def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
-    """tokens -> ROW, n_a, n_b, n_groups, found: struct<groups_sha256, links>; links are pairs as a * b_size + b, one for each overlapping pair of tokens."""
-    cuts, segments = F.array_intersect("a_ends", "b_ends"), F.sort_array(F.array_union("a_ends", "b_ends"))
-    ends = F.struct(*(_of_byte(F.col(f"{s}_ends"), F.col(f"{s}_sizes")).alias(s) for s in "ab"))
-    groups = _let(ends, lambda of: F.zip_with(_grouped("a", of.b), _grouped("b", of.a), lambda x, y: F.concat(x, F.lit("|"), y)))
-    ids = F.struct(*(_of_byte(F.col(f"{s}_ids").cast("array<bigint>"), F.col(f"{s}_sizes")).alias(s) for s in "ab"))
-    links = _let(ids, lambda of: F.transform(segments, lambda end: F.element_at(of.a, end) * b_size + F.element_at(of.b, end)))
-    found = F.struct(F.sha2(F.array_join(groups, ";"), 256).alias("groups_sha256"), links.alias("links"))
-    counts = [F.size(c).cast("long").alias(n) for c, n in ((F.col("a_ids"), "n_a"), (F.col("b_ids"), "n_b"), (cuts, "n_groups"))]
-    return tokens.select(ROW, *counts, F.when(F.size("a_ids") > 0, found).alias("found"))
-
-
-def opened(stored_groups: DataFrame) -> DataFrame:
-    """aligned(), once it is stored, with its struct as columns; before that each of them would compute the struct anew."""
-    links = F.coalesce("found.links", F.array().cast("array<bigint>"))
-    return stored_groups.select(ROW, "n_a", "n_b", "n_groups", F.size(links).cast("long").alias("n_links"), F.coalesce("found.groups_sha256", F.lit("")).alias("groups_sha256"), links.alias("links"))
+        for batch in gathered(batches, "text", PIECE_BYTES, 1 << 30):
+            per_text, codes, dictionary = words(batch["text"], apart(path_a, path_b))
+            good, counts, groups, links = _word_by_word(dictionary, path_a, path_b)
+            first = _before(per_text)
+            whole = np.diff(_before(~good[codes])[first]) == 0  # all of a text's words are given back
+            codes, per_text = codes[np.repeat(whole, per_text)], np.where(whole, per_text, 0)
+            first = _before(per_text)
+            n = {name: x[codes] for name, x in counts.items()}
+            sums = [pa.array(np.diff(_before(n[name])[first])) for name in ("n_a", "n_b", "n_groups")]
+            begin, place = _before(counts["n_links"])[:-1][codes], _before(n["n_links"])
+            for i in range(0, len(batch), OUT_ROWS):
+                j = min(i + OUT_ROWS, len(batch))
+                here = slice(first[i], first[j])
+                own = n["n_links"][here]
+                each = links[_spread(begin[here], own)]
+                held = pa.ListArray.from_arrays(pa.array((place[first[i : j + 1]] - place[first[i]]).astype(np.int32)), pa.array(each))
+                written = _joined(per_text[i:j], groups.take(pa.array(codes[here])), ";").to_pylist()
+                digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in written], pa.string())
+                yield pa.RecordBatch.from_arrays([batch[ROW][i:j], *(x[i:j] for x in sums), digests, held], names=[ROW, "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+
+    return arrow(docs.select(ROW, "text")).mapInArrow(run, ALIGNED)
 
 
 def pair_counts(links: DataFrame, b_size: int) -> DataFrame:
@@ -176,7 +241,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     b_size = vocabulary_size(path_b)
     placed = docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     ids = stored(placed.select(ROW, "doc_id"), "alignment-ids")
-    found = opened(stored(aligned(tokens(placed, path_a, path_b), b_size), "alignment"))
+    found = stored(aligned(placed, path_a, path_b), "alignment").withColumn("n_links", F.size("links").cast("long"))
     sums = link_sums(found, stored(pair_counts(found, b_size), "alignment-pairs"))
     out = ids.join(found.drop("links"), ROW).join(sums, ROW, "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256")

@@ -71,3 +71,33 @@ def test_query_covers_every_document(spark, sf_dir):
     got = align.op13_align(spark, sf_dir)
     assert got.count() == read(spark, sf_dir, "documents").count()
     assert got.where("n_links <> n_a + n_b - n_groups or n_best > n_links").count() == 0
+
+
+WORDS = ["the", "cat's", "I'll", "42", "1,000", "naïve", "été", "漢字", "\U0001f600", " ", "a b", "　", "", "", "\n", "x\n", "\ny", "\tz", "--", "<s>", "<|endoftext|>", "é", "́", "\x00", "q" * 40, "¿que?"]
+
+
+def test_words_cut_at_blanks_give_the_whole_texts_tokens(spark):
+    """Each different word is tokenised once, and its tokens are those that it has in the whole text."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 30))) for _ in range(400)] + ["the cat " * 200, "the ▁ cat", " ", "  "]
+    assert align.apart(A, B)
+    per_text, codes, dictionary = align.words(pa.array([None, "", *texts]), True)
+    assert per_text[:2].tolist() == [0, 0] and len(dictionary) < len(codes) / 2
+    held = iter(dictionary.take(pa.array(codes)).to_pylist())
+    assert ["".join(next(held) for _ in range(n)) for n in per_text[2:]] == [f" {t}" if t else "" for t in texts]
+    rows = list(enumerate(texts))
+    got = align.alignment(spark.createDataFrame(rows, "doc_id long, text string"), A, B)
+    assert Counter(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_many_pieces_and_batches(spark, monkeypatch):
+    """Pieces of a few texts and batches of two rows, with texts that are not given back between others."""
+    monkeypatch.setattr(align, "PIECE_BYTES", 500)
+    monkeypatch.setattr(align, "OUT_ROWS", 2)
+    rows = [(d, f"{t} {n}" if t and n % 3 else t) for n in range(5) for d, t in ODD]
+    got = align.alignment(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B)
+    assert Counter(tuple(r) for r in got.collect()) == brute(rows)
