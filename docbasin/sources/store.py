@@ -34,7 +34,8 @@ def ingest(base: Snapshot, docs: DataFrame, embed: Callable[[pd.Series], pd.Seri
     """
     hashed = docs.select(KEY, "filename", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", F.sha2("text", 256))
     if "documents" in base.tables:
-        hashed = hashed.join(base.table("documents").select(KEY, "content_hash"), [KEY, "content_hash"], "left_anti").select(KEY, "filename", "text", "content_hash")
+        held = base.table("documents").select(KEY, "content_hash").hint("merge")  # else files that compress well are broadcast, however many rows they have
+        hashed = hashed.join(held, [KEY, "content_hash"], "left_anti").select(KEY, "filename", "text", "content_hash")
     job = Write(base)
     texts = job.add("documents", hashed)
     n = texts.count()

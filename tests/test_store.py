@@ -73,3 +73,18 @@ def test_entities_of_the_store(spark, tmp_path):
     hits = store.entity_hits(base, "what of Alice Jones?")
     assert {r.chunk_id for r in hits.collect()} == {"d1:0", "d2:0"}
     assert base.table("entities").where(F.col("entity") == "alice jone").count() == 2
+
+
+def test_stored_documents_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """What is stored already grows with the store, however small its files are: it is joined by a shuffle."""
+    plans, add = [], store.Write.add
+
+    def seen(self, table, rows, split=None):
+        if table == "documents":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return add(self, table, rows, split)
+
+    monkeypatch.setattr(store.Write, "add", seen)
+    base = store.ingest(store.opened(spark, f"file://{tmp_path}/s"), docs(spark, ROWS), embed)
+    assert store.ingest(base, docs(spark, ROWS), embed).version == base.version
+    assert len(plans) == 2 and "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
