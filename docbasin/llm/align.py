@@ -35,7 +35,7 @@ from docbasin.llm.common import arrow, gathered, read, stored
 #: The least share of all counts, as its inverse, from which a pair is looked up in a broadcast table (24 bytes a pair).
 HOT_SHARE = 100_000
 #: Bytes of text whose different words are aligned at once, words that a tokenizer takes at once, and rows of a batch of results.
-PIECE_BYTES, AT_ONCE, OUT_ROWS = 1 << 23, 2000, 300
+PIECE_BYTES, AT_ONCE, OUT_ROWS = 1 << 22, 2000, 300
 ROW = "row number of the alignment"
 ALIGNED = f"`{ROW}` long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<bigint>"
 
