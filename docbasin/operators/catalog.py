@@ -98,7 +98,7 @@ def inspected(chunks: DataFrame, documents: DataFrame, document_id: str, limit:
     """chunks_of() with the form fields of each chunk's text (a map), for documents whose text was recognised (method ocr or hybrid); else none."""
     mine = chunks_of(chunks, document_id, limit).join(documents.select("document_id", "method"), "document_id")
     found = form_fields(mine.where(F.col("method").isin("ocr", "hybrid")), key="chunk_id")
-    fields = found.groupBy("chunk_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))  # 50 a chunk at most
+    fields = found.groupBy("chunk_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))  # as many as the chunk's text has
     none = F.create_map().cast("map<string,string>")
     return mine.join(fields, "chunk_id", "left").withColumn("fields", F.coalesce("fields", none)).drop("method").orderBy("page_number", "chunk_index")
 

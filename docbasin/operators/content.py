@@ -211,6 +211,8 @@ def decided(documents: DataFrame, action: str = "flag", opinions: DataFrame | No
 
 
 def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, field, value: all fields of each text, the first value of each."""
+
     def run(batches):
         for b in pieces(batches, text):
             yield pd.DataFrame([(k, n, v) for k, t in zip(b[key], b[text], strict=True) for n, v in scan.form_fields(t or "").items()], columns=[key, "field", "value"])

@@ -116,6 +116,12 @@ def test_forms_and_code():
     assert [(s["name"], s["begin"], s["end"]) for s in scan.code_symbols(braces, "c")] == [("main", 1, 4), ("X", 5, 6)]
 
 
+def test_all_fields_of_a_form():
+    form = "".join(f"Field {'x' * i}: {i}\n" for i in range(1, 52)) + "Field x: again\nLast ..... 1\n"
+    found = scan.form_fields(form)
+    assert list(found.values()) == [*(str(i) for i in range(1, 52)), "1"] and found["Field X"] == "1" and found["Last"] == "1"
+
+
 def test_code_of_further_families():
     def found(text, language):
         return [(s["name"], s["kind"], s["begin"], s["end"]) for s in scan.code_symbols(text, language)]

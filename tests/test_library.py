@@ -395,3 +395,11 @@ def test_small_tables_as_json_and_fields_of_recognised_chunks(spark):
     documents = spark.createDataFrame([("d1", "ocr"), ("d2", "text")], "document_id string, method string")
     assert [(r.chunk_id, r.fields) for r in catalog.inspected(chunks, documents, "d1").collect()] == [("d1:0", {"Order": "7", "Status": "open"}), ("d1:1", {})]
     assert [r.fields for r in catalog.inspected(chunks, documents, "d2").collect()] == [{}]
+
+
+def test_no_field_of_a_long_form_is_left_out(spark):
+    forms = spark.range(3).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("Line "), i, F.lit(": "), i + F.col("id"))), "\n").alias("text"))
+    found = content.form_fields(forms)
+    assert found.count() == 600 and found.where("field <> concat('Line ', cast(value as bigint) - doc_id)").isEmpty()
+    chunks = forms.where("doc_id = 0").select(F.lit("d").alias("document_id"), F.lit("d:0").alias("chunk_id"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index"), "text")
+    assert len(catalog.inspected(chunks, spark.createDataFrame([("d", "hybrid")], "document_id string, method string"), "d").first().fields) == 200
