@@ -149,3 +149,25 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a column `name`, a number for each row. The table is written once, so a row keeps its number however often it is read."""
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """ids (one column, whole numbers) -> word, held: a bit for each id in words of 64. Ids that lie close, as row numbers do, share words."""
+    at = F.col(ids.columns[0]).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.where(at.isNotNull()).groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("held"))
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame, most: int, *, others: bool = False) -> DataFrame:
+    """Rows whose `column` is among `ids` (one column, whole numbers); with `others` those whose `column` isn't.
+
+    Up to `most` words of the ids' bitmap are broadcast, so the driver holds a few words for many ids; else the ids are joined by a shuffle.
+    """
+    words = bitmap(ids)
+    if words.limit(most + 1).count() > most:
+        return rows.join(ids.toDF(column), column, "left_anti" if others else "left_semi")
+    words = words.toDF("word of the ids", "ids of the word")  # names that no table of texts has
+    at = F.col(column).cast("long")
+    met = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("word of the ids"), "left" if others else "inner")
+    bit = F.coalesce(F.getbit("ids of the word", at.bitwiseAND(F.lit(63)).cast("int")), F.lit(0))
+    return met.where(bit == F.lit(0 if others else 1)).drop("word of the ids", "ids of the word")

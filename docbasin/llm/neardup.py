@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbasin.llm.common import arrow, hash_words, mix, pieces, read, stored, words
+from docbasin.llm.common import among, arrow, hash_words, mix, pieces, read, stored, words
 
 COORDINATES = 64
 HUB_ROUNDS = 2
 #: Bytes of sets and signatures on either side of a cell, and up to which a family is small: small ones share a task.
 CELL_BYTES, SMALL_BYTES = 1 << 20, 256 << 10
-#: Ids up to which a table of them is broadcast (16 bytes each); larger ones are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Words of a bitmap of ids (each of up to 64 ids that lie close) up to which it is broadcast; beyond, ids are shuffled.
+BROADCAST_IDS = 250_000
 #: Parts that the members of one family are dealt by before they meet its figures.
 SALTS = 64
 
@@ -139,13 +139,6 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def only(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose `column` is among ids.id: by broadcast if the ids are few, else by a shuffle."""
-    ids = ids.select(F.col("id").alias(column))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
-
-
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> id, component: the smallest id reachable. Ids without a link are not listed."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
@@ -311,8 +304,8 @@ def classes(docs: DataFrame, *, size: int = 3, percent: int = 85, coordinates: i
     tokens_of = full_key.select(F.col("doc_id").alias("id"), "key1", "key2", "tokens").join(first, ["id", "key1", "key2"], "left_semi")
     prefixed = stored(prefixes(tokens_of.select("id", F.explode("tokens").alias("token")), needed), "prefixes")
     ids = prefixed.select("id").distinct()
-    sigs = stored(only(tokens_of.select("id", "tokens"), "id", ids).dropDuplicates(["id"]), "member-signatures")
-    full = stored(sets(only(docs, "doc_id", ids), size).dropDuplicates(["id"]), "member-sets")
+    sigs = stored(among(tokens_of.select("id", "tokens"), "id", ids, BROADCAST_IDS).dropDuplicates(["id"]), "member-signatures")
+    full = stored(sets(among(docs, "doc_id", ids, BROADCAST_IDS), size).dropDuplicates(["id"]), "member-sets")
     members = stored(prefixed.select(F.explode("prefix").alias("token"), "id", "weight"), "members")
     linked = links(members, sigs, full, needed, percent)
     named = first.join(linked, "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docbasin.llm import bpe, decontam, langid, lm, mainhtml, mpeg, neardup, pii, queries, toxicity, urlrules
-from docbasin.llm.common import read
+from docbasin.llm.common import among, bitmap, read
 
 WIDE = "doc_id long, text string, lang string, source string, score double, id long, token string, component string"
 
@@ -264,3 +264,26 @@ def test_decontamination_keeps_few_shingles_of_documents_for_a_thousand_items(sp
     hashes = decontam.worded(docs_table, "doc_id").select(F.explode(decontam.shingle_hashes(F.col("words"), 5)).alias("h"))
     kept = hashes.where(F.getbit(F.get(bitmap, F.shiftright(low, 6).cast("int")), F.col("h").bitwiseAND(F.lit(63)).cast("int")) == 1)
     assert kept.count() < 0.1 * hashes.count()
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_among_ids_and_the_others(spark, most):
+    values = [-(1 << 40), -65, -64, -1, 0, 1, 62, 63, 64, 127, (5 << 33) + 63, (5 << 33) + 64, None]
+    rows = spark.createDataFrame([(v, f"t{i}") for i, v in enumerate(values)] + [(63, "again")], "`row number` long, text string")
+    ids = spark.createDataFrame([(v,) for v in (-(1 << 40), -64, 0, 63, 127, (5 << 33) + 63, None, 9_999)], "id long")
+    within, outside = among(rows, "row number", ids, most), among(rows, "row number", ids, most, others=True)
+    assert within.columns == outside.columns == rows.columns
+    assert sorted(r.text for r in within.collect()) == sorted(["t0", "t2", "t4", "t7", "t9", "t10", "again"])
+    assert sorted(r.text for r in outside.collect()) == sorted(["t1", "t3", "t5", "t6", "t8", "t11", "t12"])
+
+
+def test_dropped_rows_come_to_the_driver_as_bits(spark):
+    import corpus_pipeline
+
+    rows = spark.range(0, 640_000, 1, 4).withColumnRenamed("id", corpus_pipeline.ROW)
+    gone = rows.where(F.col(corpus_pipeline.ROW) % 3 == 0)
+    kept = corpus_pipeline.without(rows.withColumn("n", F.col(corpus_pipeline.ROW)), gone)
+    assert kept.agg(F.count("*"), F.sum(F.col("n") % 3)).first()[:] == (426_666, 426_666 // 2 * 3)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "bit_or" in plan  # words of 64 rows, not rows
+    assert bitmap(gone).count() == 10_000
